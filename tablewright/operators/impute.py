@@ -19,6 +19,7 @@ BLOCK_POINTS = 2_000
 MAX_BLOCKS = 4_096
 QUERY_CHUNK = 4_000
 _GRID_BITS = 10
+_CELLS = 4_000_000  # numbers held at once when a task compares points
 
 
 def _numeric(df: DataFrame, columns: Sequence[str]) -> list[str]:
@@ -185,8 +186,9 @@ def _fill_points(points: DataFrame, dims: list[str], stats: list, k: int) -> Dat
         for j, group in left.groupby("feature"):
             has = ~np.isnan(p[:, j])
             give, weight = p[has], w[has]
-            for start in range(0, len(group), 128):
-                part = group.iloc[start:start + 128]
+            step = max(1, _CELLS // max(1, len(give) * d))
+            for start in range(0, len(group), step):
+                part = group.iloc[start:start + step]
                 dist = _distances(part[dims].to_numpy(dtype=float), give)
                 order_ = np.argsort(dist, axis=1, kind="stable")
                 upto = np.cumsum(weight[order_], axis=1)

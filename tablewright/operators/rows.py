@@ -2,7 +2,7 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F, types as T
@@ -241,3 +241,11 @@ def preview(df: DataFrame, rows: int) -> DataFrame:
 def with_row_ids(df: DataFrame, name: str = "_rid") -> DataFrame:
     """Number rows in load order: increasing along the files of a scan, not consecutive."""
     return df.select(F.monotonically_increasing_id().alias(name), *[col(c) for c in df.columns])
+
+
+def apply_function(df: DataFrame, fn: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """Run user code on the table; it must hand back a table."""
+    result = fn(df)
+    if not isinstance(result, DataFrame):
+        raise TypeError("the function must return a DataFrame")
+    return result
