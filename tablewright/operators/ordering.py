@@ -73,11 +73,18 @@ def range_of(df: DataFrame, order_by: Sequence[str], cuts: list) -> Column:
 
 
 def split_ranges(
-    df: DataFrame, order_by: Sequence[str], rows_per_range: int = ROWS_PER_RANGE
+    df: DataFrame,
+    order_by: Sequence[str],
+    rows_per_range: int = ROWS_PER_RANGE,
+    cut_by: DataFrame | None = None,
 ) -> tuple[DataFrame, str]:
-    """``df`` with its range number, and the name of that column."""
+    """``df`` with its range number, and the name of that column.
+
+    ``cut_by`` is a cheaper table with about the same keys to take the cut points from.
+    """
     name = temp_name(df, "range")
-    cuts = range_cuts(df.select(*[col(n) for n in order_by]), order_by, rows_per_range)
+    source = df if cut_by is None else cut_by
+    cuts = range_cuts(source.select(*[col(n) for n in order_by]), order_by, rows_per_range)
     return df.withColumn(name, range_of(df, order_by, cuts)), name
 
 
@@ -93,10 +100,11 @@ def with_running_total(
     name: str,
     *,
     rows_per_range: int = ROWS_PER_RANGE,
+    cut_by: DataFrame | None = None,
 ) -> DataFrame:
     """Add the sum of ``amount`` over all rows up to and including this one."""
     keys = order_key(df, order_by)
-    ranged, part = split_ranges(df, keys, rows_per_range)
+    ranged, part = split_ranges(df, keys, rows_per_range, cut_by)
     inside = Window.partitionBy(part).orderBy(*[col(k) for k in keys]).rowsBetween(
         Window.unboundedPreceding, 0)
     offset = temp_name(df, "offset")

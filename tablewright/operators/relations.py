@@ -21,18 +21,19 @@ def _pairs(df: DataFrame, x: str, y: str) -> DataFrame:
     return both.where("x is not null and y is not null")
 
 
-def _average_ranks(pairs: DataFrame, name: str) -> DataFrame:
+def _average_ranks(both: DataFrame, pairs: DataFrame, name: str) -> DataFrame:
     """(value, rank): ties share the mean of their places."""
     counts = pairs.groupBy(name).agg(F.sum("c").alias("c"))
-    placed = with_running_total(counts, name, F.col("c"), "upto")
+    placed = with_running_total(counts, name, F.col("c"), "upto", cut_by=both)
     return placed.select(name, (F.col("upto") - (F.col("c") - 1) / 2).alias(f"rank_{name}"))
 
 
 def spearman(df: DataFrame, x: str, y: str) -> DataFrame:
     """One row (spearman_r, n). Ranks are given to distinct values, then weighted by how often they occur."""
-    pairs = _pairs(df, x, y).groupBy("x", "y").agg(F.count(F.lit(1)).alias("c"))
-    ranked = join_lookup(pairs, _average_ranks(pairs, "x"), ["x"])
-    ranked = join_lookup(ranked, _average_ranks(pairs, "y"), ["y"])
+    both = _pairs(df, x, y)
+    pairs = both.groupBy("x", "y").agg(F.count(F.lit(1)).alias("c"))
+    ranked = join_lookup(pairs, _average_ranks(both, pairs, "x"), ["x"])
+    ranked = join_lookup(ranked, _average_ranks(both, pairs, "y"), ["y"])
     rx, ry, c = F.col("rank_x"), F.col("rank_y"), F.col("c").cast("double")
     s = ranked.agg(
         F.sum("c").alias("n"), F.sum(c * rx * ry).alias("xy"),

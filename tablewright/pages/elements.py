@@ -36,7 +36,7 @@ ELEMENT = (
 )
 PARSED = f"elements array<{ELEMENT}>, texts array<string>"
 VALUE_ATTRS = ("href", "src")
-_CHUNK = 32  # pages per output batch, which bounds the memory of a task
+_CHUNK_CHARS = 1 << 21  # markup per output batch, which bounds the memory of a task
 
 _RESERVED = {ord(c): chr(0xE000 + ord(c)) for c in "/;#.[]~="}
 
@@ -165,8 +165,8 @@ def parse_pages(pages: DataFrame, html: str = "html", *, attributes: Sequence[st
 
     def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            for start in range(0, len(batch), _CHUNK):
-                part = batch.iloc[start:start + _CHUNK]
+            volume = batch[html].fillna("").str.len().cumsum() // _CHUNK_CHARS
+            for _, part in batch.groupby(volume, sort=False):
                 parsed = [read_markup(h, spelled) for h in part[html]]
                 yield part[keep].assign(elements=[p[0] for p in parsed], texts=[p[1] for p in parsed])
 

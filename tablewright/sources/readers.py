@@ -45,6 +45,14 @@ def _head(spark: SparkSession, path: str) -> bytes:
     return bytes(row["head"]) if row else b""
 
 
+def charset_option(spark: SparkSession, encoding: str) -> str:
+    """The charset name for Spark's text formats; beyond UTF they need the session's Java-charset switch."""
+    name = _CHARSETS.get(encoding.lower(), encoding)
+    if not name.upper().startswith("UTF"):
+        spark.conf.set("spark.sql.legacy.javaCharsets", "true")
+    return name
+
+
 def detect_encoding(spark: SparkSession, path: str) -> str:
     """The first encoding that reads the start of the file; a cut character at its end is no error."""
     head = _head(spark, path)
@@ -89,9 +97,9 @@ def read_delimited(
     schema: str | None = None,
 ) -> DataFrame:
     """Header row, inferred types unless ``schema`` is given; an encoding is probed unless given."""
-    name = (encoding or detect_encoding(spark, path)).lower()
+    charset = charset_option(spark, encoding or detect_encoding(spark, path))
     reader = (
-        spark.read.option("header", True).option("sep", sep).option("encoding", _CHARSETS.get(name, name))
+        spark.read.option("header", True).option("sep", sep).option("encoding", charset)
         .option("multiLine", False).option("quote", '"').option("escape", '"')
     )
     reader = reader.schema(schema) if schema else reader.option("inferSchema", True)

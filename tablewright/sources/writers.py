@@ -5,7 +5,7 @@ from pathlib import PurePosixPath
 
 from pyspark.sql import DataFrame
 
-from .readers import resolve_suffix
+from .readers import charset_option, resolve_suffix
 
 # Save formats by suffix, and the suffix each format is saved under.
 SAVE_FORMATS = {
@@ -46,6 +46,6 @@ def save_table(df: DataFrame, path: str, save_format: str | None = None, *, mode
         writer.option("ignoreNullFields", False).json(target)
     else:
         sep = "\t" if kind == "tsv" else ","
-        charset = "x-windows-949" if kind == "csv_cp949" else "UTF-8"
+        charset = charset_option(df.sparkSession, "cp949" if kind == "csv_cp949" else "utf-8")
         writer.option("header", True).option("sep", sep).option("encoding", charset).option("escape", '"').csv(target)
     return target
