@@ -3,7 +3,8 @@
 A table has no positional index, so order-sensitive operators take ``order_by``: ascending columns
 that identify a row. Rows are cut into balanced ranges of that key; each range is windowed on its own
 and the ranges are chained by a summary with one row per range. The cut points come from a sample and
-are embedded in the plan as constants, so every use of the ranges, and every retry, agrees.
+are embedded in the plan as constants, so every use of the ranges, and every retry, agrees. A table that
+fits one range is windowed directly.
 """
 from __future__ import annotations
 
@@ -15,7 +16,7 @@ from ..constants import SEED
 from ..functions.missing import data_type, present
 from ..functions.naming import col, require_column, temp_name
 
-ROWS_PER_RANGE = 100_000
+ROWS_PER_RANGE = 1_000_000
 MAX_RANGES = 16_384
 _SAMPLE_PER_RANGE = 30
 
@@ -36,6 +37,7 @@ def range_cuts(df: DataFrame, order_by: Sequence[str], rows_per_range: int = ROW
 
     The sample is bounded by the number of ranges, never by the data.
     """
+    df = df.select(*[col(n) for n in order_by])
     total = df.count()
     ranges = min(MAX_RANGES, -(-total // rows_per_range))
     if ranges <= 1:
@@ -56,8 +58,6 @@ def range_cuts(df: DataFrame, order_by: Sequence[str], rows_per_range: int = ROW
 
 def range_of(df: DataFrame, order_by: Sequence[str], cuts: list) -> Column:
     """Range number of a row: a binary search of its key among the constant cut points."""
-    if not cuts:
-        return F.lit(0)
     types = [data_type(df, n) for n in order_by]
     bounds = F.array(*[
         F.struct(*[F.lit(v).cast(t).alias(f"k{i}") for i, (v, t) in enumerate(zip(cut, types))])
@@ -72,22 +72,6 @@ def range_of(df: DataFrame, order_by: Sequence[str], cuts: list) -> Column:
     return F.aggregate(F.array(*[F.lit(s) for s in steps]), F.lit(0), advance)
 
 
-def split_ranges(
-    df: DataFrame,
-    order_by: Sequence[str],
-    rows_per_range: int = ROWS_PER_RANGE,
-    cut_by: DataFrame | None = None,
-) -> tuple[DataFrame, str]:
-    """``df`` with its range number, and the name of that column.
-
-    ``cut_by`` is a cheaper table with about the same keys to take the cut points from.
-    """
-    name = temp_name(df, "range")
-    source = df if cut_by is None else cut_by
-    cuts = range_cuts(source.select(*[col(n) for n in order_by]), order_by, rows_per_range)
-    return df.withColumn(name, range_of(df, order_by, cuts)), name
-
-
 def _before(part: str) -> Window:
     # One row per range (MAX_RANGES at most), so a single-task window is bounded.
     return Window.orderBy(part).rowsBetween(Window.unboundedPreceding, -1)
@@ -102,12 +86,18 @@ def with_running_total(
     rows_per_range: int = ROWS_PER_RANGE,
     cut_by: DataFrame | None = None,
 ) -> DataFrame:
-    """Add the sum of ``amount`` over all rows up to and including this one."""
+    """Add the sum of ``amount`` over all rows up to and including this one.
+
+    ``cut_by`` is a cheaper table with about the same keys to take the cut points from.
+    """
     keys = order_key(df, order_by)
-    ranged, part = split_ranges(df, keys, rows_per_range, cut_by)
-    inside = Window.partitionBy(part).orderBy(*[col(k) for k in keys]).rowsBetween(
-        Window.unboundedPreceding, 0)
-    offset = temp_name(df, "offset")
+    cuts = range_cuts(df if cut_by is None else cut_by, keys, rows_per_range)
+    upto = (Window.unboundedPreceding, 0)
+    if not cuts:
+        return df.withColumn(name, F.sum(amount).over(Window.orderBy(*[col(k) for k in keys]).rowsBetween(*upto)))
+    part, offset = temp_name(df, "range"), temp_name(df, "offset")
+    ranged = df.withColumn(part, range_of(df, keys, cuts))
+    inside = Window.partitionBy(part).orderBy(*[col(k) for k in keys]).rowsBetween(*upto)
     totals = ranged.groupBy(part).agg(F.sum(amount).alias(offset))
     offsets = totals.select(part, F.coalesce(F.sum(offset).over(_before(part)), F.lit(0)).alias(offset))
     local = ranged.withColumn(name, F.sum(amount).over(inside))
@@ -144,31 +134,28 @@ def carried(
     keys = order_key(df, order_by)
     target = require_column(df, column)
     value = present(df, target) if blanks else F.when(~_gap(df, target), col(target))
-    ranged, part = split_ranges(df, keys, rows_per_range)
-    gapless = temp_name(df, "value")
-    ranged = ranged.withColumn(gapless, value)
-
-    sides = [forward, not forward] if both_ways else [forward]
-    filled = []
-    for ahead in sides:
-        pick, carry = (F.max_by, "carry_down") if ahead else (F.min_by, "carry_up")
-        carry = temp_name(df, carry)
-        known = F.when(col(gapless).isNotNull(), _key(keys))
-        edges = ranged.groupBy(part).agg(pick(col(gapless), known).alias(carry))
-        order = F.asc(part) if ahead else F.desc(part)
-        chain = Window.orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
-        edges = edges.select(part, F.last(carry, ignorenulls=True).over(chain).alias(carry))
-        filled.append((ahead, carry, edges))
-
-    result = ranged
-    for _, _, edges in filled:
-        result = result.join(F.broadcast(edges), part, "left")  # one row per range
-    choices = [col(gapless)]
-    for ahead, carry, _ in filled:
+    cuts = range_cuts(df, keys, rows_per_range)
+    part, gapless = temp_name(df, "range"), temp_name(df, "value")
+    result = df.withColumn(gapless, value)
+    spec = Window
+    if cuts:
+        result = result.withColumn(part, range_of(df, keys, cuts))
+        spec = Window.partitionBy(part)
+    ranged, choices = result, [col(gapless)]
+    for ahead in ([forward, not forward] if both_ways else [forward]):
         # A backward fill runs forward over the reversed order, which keeps the frame incremental.
         order = [F.asc(k) if ahead else F.desc(k) for k in keys]
-        inside = Window.partitionBy(part).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-        choices += [F.last(gapless, ignorenulls=True).over(inside), col(carry)]
+        inside = spec.orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+        choices.append(F.last(gapless, ignorenulls=True).over(inside))
+        if not cuts:
+            continue
+        carry = temp_name(df, "carry_down" if ahead else "carry_up")
+        at = F.when(col(gapless).isNotNull(), _key(keys))
+        edges = ranged.groupBy(part).agg((F.max_by if ahead else F.min_by)(col(gapless), at).alias(carry))
+        chain = Window.orderBy(F.asc(part) if ahead else F.desc(part)).rowsBetween(Window.unboundedPreceding, -1)
+        edges = edges.select(part, F.last(carry, ignorenulls=True).over(chain).alias(carry))
+        result = result.join(F.broadcast(edges), part, "left")  # one row per range
+        choices.append(col(carry))
     if not blanks:
         choices.append(col(target))
     result = result.withColumn(target, F.coalesce(*choices))

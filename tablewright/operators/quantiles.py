@@ -109,40 +109,42 @@ def column_quantiles(
     return out
 
 
-def _group_positions(
-    counted: DataFrame, keys: list[str], part: str
-) -> DataFrame:
+def _group_positions(counted: DataFrame, keys: list[str], cuts: list) -> DataFrame:
     """Add ``upto`` (rows of the group up to this value) and ``n`` (rows of the group).
 
-    ``counted`` holds (keys…, v, c) with a range number in (keys, v) order. Only the first and last
-    group of a range can continue elsewhere, so two rows per range chain the ranges.
+    ``counted`` holds (keys…, v, c). In (keys, v) order only the first and last group of a range can
+    continue in another one, so two rows per range chain the ranges.
     """
-    group = F.struct(*[col(k) for k in keys])
-    pieces = counted.groupBy(part, *keys).agg(F.sum("c").alias("amount"))
+    names = [col(k) for k in keys]
+    part = "__range"
+    ranged = counted.withColumn(part, range_of(counted, [*keys, "v"], cuts)) if cuts else counted
+    local = Window.partitionBy(*([part] if cuts else []), *keys)
+    running = ranged.select(
+        "*",
+        F.sum("c").over(local.orderBy("v").rowsBetween(Window.unboundedPreceding, 0)).alias("upto"),
+        F.sum("c").over(local.orderBy("v").rowsBetween(
+            Window.unboundedPreceding, Window.unboundedFollowing)).alias("n"),
+    )
+    if not cuts:
+        return running
+    group = F.struct(*names)
+    pieces = ranged.groupBy(part, *keys).agg(F.sum("c").alias("amount"))
     piece = F.struct(group.alias("g"), "amount")
     ends = pieces.groupBy(part).agg(F.array_distinct(F.array(
         F.min_by(piece, group), F.max_by(piece, group))).alias("ends"))
-    ends = ends.select(part, F.inline("ends"))
     near = Window.partitionBy("g").orderBy(part)
-    ends = ends.select(
+    ends = ends.select(part, F.inline("ends")).select(
         F.col(part).alias("__p"), F.col("g").alias("__g"),
         F.sum("amount").over(near.rowsBetween(Window.unboundedPreceding, -1)).alias("before"),
         F.sum("amount").over(near.rowsBetween(1, Window.unboundedFollowing)).alias("after"),
     )
-    local = Window.partitionBy(part, *keys)
-    running = counted.select(
-        "*",
-        F.sum("c").over(local.orderBy("v").rowsBetween(Window.unboundedPreceding, 0)).alias("local"),
-        F.sum("c").over(local.orderBy("v").rowsBetween(
-            Window.unboundedPreceding, Window.unboundedFollowing)).alias("here"),
-    )
     joined = running.join(
         F.broadcast(ends),  # two rows per range
-        (F.col(part) == F.col("__p")) & F.struct(*[col(k) for k in keys]).eqNullSafe(F.col("__g")), "left")
+        (F.col(part) == F.col("__p")) & group.eqNullSafe(F.col("__g")), "left")
     before = F.coalesce("before", F.lit(0))
     return joined.select(
-        *[col(k) for k in keys], "v", "c", (F.col("local") + before).alias("upto"),
-        (F.col("here") + before + F.coalesce("after", F.lit(0))).alias("n"))
+        *names, "v", "c", (F.col("upto") + before).alias("upto"),
+        (F.col("n") + before + F.coalesce("after", F.lit(0))).alias("n"))
 
 
 def group_quantiles(
@@ -161,12 +163,10 @@ def group_quantiles(
     names = [f"__g{i}" for i in range(len(keys))]
     slim = df.select(*[col(k).alias(n) for k, n in zip(keys, names)],
                      known(df, column).cast("double").alias("v"))
-    part = "__range"
     cuts = range_cuts(slim, [*names, "v"], rows_per_range)
     # NULL values stay as a zero-weight row, which keeps groups without values.
     counted = slim.groupBy(*names, "v").agg(F.count("v").alias("c"))
-    counted = counted.withColumn(part, range_of(counted, [*names, "v"], cuts))
-    placed = _group_positions(counted, names, part)
+    placed = _group_positions(counted, names, cuts)
     picks = []
     for p in probs:
         h = F.lit(float(p)) * (F.col("n") - 1)

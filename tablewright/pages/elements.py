@@ -17,9 +17,12 @@ from ..functions.naming import col
 # Elements without an end tag.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 # Open elements that a start tag ends, and the containers that stop the search for them.
-_ITEMS = {"li": "li", "dt": "dt dd", "dd": "dt dd", "option": "option", "tr": "tr td th", "td": "td th",
-          "th": "td th", "thead": "tr td th", "tbody": "tr td th thead"}
-_WALLS = {"li": "ul ol", "dt": "dl", "dd": "dl", "option": "select"}
+_ITEMS = {tag: frozenset(ends.split()) for tag, ends in {
+    "li": "li", "dt": "dt dd", "dd": "dt dd", "option": "option", "tr": "tr td th", "td": "td th",
+    "th": "td th", "thead": "tr td th", "tbody": "tr td th thead"}.items()}
+_WALLS = {tag: frozenset(walls.split()) for tag, walls in {
+    "li": "ul ol", "dt": "dl", "dd": "dl", "option": "select",
+    **dict.fromkeys(("tr", "td", "th", "thead", "tbody"), "table")}.items()}
 _BLOCKS = frozenset(
     "p div ul ol dl table section article aside header footer nav form pre blockquote hr h1 h2 h3 h4 h5 h6 "
     "address main figure fieldset".split())
@@ -66,6 +69,9 @@ class _Reader(HTMLParser):
         self.table_count = 0
         self.children: Counter = Counter()
 
+    def updatepos(self, i, j):
+        return j  # line and column numbers are not used
+
     def _tag(self, depth: int) -> str:
         return self.elements[self.open[depth]]["tag"]
 
@@ -78,12 +84,12 @@ class _Reader(HTMLParser):
 
     def _end_implied(self, tag: str) -> None:
         if tag in _ITEMS:
-            wall = _WALLS.get(tag, "table").split()
-            cut = None
+            walls, ends, cut = _WALLS[tag], _ITEMS[tag], None
             for depth in range(len(self.open) - 1, -1, -1):
-                if self._tag(depth) in wall:
+                name = self._tag(depth)
+                if name in walls:
                     break
-                if self._tag(depth) in _ITEMS[tag].split():
+                if name in ends:
                     cut = depth
             if cut is not None:
                 self._close_to(cut)
@@ -100,10 +106,12 @@ class _Reader(HTMLParser):
         parent = self.open[-1] if self.open else -1
         self.children[parent] += 1
         self.children[parent, tag] += 1
-        classes = known.get("class", "").split()
-        step = "/" + spell(tag) + (f"#{spell(known['id'])}" if known.get("id") else "")
-        step += "".join(f".{spell(c)}" for c in classes)
-        step += "".join(f"[{spell(k)}={spell(v)}]" for k, v in known.items() if k in self.spelled)
+        classes = known["class"].split() if "class" in known else []
+        step = "/" + (tag if tag.isalnum() else spell(tag))
+        if known:
+            step += f"#{spell(known['id'])}" if known.get("id") else ""
+            step += "".join([f".{spell(c)}" for c in classes])
+            step += "".join([f"[{spell(k)}={spell(v)}]" for k, v in known.items() if k in self.spelled])
         step += f"~{self.children[parent]}~{self.children[parent, tag]};"
         table, row, cell = -1, -1, -1
         if tag == "table":
@@ -144,7 +152,8 @@ class _Reader(HTMLParser):
         self._close_to(0)
         leaders: dict = {}
         for e in self.elements:
-            leader = leaders.setdefault((e["parent"], e["tag"], tuple(shape_classes(e["classes"]))), e)
+            shape = tuple(shape_classes(e["classes"])) if e["classes"] else ()
+            leader = leaders.setdefault((e["parent"], e["tag"], shape), e)
             leader["twins"] += 1
         return self.elements, self.texts
 
