@@ -127,6 +127,9 @@ def _fill_points(points: DataFrame, dims: list[str], stats: list, k: int) -> Dat
     high = [s["high"] if s["high"] is not None else 0.0 for s in stats]
     pattern = F.concat(*[F.when(col(x).isNull(), "0").otherwise("1") for x in dims])
     placed = points.select("*", pattern.alias("pattern"), _z_order([col(x) for x in dims], low, high).alias("z"))
+    # Cut points, boxes, queries and donors all read the distinct points, so they are stored once.
+    ensure_checkpoint_dir(points.sparkSession)
+    placed = placed.checkpoint()
     count = placed.count()
     per_block = max(BLOCK_POINTS, -(-count // MAX_BLOCKS))
     order = ["pattern", "z", *dims]
@@ -170,7 +173,7 @@ def _fill_points(points: DataFrame, dims: list[str], stats: list, k: int) -> Dat
                     yield part.iloc[rows[r]][dims].assign(feature=j, block=s["block"][give[b]])
 
     schema = ", ".join([*(f"{x} double" for x in dims), "feature int", "block string"])
-    pairs = queries.mapInPandas(visits, schema)
+    pairs = queries.mapInPandas(visits, schema).checkpoint()  # read twice: to count and to send
     # A much visited block is given to several tasks, each with a chunk of the visitors.
     chunk = F.pmod(F.xxhash64("feature", *dims), F.col("chunks")).cast("int")
     load = pairs.groupBy("block").agg(F.ceil(F.count(F.lit(1)) / QUERY_CHUNK).cast("int").alias("chunks"))

@@ -144,7 +144,7 @@ def carried(
     ranged, choices = result, [col(gapless)]
     for ahead in ([forward, not forward] if both_ways else [forward]):
         # A backward fill runs forward over the reversed order, which keeps the frame incremental.
-        order = [F.asc(k) if ahead else F.desc(k) for k in keys]
+        order = [col(k).asc() if ahead else col(k).desc() for k in keys]
         inside = spec.orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
         choices.append(F.last(gapless, ignorenulls=True).over(inside))
         if not cuts:

@@ -19,12 +19,15 @@ HOT_SHARE = 0.005
 _SAMPLE_ROWS = 200_000
 
 
+def plan_bytes(df: DataFrame) -> int:
+    """The optimizer's own estimate of the table's size."""
+    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+
+
 def fits_broadcast(df: DataFrame) -> bool:
-    """Whether the optimizer's own size estimate is under the session's broadcast threshold."""
-    session = df.sparkSession
-    limit = session._jvm.org.apache.spark.sql.internal.SQLConf.get().autoBroadcastJoinThreshold()
-    size = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
-    return 0 <= int(size) <= int(limit)
+    """Whether that estimate is under the session's broadcast threshold."""
+    limit = df.sparkSession._jvm.org.apache.spark.sql.internal.SQLConf.get().autoBroadcastJoinThreshold()
+    return plan_bytes(df) <= int(limit)
 
 
 def hot_key_hashes(df: DataFrame, key_hash: Column) -> list[int]:

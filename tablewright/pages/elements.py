@@ -13,6 +13,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.naming import col
+from ..operators.skew import plan_bytes
 
 # Elements without an end tag.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -39,6 +40,7 @@ ELEMENT = (
 )
 PARSED = f"elements array<{ELEMENT}>, texts array<string>"
 VALUE_ATTRS = ("href", "src")
+_SPREAD_BYTES = 1 << 30
 _CHUNK_CHARS = 1 << 21  # markup per output batch, which bounds the memory of a task
 
 _RESERVED = {ord(c): chr(0xE000 + ord(c)) for c in "/;#.[]~="}
@@ -164,6 +166,16 @@ def read_markup(html: str | None, spelled: frozenset[str] = frozenset()) -> tupl
     return reader.done()
 
 
+def _dealt(pages: DataFrame) -> DataFrame:
+    """Parsing is CPU-bound and a small table often lies in one file chunk: its rows go to all cores.
+
+    A table over the size limit is left as it is scanned.
+    """
+    if plan_bytes(pages) > _SPREAD_BYTES:
+        return pages
+    return pages.repartition(pages.sparkSession.sparkContext.defaultParallelism)
+
+
 def parse_pages(pages: DataFrame, html: str = "html", *, attributes: Sequence[str] = ()) -> DataFrame:
     """Replace the markup column by ``elements`` and ``texts``; every other column stays.
 
@@ -180,7 +192,7 @@ def parse_pages(pages: DataFrame, html: str = "html", *, attributes: Sequence[st
                 yield part[keep].assign(elements=[p[0] for p in parsed], texts=[p[1] for p in parsed])
 
     kept = [f"`{f.name}` {f.dataType.simpleString()}" for f in pages.schema if f.name in keep]
-    return pages.select(*[col(c) for c in [*keep, html]]).mapInPandas(parse, ", ".join([*kept, PARSED]))
+    return _dealt(pages.select(*[col(c) for c in [*keep, html]])).mapInPandas(parse, ", ".join([*kept, PARSED]))
 
 
 def text_of(element: Column) -> Column:

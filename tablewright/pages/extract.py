@@ -11,7 +11,7 @@ from ..constants import MULTI_VALUE_SEPARATOR
 from ..functions.missing import present
 from ..functions.naming import col, require_column
 from ..operators.ordering import order_key
-from ..operators.skew import first_per_key, join_lookup
+from ..operators.skew import first_per_key, fits_broadcast, join_lookup
 from .elements import parse_pages, text_of
 from .css import Selector, compile_selector
 
@@ -137,7 +137,7 @@ def params_from_lines(df: DataFrame, text: str, order_by: str | Sequence[str], n
     """Parameters from text cells, one per line: blank and # lines dropped, first mentions kept."""
     keys = order_key(df, order_by)
     lines = df.select(
-        *[col(k) for k in keys], F.posexplode(F.split(require_column(df, text), r"\r\n|\r|\n")).alias("line_no", "__line"))
+        *[col(k) for k in keys], F.posexplode(F.split(col(require_column(df, text)), r"\r\n|\r|\n")).alias("line_no", "__line"))
     trimmed = F.regexp_replace("__line", r"(?U)^\s+|\s+$", "").alias(name)
     lines = lines.select(*[col(k) for k in keys], "line_no", trimmed)
     lines = lines.where((col(name) != "") & ~col(name).startswith("#"))
@@ -157,16 +157,22 @@ def extract_batch(
 ) -> DataFrame:
     """One row per parameter: (param, url, fields…, error). A page that is not stored gives an error text.
 
-    Pages are parsed once each, before the join, and only the extracted fields travel to it.
+    Markup is never shuffled: pages are parsed where they are read, and only their fields travel. A small
+    parameter list first picks the pages to parse.
     """
     if not fields:
         raise ValueError("no fields given")
     key = require_column(params, param)
     wanted = params.select(col(key), url_from_template(template, {key: col(key)}).alias("url"))
-    stored = first_per_key(pages, [url], order_key(pages, page_order)).select(col(url).alias("url"), col(html).alias(html))
     columns, attributes = _field_columns(fields, True, MULTI_VALUE_SEPARATOR)
-    needed = stored.join(wanted.select("url").distinct(), "url", "left_semi")
-    taken = parse_pages(needed, html, attributes=attributes).select("url", *columns, F.lit("").alias("error"))
+    keys = order_key(pages, page_order)
+    stored = pages.select(col(url).alias("url"), *[col(k).alias(f"__k{i}") for i, k in enumerate(keys)], col(html).alias("html"))
+    listed = wanted.select("url").distinct()
+    if fits_broadcast(listed):
+        stored = stored.join(F.broadcast(listed), "url", "left_semi")  # size checked above
+    taken = parse_pages(stored, "html", attributes=attributes).select(
+        "url", *[f"__k{i}" for i in range(len(keys))], *columns, F.lit("").alias("error"))
+    taken = first_per_key(taken, ["url"], [f"__k{i}" for i in range(len(keys))]).drop(*[f"__k{i}" for i in range(len(keys))])
     joined = join_lookup(wanted, taken, ["url"])
     names = [f.name for f in fields]
     return joined.select(
