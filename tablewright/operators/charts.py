@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from ..constants import GROUP_CHART_LIMIT, PLOT_ROWS
 from ..functions.missing import category_text, known
 from ..functions.naming import col, require_column
-from .ordering import order_key
+from .ordering import position
 from .profile import plot_sample
 from .quantiles import column_quantiles, group_quantiles
 
@@ -65,10 +65,12 @@ def _density(values: DataFrame, keys: list[str], points: int) -> DataFrame:
     Equal values are weighed once; the table of (value, grid point) terms is only aggregated.
     """
     counted = values.groupBy(*keys, "v").agg(F.count(F.lit(1)).alias("c"))
-    stats = values.groupBy(*keys).agg(
-        F.count("v").alias("n"), F.stddev_samp("v").alias("sd"), F.min("v").alias("low"), F.max("v").alias("high"))
-    rows = counted.join(F.broadcast(stats), keys) if keys else counted.withColumn("__one", F.lit(1)).join(
-        F.broadcast(stats.withColumn("__one", F.lit(1))), "__one")  # one row per category
+    facts = [F.count("v").alias("n"), F.stddev_samp("v").alias("sd"), F.min("v").alias("low"), F.max("v").alias("high")]
+    if keys:
+        rows = counted.join(F.broadcast(values.groupBy(*keys).agg(*facts)), keys)  # one row per category
+    else:
+        one = values.agg(*facts).first()
+        rows = counted.withColumns({k: F.lit(v).cast("double") for k, v in one.asDict().items()})
     width = F.col("sd") * F.pow(F.col("n"), F.lit(-0.2))
     grid = rows.where("sd > 0").select(
         *keys, "v", "c", "n", width.alias("h"), "low", "high",
@@ -100,7 +102,7 @@ def _categories(
     df: DataFrame, category: str, value: str, order_by: str | Sequence[str], limit: int
 ) -> DataFrame:
     """(category, v) rows of the ``limit`` categories seen first in key order."""
-    key = F.struct(*[col(k) for k in order_key(df, order_by)])
+    key = position(df, order_by)
     rows = df.select(category_text(df, category).alias("category"),
                      known(df, value).cast("double").alias("v"), key.alias("key"))
     first = rows.groupBy("category").agg(F.min("key").alias("seen")).orderBy("seen").limit(limit)

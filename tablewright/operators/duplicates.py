@@ -6,7 +6,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window, functions as F
 
 from ..constants import DUPLICATES_LISTED
-from ..functions.missing import data_type, is_missing, known, nan_to_null
+from ..functions.missing import data_type, is_missing, is_text, known, nan_to_null
 from ..functions.naming import col, resolve_columns, temp_name
 from ..functions.values import value_label
 from .ordering import order_key
@@ -67,20 +67,18 @@ def duplicate_rows(df: DataFrame, columns: str | Sequence[str], *, dropna: bool
 
 
 def _value_counts(df: DataFrame, names: Sequence[str]) -> DataFrame:
-    """(column, label, missing, null, n) per distinct value of each column, in one shuffle."""
-    cells = [
-        F.struct(
-            F.lit(c).alias("column"),
-            known(df, c).cast("string").alias("text"),
-            value_label(col(c), data_type(df, c)).alias("label"),
-            is_missing(df, c).alias("missing"),
-        )
-        for c in names
-    ]
-    return (
+    """(column, text, label, missing, n) per distinct value of each column, in one shuffle of the texts."""
+    cells = [F.struct(F.lit(c).alias("column"), known(df, c).cast("string").alias("text")) for c in names]
+    counted = (
         df.select(F.inline(F.array(*cells)))
-        .groupBy("column", "text", "label", "missing").agg(F.count(F.lit(1)).alias("n"))
+        .groupBy("column", "text").agg(F.count(F.lit(1)).alias("n"))
     )
+    label, missing = F.lit(None).cast("string"), F.lit(False)
+    for c in names:
+        here, dtype = F.col("column") == c, data_type(df, c)
+        label = F.when(here, value_label(F.col("text").try_cast(dtype), dtype)).otherwise(label)
+        missing = F.when(here, is_missing(counted, "text") if is_text(dtype) else F.col("text").isNull()).otherwise(missing)
+    return counted.select("column", "text", label.alias("label"), missing.alias("missing"), "n")
 
 
 def duplicate_report(

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from ..constants import GROUP_CHART_LIMIT, OTHER_LABEL
 from ..functions.missing import category_text, is_missing, known, nan_to_null
 from ..functions.naming import col, require_column, resolve_columns
+from .ordering import position
 from .quantiles import group_quantiles
 
 
@@ -54,7 +55,7 @@ def group_summary(
     elif agg in ("first", "last"):
         if order_by is None:
             raise ValueError(f"{agg} needs order_by")
-        order = F.struct(*[col(c) for c in ([order_by] if isinstance(order_by, str) else order_by)])
+        order = position(df, order_by)
         pick = F.min_by if agg == "first" else F.max_by
         known_at = F.when(col(value).isNotNull(), order)
         result = slim.groupBy(*[col(k) for k in keys]).agg(pick(col(value), known_at).alias(out_name))
@@ -114,9 +115,7 @@ def mean_per_category(
     df: DataFrame, category: str, value: str, order_by: str | Sequence[str], *, limit: int = GROUP_CHART_LIMIT
 ) -> DataFrame:
     """Mean per category for the ``limit`` categories seen first in key order."""
-    from .ordering import order_key
-
-    key = F.struct(*[col(k) for k in order_key(df, order_by)])
+    key = position(df, order_by)
     stats = df.groupBy(category_text(df, category).alias("category")).agg(
         F.min(key).alias("seen"), F.avg(known(df, value)).alias("mean"))
     return stats.orderBy("seen").limit(limit).where("mean is not null").select("category", "mean")

@@ -5,12 +5,12 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.functions import array_to_vector
 from pyspark.ml.regression import LinearRegression
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.missing import data_type, is_number, known
-from ..functions.naming import col, resolve_columns, temp_name, unique_name
+from ..functions.naming import col, resolve_columns, temp_name
 from ..session import ensure_checkpoint_dir
 from .ordering import range_cuts, range_of
 from .skew import join_lookup
@@ -225,6 +225,31 @@ def _fill_points(points: DataFrame, dims: list[str], stats: list, k: int) -> Dat
 
 # ---------------------------------------------------------------- chained regressions
 
+def _filled(names: Sequence[str], df: DataFrame, means: Sequence[float], models: list) -> Column:
+    """The columns of a row as an array: means in the gaps, then every fitted model applied in turn.
+
+    Row-local and of constant plan size, so rounds need neither a stored copy nor a shuffle.
+    """
+    values = [known(df, c).cast("double") for c in names]
+    gaps = F.array(*[v.isNull() for v in values])
+    start = F.array(*[F.coalesce(v, F.lit(m)) for v, m in zip(values, means)])
+    if not models:
+        return start
+    steps = F.array(*[
+        F.struct(F.lit(i).alias("i"), F.lit(b).alias("b"), F.array(*[F.lit(x) for x in w]).alias("w"))
+        for i, b, w in models])
+
+    def predict(step: Column, state: Column) -> Column:
+        products = F.zip_with(step["w"], state, lambda w, x: w * x)
+        return step["b"] + F.aggregate(products, F.lit(0.0), lambda total, x: total + x)
+
+    def apply(state: Column, step: Column) -> Column:
+        return F.transform(state, lambda x, j: F.when(
+            (j == step["i"]) & F.get(gaps, j), predict(step, state)).otherwise(x))
+
+    return F.aggregate(steps, start, apply)
+
+
 def fill_mice(
     df: DataFrame, columns: Sequence[str], *, max_iter: int = 10, tolerance: float = 1e-3
 ) -> DataFrame:
@@ -233,51 +258,47 @@ def fill_mice(
     Starts from the column means, goes through the columns with fewest gaps first, and stops early when
     no filled value moves by more than ``tolerance`` times the largest present value.
     """
-    names = _numeric(df, columns)
-    gaps = [F.count_if(known(df, c).isNull()) for c in names]
-    facts = df.agg(F.count(F.lit(1)), *gaps, *[F.avg(known(df, c)) for c in names],
-                   *[F.max(F.abs(known(df, c).cast("double"))) for c in names]).first()
-    m = len(names)
-    total, counts, means, peaks = facts[0], facts[1:m + 1], facts[m + 1:2 * m + 1], facts[2 * m + 1:]
-    if not any(counts):
+    asked = _numeric(df, columns)
+    values = [known(df, c).cast("double") for c in asked]
+    stats = df.agg(F.count(F.lit(1)).alias("n"), *[
+        F.struct(F.count_if(v.isNull()).alias("gaps"), F.avg(v).alias("mean"), F.max(F.abs(v)).alias("peak"))
+        .alias(f"s{i}") for i, v in enumerate(values)]).first()
+    total, stats = stats[0], dict(zip(asked, stats[1:]))
+    if not any(s["gaps"] for s in stats.values()):
         return df
     if total < 2:
         raise ValueError("regression filling needs at least two rows")
-    usable = [i for i in range(m) if means[i] is not None]
-    work = _as_double(df, names)
-    now = {i: unique_name([*df.columns], f"__now{i}") for i in usable}
-    for i in usable:
-        work = work.withColumn(now[i], F.coalesce(col(names[i]), F.lit(float(means[i]))))
-    todo = sorted((i for i in usable if counts[i]), key=lambda i: counts[i])
-    limit = tolerance * max((float(peaks[i]) for i in usable), default=0.0)
-    ensure_checkpoint_dir(df.sparkSession)
-    rounds = max(1, min(max_iter, 50)) if len(usable) > 1 else 0
-    for _ in range(rounds):
-        previous = {i: f"{now[i]}_old" for i in todo}
-        for i in todo:
-            work = work.withColumn(previous[i], col(now[i]))
+    names = [c for c in asked if stats[c]["mean"] is not None]  # a column without any value stays empty
+    means = [float(stats[c]["mean"]) for c in names]
+    m = len(names)
+    todo = sorted((i for i in range(m) if stats[names[i]]["gaps"]), key=lambda i: stats[names[i]]["gaps"])
+    limit = tolerance * max((float(stats[c]["peak"]) for c in names), default=0.0)
+    slim = df.select(*[known(df, c).alias(c) for c in names])
+    models: list[tuple[int, float, list[float]]] = []
+    for _ in range(max(1, min(max_iter, 50)) if m > 1 else 0):
+        before = list(models)
         for i in todo:
-            others = [j for j in usable if j != i]
-            train = VectorAssembler(inputCols=[now[j] for j in others], outputCol="__features").transform(
-                work.where(col(names[i]).isNotNull()).select(*[now[j] for j in others], col(names[i]).alias("__label")))
-            model = LinearRegression(featuresCol="__features", labelCol="__label", regParam=1e-6, solver="normal").fit(train)
-            guess = F.lit(float(model.intercept))
-            for j, weight in zip(others, model.coefficients.toArray()):
-                guess = guess + F.lit(float(weight)) * col(now[j])
-            work = work.withColumn(now[i], F.when(col(names[i]).isNull(), guess).otherwise(col(now[i])))
-        # The next round reads every column again: stored once, it does not grow the plan.
-        work = work.checkpoint()
-        moved = work.agg(*[F.max(F.abs(col(now[i]) - col(previous[i]))) for i in todo]).first()
-        work = work.drop(*previous.values())
-        if max((x or 0.0) for x in moved) <= limit:
+            others = [j for j in range(m) if j != i]
+            train = _training(slim, names, means, models, i, others)
+            fit = LinearRegression(regParam=1e-6, solver="normal").fit(train)
+            weights = dict(zip(others, map(float, fit.coefficients.toArray())))
+            models.append((i, float(fit.intercept), [weights.get(j, 0.0) for j in range(m)]))
+        old, new = _filled(names, slim, means, before), _filled(names, slim, means, models)
+        change = F.array_max(F.zip_with(old, new, lambda a, b: F.abs(a - b)))
+        if (slim.agg(F.max(change)).first()[0] or 0.0) <= limit:
             break
-    out = []
-    for f in df.schema:
-        i = names.index(f.name) if f.name in names else -1
-        if i in todo:
-            out.append(col(now[i]).alias(f.name))
-        elif i >= 0:
-            out.append(col(f.name).cast(f.dataType).alias(f.name))
-        else:
-            out.append(col(f.name))
-    return work.select(*out)
+    state = temp_name(df, "state")
+    done = df.withColumn(state, _filled(names, df, means, models))
+    gapped = {names[i]: i for i in todo}
+    return done.select(*[
+        F.get(col(state), F.lit(gapped[c])).alias(c) if c in gapped else col(c) for c in df.columns])
+
+
+def _training(
+    slim: DataFrame, names: list[str], means: list[float], models: list, target: int, others: list[int]
+) -> DataFrame:
+    """(features, label) of the rows that have the target, gaps in the features filled so far."""
+    present = slim.where(col(names[target]).isNotNull())
+    state = present.select(_filled(names, present, means, models).alias("x"))
+    pick = lambda j: F.get(F.col("x"), F.lit(j))
+    return state.select(array_to_vector(F.array(*[pick(j) for j in others])).alias("features"), pick(target).alias("label"))

@@ -12,7 +12,7 @@ from ..functions.values import lookup_key
 from .ordering import order_key
 from .skew import first_per_key, join_lookup
 
-_JOINS = {"inner": "inner", "left": "left", "right": "right", "outer": "full"}
+_JOINS = ("inner", "left", "right", "outer")
 
 
 def _list(names: str | Sequence[str]) -> list[str]:
@@ -48,7 +48,12 @@ def join_tables(
     l = nan_to_null(left).select(*[col(c).alias(n) for c, n in lnames.items()])
     r = nan_to_null(right).select(*[col(c).alias(n) for c, n in rnames.items()])
     on = [F.col(lnames[a]).eqNullSafe(F.col(rnames[b])) for a, b in zip(lkeys, rkeys)]
-    joined = l.join(r, on, _JOINS[how])
+    joined = l.join(r, on, "left" if how == "outer" else how)
+    if how == "outer":
+        # A full join cannot be broadcast or split; a left join and the unmatched right rows can.
+        seen = l.select(*[F.col(lnames[a]).alias(rnames[b]) for a, b in zip(lkeys, rkeys)]).distinct()
+        marked = join_lookup(r, seen.withColumn("__seen", F.lit(True)), [rnames[b] for b in rkeys], null_safe=True)
+        joined = joined.unionByName(marked.where("__seen is null").drop("__seen"), allowMissingColumns=True)
     out: list[Column] = []
     for c, n in lnames.items():
         if c in shared:

@@ -28,18 +28,24 @@ def order_key(df: DataFrame, order_by: str | Sequence[str]) -> list[str]:
     return [require_column(df, n) for n in names]
 
 
+def position(df: DataFrame, order_by: str | Sequence[str]) -> Column:
+    """The row key as one comparable value; a single column stays plain, which aggregates faster."""
+    names = order_key(df, order_by)
+    return col(names[0]) if len(names) == 1 else _key(names)
+
+
 def _key(names: Sequence[str]) -> Column:
     return F.struct(*[col(n).alias(f"k{i}") for i, n in enumerate(names)])
 
 
-def range_cuts(df: DataFrame, order_by: Sequence[str], rows_per_range: int = ROWS_PER_RANGE) -> list:
+def range_cuts(df: DataFrame, order_by: Sequence[str], rows_per_range: int | None = None) -> list:
     """Cut points (key structs, ascending) that split ``df`` into about equal ranges.
 
     The sample is bounded by the number of ranges, never by the data.
     """
     df = df.select(*[col(n) for n in order_by])
     total = df.count()
-    ranges = min(MAX_RANGES, -(-total // rows_per_range))
+    ranges = min(MAX_RANGES, -(-total // (rows_per_range or ROWS_PER_RANGE)))
     if ranges <= 1:
         return []
     share = min(1.0, ranges * _SAMPLE_PER_RANGE / total)
@@ -83,7 +89,7 @@ def with_running_total(
     amount: Column,
     name: str,
     *,
-    rows_per_range: int = ROWS_PER_RANGE,
+    rows_per_range: int | None = None,
     cut_by: DataFrame | None = None,
 ) -> DataFrame:
     """Add the sum of ``amount`` over all rows up to and including this one.
@@ -110,7 +116,7 @@ def with_row_number(
     order_by: str | Sequence[str],
     name: str,
     *,
-    rows_per_range: int = ROWS_PER_RANGE,
+    rows_per_range: int | None = None,
 ) -> DataFrame:
     """Add the 1-based position of each row in key order."""
     return with_running_total(
@@ -125,7 +131,7 @@ def carried(
     forward: bool = True,
     both_ways: bool = False,
     blanks: bool = False,
-    rows_per_range: int = ROWS_PER_RANGE,
+    rows_per_range: int | None = None,
 ) -> DataFrame:
     """Fill gaps in ``column`` with the nearest earlier (or later) value in key order.
 

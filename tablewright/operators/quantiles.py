@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.missing import data_type, is_number, known
 from ..functions.naming import col
-from .ordering import ROWS_PER_RANGE, range_cuts, range_of
+from .ordering import range_cuts, range_of
 
 _BINS = 1024
 
@@ -153,7 +153,7 @@ def group_quantiles(
     column: str,
     probs: Sequence[float],
     *,
-    rows_per_range: int = ROWS_PER_RANGE,
+    rows_per_range: int | None = None,
 ) -> DataFrame:
     """Rows (keys…, q0, q1, …): quantiles of one column per group; NULL keys form a group.
 

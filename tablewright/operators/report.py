@@ -59,14 +59,18 @@ def category_section(df: DataFrame, names: list[str], *, top: int = REPORT_CATEG
 
 
 def _kpis(overview: DataFrame, outliers: DataFrame) -> DataFrame:
-    base = overview.agg(
-        F.coalesce(F.max("row_count"), F.lit(0)).alias("rows"), F.count(F.lit(1)).alias("columns"),
-        F.count_if(F.col("kind") == "numeric").alias("numeric_columns"),
-        F.count_if(F.col("kind") == "categorical").alias("categorical_columns"),
-        F.count_if(F.col("null_count") > 0).alias("missing_columns"))
-    hits = outliers.agg(F.count_if(F.col("count") > 0).alias("outlier_columns"))
-    one = F.lit(1).alias("one")
-    return base.select("*", one).join(hits.select("*", one), "one").drop("one")
+    count = lambda test: F.when(test, 1).otherwise(0).cast("bigint")
+    zero = F.lit(0).cast("bigint")
+    per_column = overview.select(
+        "row_count", F.lit(1).cast("bigint").alias("column"), count(F.col("kind") == "numeric").alias("numeric"),
+        count(F.col("kind") == "categorical").alias("categorical"), count(F.col("null_count") > 0).alias("missing"),
+        zero.alias("outlier"))
+    per_test = outliers.select(
+        zero.alias("row_count"), zero.alias("column"), zero.alias("numeric"), zero.alias("categorical"),
+        zero.alias("missing"), count(F.col("count") > 0).alias("outlier"))
+    return per_column.unionByName(per_test).agg(
+        F.coalesce(F.max("row_count"), zero).alias("rows"), F.sum("column").alias("columns"),
+        *[F.sum(n).alias(f"{n}_columns") for n in ("numeric", "categorical", "missing", "outlier")])
 
 
 def kpis(df: DataFrame) -> DataFrame:

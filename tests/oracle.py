@@ -1,4 +1,8 @@
-"""Compare registered queries with their DuckDB statements: python tests/oracle.py [sf dir] [name …]"""
+"""Compare registered queries with their DuckDB statements: python tests/oracle.py [--scale] [sf dir] [name …]
+
+``--scale`` makes small tables take the paths of large ones: many ranges, no broadcast by size, salted
+lookups; and lists plan nodes that would not survive growth.
+"""
 from __future__ import annotations
 
 import math
@@ -53,18 +57,40 @@ def compare(spark, con, sf_dir: str, fn, sql: str | None) -> str:
     return f"ok {len(got)}" + (f" types differ: {[(c, dict(df.dtypes)[c], types[c]) for c in odd]}" if odd else "")
 
 
+def scale_mode(spark) -> None:
+    from tablewright.operators import impute, ordering, skew
+
+    ordering.ROWS_PER_RANGE = 700
+    impute.BLOCK_POINTS = 60
+    skew.HOT_SHARE = 0.02
+    skew.SALTS = 4
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    spark.conf.set("spark.sql.adaptive.autoBroadcastJoinThreshold", "-1")
+
+
+def growth_risks(df) -> list[str]:
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    return [n for n in ("CartesianProduct", "BroadcastNestedLoopJoin", "Exchange SinglePartition") if n in plan]
+
+
 if __name__ == "__main__":
     from __spark_entry__ import oracle_sql, queries
     from tablewright.session import local_session
 
-    sf = sys.argv[1] if len(sys.argv) > 1 else "/root/testdata/sf0.01"
+    args = [a for a in sys.argv[1:] if a != "--scale"]
+    sf = args[0] if args else "/root/testdata/sf0.01"
     spark, con, sqls = local_session(8), connect(sf), oracle_sql()
+    scale = "--scale" in sys.argv
+    if scale:
+        scale_mode(spark)
     for name, fn in queries().items():
-        if len(sys.argv) > 2 and not any(name.startswith(a) for a in sys.argv[2:]):
+        if len(args) > 1 and not any(name.startswith(a) for a in args[1:]):
             continue
         t = time.time()
         try:
             result = compare(spark, con, sf, fn, sqls.get(name))
+            if scale and (risks := growth_risks(fn(spark, sf))):
+                result += f" {risks}"
         except Exception as e:  # the listing goes on with the next query
             result = f"ERROR {type(e).__name__} {str(e)[:400]}"
         print(f"{time.time() - t:6.1f}s {name}: {result}", flush=True)
