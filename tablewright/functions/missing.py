@@ -65,6 +65,21 @@ def present(df: DataFrame, name: str) -> Column:
     return col(name)
 
 
+_SHORT = 64
+
+
+def compact_key(c: Column, dtype: T.DataType) -> Column:
+    """A stand-in for grouping and matching: long text as its length and SHA-256, anything else as it is.
+
+    Whole texts decide, but only the digest travels. A digest key is longer than any short text, so the
+    two never meet.
+    """
+    if not is_text(dtype):
+        return c
+    return F.when(F.length(c) <= _SHORT, c).otherwise(
+        F.concat(F.length(c).cast("string"), F.lit(":"), F.sha2(c, 256)))
+
+
 def any_missing(df: DataFrame, names: list[str]) -> Column:
     return reduce(lambda a, b: a | b, [is_missing(df, n) for n in names], F.lit(False))
 

@@ -6,7 +6,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window, functions as F
 
 from ..constants import DUPLICATES_LISTED
-from ..functions.missing import data_type, is_missing, is_text, known, nan_to_null
+from ..functions.missing import compact_key, data_type, is_missing, is_text, known, nan_to_null
 from ..functions.naming import col, resolve_columns, temp_name
 from ..functions.values import value_label
 from .ordering import order_key
@@ -41,10 +41,11 @@ def with_duplicate_flag(
     Repeated values are found by a partial aggregation and joined back, so no task ever holds all rows
     of one value.
     """
-    out = nan_to_null(df)
+    out = df
     flags = []
     for i, c in enumerate(_columns(df, columns)):
         value = F.when(~is_missing(df, c), col(c)) if dropna else known(df, c)
+        value = compact_key(value, data_type(df, c))
         flag, key = temp_name(out, f"repeated_{i}"), temp_name(out, f"value_{i}")
         out = out.withColumn(key, value)
         repeated = (

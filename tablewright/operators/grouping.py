@@ -3,10 +3,10 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from ..constants import GROUP_CHART_LIMIT, OTHER_LABEL
-from ..functions.missing import category_text, is_missing, known, nan_to_null
+from ..functions.missing import category_text, data_type, is_missing, known
 from ..functions.naming import col, require_column, resolve_columns
 from .ordering import position
 from .quantiles import group_quantiles
@@ -25,6 +25,8 @@ _AGGREGATES = {
     "max": F.max,
     "std": F.stddev_samp,
     "var": F.var_samp,
+    "sem": lambda c: F.stddev_samp(c) / F.sqrt(F.count(c)),
+    "prod": lambda c: F.coalesce(F.product(c), F.lit(1.0)),
     "size": lambda c: F.count(F.lit(1)),
 }
 
@@ -44,7 +46,9 @@ def group_summary(
     keys = resolve_columns(df, [group_by] if isinstance(group_by, str) else group_by)
     if not keys or value not in df.columns:
         raise ValueError("unknown group or value column")
-    slim = nan_to_null(df)
+    slim = df.withColumns({c: known(df, c) for c in [*keys, value]})
+    if isinstance(data_type(df, value), T.BooleanType) and agg in ("sum", "mean", "std", "var", "median"):
+        slim = slim.withColumn(value, col(value).cast("int"))  # True counts as 1
     out_name = value
     if agg == "median":
         result = group_quantiles(slim, keys, value, [0.5]).withColumnRenamed("q0", out_name)

@@ -6,7 +6,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..constants import ENRICH_SUFFIX, LEFT_RIGHT_SUFFIXES, PREVIEW_ROWS
-from ..functions.missing import data_type, nan_to_null
+from ..functions.missing import data_type, is_number, is_text, known
 from ..functions.naming import col, require_column, unique_name
 from ..functions.values import lookup_key
 from .ordering import order_key
@@ -41,12 +41,16 @@ def join_tables(
     for table, keys in ((left, lkeys), (right, rkeys)):
         for k in keys:
             require_column(table, k)
+    for a, b in zip(lkeys, rkeys):
+        if is_text(data_type(left, a)) != is_text(data_type(right, b)):
+            raise ValueError(f"key columns {a!r} and {b!r} hold text and another type")
     shared = {a for a, b in zip(lkeys, rkeys) if a == b}
     clash = (set(left.columns) & set(right.columns)) - shared
     lnames = {c: f"__l{i}" for i, c in enumerate(left.columns)}
     rnames = {c: f"__r{i}" for i, c in enumerate(right.columns)}
-    l = nan_to_null(left).select(*[col(c).alias(n) for c, n in lnames.items()])
-    r = nan_to_null(right).select(*[col(c).alias(n) for c, n in rnames.items()])
+    # NaN is no key value; only keys are normalised, other columns pass through untouched.
+    l = left.select(*[(known(left, c) if c in lkeys else col(c)).alias(n) for c, n in lnames.items()])
+    r = right.select(*[(known(right, c) if c in rkeys else col(c)).alias(n) for c, n in rnames.items()])
     on = [F.col(lnames[a]).eqNullSafe(F.col(rnames[b])) for a, b in zip(lkeys, rkeys)]
     joined = l.join(r, on, "left" if how == "outer" else how)
     if how == "outer":
@@ -134,6 +138,16 @@ def enrich(
     return joined.drop(key)
 
 
+def _one_type(tables: Sequence[DataFrame]) -> list[DataFrame]:
+    """A column whose types differ between tables (other than numbers) becomes text in all of them."""
+    types: dict[str, set] = {}
+    for t in tables:
+        for f in t.schema:
+            types.setdefault(f.name, set()).add(f.dataType)
+    mixed = {n for n, kinds in types.items() if len(kinds) > 1 and not all(map(is_number, kinds))}
+    return [t.withColumns({c: col(c).cast("string") for c in t.columns if c in mixed}) if mixed else t for t in tables]
+
+
 def stack_tables(
     tables: Sequence[DataFrame],
     *,
@@ -146,6 +160,7 @@ def stack_tables(
     """
     if not tables:
         raise ValueError("no tables to stack")
+    tables = _one_type(tables)
     part = unique_name([c for t in tables for c in t.columns], "__table")
     if number is None:
         out = tables[0]

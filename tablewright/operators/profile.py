@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from ..constants import MAX_CATEGORIES, PLOT_ROWS, SEED
 from ..functions.missing import (
-    data_type, is_datetime, is_missing, is_number, known, numeric_columns)
+    compact_key, data_type, is_datetime, is_missing, is_number, known, numeric_columns)
 from ..functions.naming import col, require_column, resolve_columns
 from .grouping import frequencies
 from .ordering import order_key
@@ -37,7 +37,7 @@ def distinct_counts(df: DataFrame, columns: Sequence[str], *, approx: bool = Fal
     names = resolve_columns(df, columns)
     if not names:
         return df.sparkSession.createDataFrame([], "column string, unique_count bigint")
-    texts = {c: known(df, c).cast("string") for c in names}
+    texts = {c: compact_key(known(df, c), data_type(df, c)).cast("string") for c in names}
     if approx:
         wide = df.agg(*[F.approx_count_distinct(t).alias(f"u{i}") for i, t in enumerate(texts.values())])
         return wide.select(F.inline(F.array(*[

@@ -34,10 +34,14 @@ class _Bin:
     inside: list[Column] = field(default_factory=list)
 
     def bin_of(self, value: Column) -> Column:
-        # Scaling before subtracting keeps the width finite for extreme bounds.
-        step = self.high / _BINS - self.low / _BINS
-        number = F.floor(value / step - self.low / step) if step > 0 else F.lit(0)
-        return F.least(F.greatest(number, F.lit(0)), F.lit(_BINS - 1)).cast("int")
+        """Equal-width bins; the lowest and the highest value never share one, so a search always ends."""
+        last = F.lit(_BINS - 1)
+        if math.isinf(self.low) or math.isinf(self.high):
+            return F.when(value == F.lit(-math.inf), 0).when(value == F.lit(math.inf), last).otherwise(1)
+        step = self.high / _BINS - self.low / _BINS  # finite even where the range is not
+        if step == 0.0:
+            return F.when(value == self.low, 0).otherwise(1)
+        return F.least(F.floor((value - self.low) / step), last).cast("int")
 
 
 def _search(df: DataFrame, values: dict[str, Column], bins: list[_Bin]) -> tuple[dict, list[_Bin]]:

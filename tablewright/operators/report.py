@@ -1,7 +1,7 @@
 """The tables of an exploratory report, each as a DataFrame."""
 from __future__ import annotations
 
-from dataclasses import dataclass
+from functools import cached_property
 
 from pyspark.sql import DataFrame, Window, functions as F
 
@@ -11,21 +11,63 @@ from ..constants import (
 from ..functions.missing import is_missing, numeric_columns
 from ..functions.naming import col
 from .outliers import outlier_summary
-from .profile import column_overview, missing_summary
+from .profile import column_overview
 from .relations import top_correlations
 
 
-@dataclass
+def _held(table: DataFrame) -> DataFrame:
+    """A result with one row per column, kept so that the tables built on it do not scan again."""
+    return table.sparkSession.createDataFrame(table.collect(), table.schema)
+
+
 class Report:
-    """Lazy tables that share one column overview and one outlier scan."""
+    """Report tables of one DataFrame, each made when first asked for.
+
+    The column overview, the outlier counts and the correlations are computed once and shared; they have
+    at most one row per column, or 25.
+    """
+
+    def __init__(self, df: DataFrame) -> None:
+        self.df = df
+
+    @cached_property
+    def overview(self) -> DataFrame:
+        return _held(column_overview(self.df))
+
+    @cached_property
+    def outlier_counts(self) -> DataFrame:
+        return _held(outlier_summary(self.df, numeric_columns(self.df), "iqr"))
+
+    @cached_property
+    def correlations(self) -> DataFrame:
+        return _held(top_correlations(self.df))
+
+    @property
+    def kpis(self) -> DataFrame:
+        return _kpis(self.overview, self.outlier_counts)
+
+    @property
+    def missing(self) -> DataFrame:
+        listed = self.overview.where("null_count > 0").orderBy(F.desc("null_count"), "position")
+        return listed.limit(REPORT_LIST_ROWS).select("column", "null_count", "null_pct")
 
-    overview: DataFrame
-    kpis: DataFrame
-    missing: DataFrame
-    outliers: DataFrame
-    correlations: DataFrame
-    categories: DataFrame
-    insights: DataFrame
+    @property
+    def outliers(self) -> DataFrame:
+        hits = self.outlier_counts.where("count > 0")
+        return hits.orderBy(F.desc("count"), "column").limit(REPORT_LIST_ROWS)
+
+    @property
+    def categories(self) -> DataFrame:
+        found = category_columns(self.overview).orderBy("position").limit(REPORT_CATEGORY_COLUMNS)
+        return category_section(self.df, [r["column"] for r in found.collect()])
+
+    @property
+    def category_charts(self) -> DataFrame:
+        return pick_category_charts(self.overview)
+
+    @property
+    def insights(self) -> DataFrame:
+        return _insights(self.overview, self.outlier_counts, self.correlations)
 
 
 def category_columns(overview: DataFrame) -> DataFrame:
@@ -73,11 +115,6 @@ def _kpis(overview: DataFrame, outliers: DataFrame) -> DataFrame:
         *[F.sum(n).alias(f"{n}_columns") for n in ("numeric", "categorical", "missing", "outlier")])
 
 
-def kpis(df: DataFrame) -> DataFrame:
-    """One row with the report's headline counts."""
-    return _kpis(column_overview(df), outlier_summary(df, numeric_columns(df), "iqr"))
-
-
 def _fact(kind: str, subject, other, number, share) -> list:
     return [F.lit(kind).alias("fact"), subject.alias("subject"), other.alias("other"),
             number.cast("double").alias("number"), share.cast("double").alias("share")]
@@ -105,27 +142,3 @@ def _insights(overview: DataFrame, outliers: DataFrame, corr: DataFrame) -> Data
         F.count(F.lit(1)).alias("n")).where("n > 0").select(
         *_fact("most_outliers", F.col("column"), nothing, F.col("n"), F.col("pct")))
     return shape.unionByName(gaps).unionByName(links).unionByName(odd)
-
-
-def insights(df: DataFrame) -> DataFrame:
-    return build_report(df).insights
-
-
-def build_report(df: DataFrame) -> Report:
-    """All report tables. Only the list of categorical columns is fetched, to shape its section."""
-    overview = column_overview(df)
-    outliers = outlier_summary(df, numeric_columns(df), "iqr")
-    corr = top_correlations(df)
-    names = [r["column"] for r in category_columns(overview).orderBy("position")
-             .limit(REPORT_CATEGORY_COLUMNS).collect()]
-    listed = missing_summary(df).limit(REPORT_LIST_ROWS)
-    odd = outliers.where("count > 0").orderBy(F.desc("count"), "column").limit(REPORT_LIST_ROWS)
-    return Report(
-        overview=overview,
-        kpis=_kpis(overview, outliers),
-        missing=listed,
-        outliers=odd,
-        correlations=corr,
-        categories=category_section(df, names),
-        insights=_insights(overview, outliers, corr),
-    )

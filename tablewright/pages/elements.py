@@ -34,11 +34,14 @@ SILENT = frozenset({"script", "style", "template"})
 # ``texts``: stripped text pieces of the page. An element owns pieces first + 1 … last, so text is
 # stored once however deep it is nested. ``path`` spells the ancestors for selector matching; ``twins``
 # counts the siblings of one tag and classes, on the first of them; ``link`` is the first link inside.
-ELEMENT = (
-    "struct<tag:string, id:string, classes:array<string>, attrs:map<string,string>, parent:int, path:string, "
-    "first:int, last:int, table_no:int, row_no:int, col_no:int, twins:int, link:string>"
-)
-PARSED = f"elements array<{ELEMENT}>, texts array<string>"
+ELEMENT = {
+    "tag": "string", "id": "string", "classes": "array<string>", "attrs": "map<string,string>", "parent": "int",
+    "path": "string", "first": "int", "last": "int", "table_no": "int", "row_no": "int", "col_no": "int",
+    "twins": "int", "link": "string",
+}
+MATCHING = ("attrs", "path", "first", "last")
+TABLES = ("tag", "first", "last", "table_no", "row_no", "col_no")
+SCANNING = ("tag", "id", "classes", "parent", "first", "last", "twins", "link")
 VALUE_ATTRS = ("href", "src")
 _SPREAD_BYTES = 1 << 30
 _CHUNK_CHARS = 1 << 21  # markup per output batch, which bounds the memory of a task
@@ -176,10 +179,12 @@ def _dealt(pages: DataFrame) -> DataFrame:
     return pages.repartition(pages.sparkSession.sparkContext.defaultParallelism)
 
 
-def parse_pages(pages: DataFrame, html: str = "html", *, attributes: Sequence[str] = ()) -> DataFrame:
+def parse_pages(
+    pages: DataFrame, html: str = "html", *, attributes: Sequence[str] = (), parts: Sequence[str] = tuple(ELEMENT)
+) -> DataFrame:
     """Replace the markup column by ``elements`` and ``texts``; every other column stays.
 
-    ``attributes`` are the attribute names selectors may test.
+    ``attributes`` are the attribute names selectors may test; ``parts`` the element fields to hand over.
     """
     keep = [c for c in pages.columns if c != html]
     spelled = frozenset(attributes)
@@ -192,7 +197,9 @@ def parse_pages(pages: DataFrame, html: str = "html", *, attributes: Sequence[st
                 yield part[keep].assign(elements=[p[0] for p in parsed], texts=[p[1] for p in parsed])
 
     kept = [f"`{f.name}` {f.dataType.simpleString()}" for f in pages.schema if f.name in keep]
-    return _dealt(pages.select(*[col(c) for c in [*keep, html]])).mapInPandas(parse, ", ".join([*kept, PARSED]))
+    element = ",".join(f"{p}:{ELEMENT[p]}" for p in parts)
+    schema = ", ".join([*kept, f"elements array<struct<{element}>>", "texts array<string>"])
+    return _dealt(pages.select(*[col(c) for c in [*keep, html]])).mapInPandas(parse, schema)
 
 
 def text_of(element: Column) -> Column:
@@ -207,4 +214,4 @@ def page_tables(pages: DataFrame, html: str = "html") -> DataFrame:
     rows = F.transform(cells, lambda e: F.struct(
         e["row_no"].alias("row_no"), e["col_no"].alias("col_no"),
         (e["tag"] == "th").alias("is_header"), text_of(e).alias("text")))
-    return parse_pages(pages, html).select(*[col(c) for c in keep], F.inline(rows))
+    return parse_pages(pages, html, parts=TABLES).select(*[col(c) for c in keep], F.inline(rows))

@@ -12,7 +12,7 @@ from ..functions.missing import present
 from ..functions.naming import col, require_column
 from ..operators.ordering import order_key
 from ..operators.skew import first_per_key, fits_broadcast, join_lookup
-from .elements import parse_pages, text_of
+from .elements import MATCHING, parse_pages, text_of
 from .css import Selector, compile_selector
 
 _KINDS = ("text", "href", "src")
@@ -51,7 +51,7 @@ def extract_values(
     if limit is not None and limit >= 0:
         values = F.slice(values, 1, limit)
     keep = [c for c in pages.columns if c != html]
-    parsed = parse_pages(pages, html, attributes=compiled.attributes)
+    parsed = parse_pages(pages, html, attributes=compiled.attributes, parts=MATCHING)
     return parsed.select(*[col(c) for c in keep], F.posexplode(values).alias("pos", name))
 
 
@@ -96,7 +96,7 @@ def extract_fields(
     """One row per page with one column per field: its matches joined, '' for none."""
     columns, attributes = _field_columns(fields, join_multi, separator)
     keep = [c for c in pages.columns if c != html]
-    return parse_pages(pages, html, attributes=attributes).select(*[col(c) for c in keep], *columns)
+    return parse_pages(pages, html, attributes=attributes, parts=MATCHING).select(*[col(c) for c in keep], *columns)
 
 
 # ---------------------------------------------------------------- batches
@@ -170,7 +170,7 @@ def extract_batch(
     listed = wanted.select("url").distinct()
     if fits_broadcast(listed):
         stored = stored.join(F.broadcast(listed), "url", "left_semi")  # size checked above
-    taken = parse_pages(stored, "html", attributes=attributes).select(
+    taken = parse_pages(stored, "html", attributes=attributes, parts=MATCHING).select(
         "url", *[f"__k{i}" for i in range(len(keys))], *columns, F.lit("").alias("error"))
     taken = first_per_key(taken, ["url"], [f"__k{i}" for i in range(len(keys))]).drop(*[f"__k{i}" for i in range(len(keys))])
     joined = join_lookup(wanted, taken, ["url"])

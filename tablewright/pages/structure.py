@@ -4,7 +4,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.naming import col
-from .elements import parse_pages, text_of
+from .elements import SCANNING, parse_pages, text_of
 
 # Elements that are no content blocks, and tags typical of lists.
 SKIPPED = ("script", "style", "noscript", "svg", "path", "meta", "link", "head", "br", "hr", "input", "button", "option")
@@ -101,7 +101,7 @@ def scan_structure(
 
     found = F.transform(F.filter("elements", eligible), _candidate)
     # Sibling groups with one selector select the same elements; the largest group sets the size limit.
-    parsed = parse_pages(pages, html).withColumn("found", F.array_distinct(found))
+    parsed = parse_pages(pages, html, parts=SCANNING).withColumn("found", F.array_distinct(found))
     matched = parsed.withColumn("found", F.transform("found", lambda c: c.withField("matched", _matched(c))))
     size = lambda c: F.size(c["matched"])
     fits = F.filter("found", lambda c: (size(c) >= min_items) & (

@@ -1,6 +1,5 @@
 """Exploratory-report queries."""
 from ..operators import report as T
-from ..operators.profile import column_overview
 from .describe import _OVERVIEW
 from .registry import GAPPY_SQL, gappy_orders, query, rounded, table
 
@@ -18,7 +17,7 @@ _OUTLIERS = " UNION ALL ".join(f"""
              + CASE WHEN (SELECT count(DISTINCT props) FROM events) <= 30 THEN 1 ELSE 0 END AS categorical_columns,
            0 AS missing_columns, (SELECT count(*) FROM ({_OUTLIERS}) o WHERE count > 0) AS outlier_columns""")
 def _(spark, d):
-    return T.kpis(table(spark, d, "events"))
+    return T.Report(table(spark, d, "events")).kpis
 
 
 @query("report_insights", f"""
@@ -30,19 +29,19 @@ def _(spark, d):
               UNION ALL SELECT 'o_custkey', 'o_totalprice', corr(o_custkey, o_totalprice) FROM {GAPPY_SQL} g) c
         ORDER BY abs(r) DESC, a, b LIMIT 1) s""")
 def _(spark, d):
-    return rounded(T.insights(gappy_orders(spark, d)), 6, "share")
+    return rounded(T.Report(gappy_orders(spark, d)).insights, 6, "share")
 
 
 @query("report_outliers", f"""
     SELECT "column", count, round(pct, 6) AS pct FROM ({_OUTLIERS}) o WHERE count > 0 ORDER BY count DESC, "column" LIMIT 30""")
 def _(spark, d):
-    return rounded(T.build_report(table(spark, d, "events")).outliers, 6, "pct")
+    return rounded(T.Report(table(spark, d, "events")).outliers, 6, "pct")
 
 
 @query("report_missing", f"""
     SELECT "column", null_count, null_pct FROM ({_OVERVIEW}) o WHERE null_count > 0 ORDER BY null_count DESC, position LIMIT 30""")
 def _(spark, d):
-    return rounded(T.build_report(gappy_orders(spark, d)).missing, 6, "null_pct")
+    return rounded(T.Report(gappy_orders(spark, d)).missing, 6, "null_pct")
 
 
 @query("report_categories", """
@@ -52,7 +51,7 @@ def _(spark, d):
            CAST(sum(count) OVER (PARTITION BY "column") AS BIGINT) AS valid, count(*) OVER (PARTITION BY "column") AS distinct_values
     FROM c QUALIFY row_number() OVER (PARTITION BY "column" ORDER BY count DESC, value) <= 10""")
 def _(spark, d):
-    return rounded(T.build_report(table(spark, d, "lineitem")).categories, 6, "pct")
+    return rounded(T.Report(table(spark, d, "lineitem")).categories, 6, "pct")
 
 
 @query("report_category_charts", """
@@ -61,4 +60,4 @@ def _(spark, d):
         UNION ALL SELECT 1, 'c_mktsegment', count(DISTINCT c_mktsegment) FROM customer) x
     WHERE n BETWEEN 2 AND 30 ORDER BY n, p LIMIT 4""")
 def _(spark, d):
-    return T.pick_category_charts(column_overview(table(spark, d, "customer")))
+    return T.Report(table(spark, d, "customer")).category_charts

@@ -42,6 +42,13 @@ def _(spark, d):
     return load_table(spark, path)
 
 
+@query("load_sniffed", "SELECT n_nationkey, n_name FROM nation")
+def _(spark, d):
+    path = scratch_path(spark, "semicolons")
+    table(spark, d, "nation").select("n_nationkey", "n_name").coalesce(1).write.option("header", True).option("sep", ";").csv(path)
+    return load_table(spark, path)
+
+
 @query("load_xml", "SELECT n_name AS name, n_nationkey AS id FROM nation")
 def _(spark, d):
     path = scratch_path(spark, "xml") + ".xml"

@@ -88,3 +88,14 @@ def test_describe_groups_with_one_value(spark):
     df = spark.createDataFrame([("a", 1.0), ("b", 2.0), ("b", 4.0), (None, 1.0)], "g string, v double")
     got = {r["group"]: (r["count"], r["mean"], r["std"], r["median"]) for r in G.describe_groups(df, "g", "v").collect()}
     assert got["a"] == (1, 1.0, None, 1.0) and got["b"][3] == 3.0 and "None" in got
+
+
+def test_mixed_types(spark):
+    a, b = spark.createDataFrame([(1,)], "k long"), spark.createDataFrame([("x",)], "k string")
+    assert sets(J.stack_tables([a, b]), "k") == [("1",), ("x",)]
+    with pytest.raises(ValueError):
+        J.join_tables(a, b, "k", "k")
+    flags = spark.createDataFrame([("a", True), ("a", None), ("a", True)], "g string, v boolean")
+    assert G.group_summary(flags, "g", "v", "sum").first()["v"] == 2
+    numbers = spark.createDataFrame([("a", 2.0), ("a", 3.0), ("b", None)], "g string, v double")
+    assert [r["v"] for r in G.group_summary(numbers, "g", "v", "prod").collect()] == [6.0, 1.0]

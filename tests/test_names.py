@@ -63,7 +63,7 @@ CASES = {
     "forest": lambda t: O.with_outlier_flag(t, [OTHER], "isolation_forest", order_by=KEY),
     "neighbours": lambda t: I.fill_knn(t, [NUM, OTHER]),
     "regressions": lambda t: I.fill_mice(t, [NUM, OTHER], max_iter=1),
-    "insights": lambda t: T.insights(t),
+    "insights": lambda t: T.Report(t).insights,
     "sort": lambda t: stable_sort(t, NUM, KEY),
     "numbers": lambda t: with_row_number(t, KEY, "n", rows_per_range=5),
 }

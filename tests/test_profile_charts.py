@@ -127,9 +127,9 @@ def test_isolation_forest_finds_far_points(spark):
 
 
 def test_report(people):
-    report = T.build_report(people)
+    report = T.Report(people)
     k = report.kpis.first()
     assert (k["rows"], k["columns"], k["numeric_columns"], k["categorical_columns"], k["missing_columns"]) == (5, 3, 2, 1, 2)
     assert {r["fact"] for r in report.insights.collect()} >= {"shape", "most_missing", "strongest_correlation", "most_outliers"}
     assert report.categories.count() == 3 and report.correlations.count() == 1
-    assert [r["column"] for r in T.pick_category_charts(report.overview).collect()] == ["city"]
+    assert [r["column"] for r in report.category_charts.collect()] == ["city"]

@@ -54,6 +54,16 @@ def test_quantiles_of_awkward_columns(spark):
     assert got == {"a": [1.0, 2.0], "b": [None, None], "c": [5.0, 1e300]}
 
 
+def test_quantiles_of_extreme_ranges(spark):
+    up = float("inf")
+    rows = [(5e-324, -up, 1.0), (0.0, 1.0, 1.0000000000000002), (5e-324, 2.0, 1.0), (1e-323, up, 1.0000000000000002)]
+    df = spark.createDataFrame(rows, "tiny double, endless double, close double")
+    got = quantiles.column_quantiles(df, ["tiny", "endless", "close"], [1 / 3, 2 / 3])
+    assert got == {"tiny": [5e-324, 5e-324], "endless": [1.0, 2.0], "close": [1.0, 1.0000000000000002]}
+    wide = spark.range(400).select(F.pow(F.lit(2.0), F.col("id") - 200).alias("v"))
+    assert quantiles.column_quantiles(wide, ["v"], [0.0, 100 / 399, 1.0])["v"] == [2.0 ** -200, 2.0 ** -100, 2.0 ** 199]
+
+
 def test_group_quantiles_with_a_hot_group_over_ranges(spark, sf_dir):
     l = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
     # One group with most rows, one NULL group, many small ones.
