@@ -2,18 +2,18 @@
 
 AQE splits skewed partitions only when both join inputs come straight from a shuffle. A lookup table
 that was just deduplicated or aggregated does not, so hot keys are spread here: rows of a hot key
-get one of ``SALTS`` numbers and its single lookup row is repeated once per number.
+get one of several numbers and its single lookup row is repeated once per number.
 """
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..constants import SEED
 from ..functions.naming import col, temp_name
 
-SALTS = 64
 # A key with at least this share of the rows is hot; there can be no more than 1 / share of them.
 HOT_SHARE = 0.005
 _SAMPLE_ROWS = 200_000
@@ -30,23 +30,36 @@ def fits_broadcast(df: DataFrame) -> bool:
     return plan_bytes(df) <= int(limit)
 
 
-def hot_key_hashes(df: DataFrame, key_hash: Column) -> list[int]:
-    """Hashes of the keys that hold a large share of the rows.
+def hot_key_salts(df: DataFrame, key_hash: Column) -> dict[int, int]:
+    """Hash -> number of salts for the keys that hold a large share of the rows.
 
-    Taken from a sample: a miss costs balance, never rows. At most 1 / HOT_SHARE values come back.
+    A key gets its share of the shuffle partitions, so each salt is about as large as a usual partition.
+    The shares come from a sample: a miss costs balance, never rows. At most 1 / HOT_SHARE keys come back.
     """
     hashes = df.select(key_hash.alias("h"))
     total = hashes.count()
     if total == 0:
-        return []
-    share = min(1.0, _SAMPLE_ROWS / total)
-    picked = hashes.sample(fraction=share, seed=SEED) if share < 1.0 else hashes
-    floor = max(2.0, HOT_SHARE * total * share)
+        return {}
+    fraction = min(1.0, _SAMPLE_ROWS / total)
+    picked = hashes.sample(fraction=fraction, seed=SEED) if fraction < 1.0 else hashes
+    floor = max(2.0, HOT_SHARE * total * fraction)
     rows = (
         picked.groupBy("h").count().where(F.col("count") >= floor)
         .orderBy(F.desc("count")).limit(int(1 / HOT_SHARE)).collect()
     )
-    return [r["h"] for r in rows]
+    partitions = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    salts = {}
+    for r in rows:
+        wanted = r["count"] / (total * fraction) * partitions
+        salts[r["h"]] = 1 << max(1, math.ceil(math.log2(max(wanted, 1))))
+    return salts
+
+
+def _salt_count(key_hash: Column, salts: dict[int, int]) -> Column:
+    count = F.lit(1)
+    for n in sorted(set(salts.values())):  # powers of two, so only a few cases
+        count = F.when(key_hash.isin([h for h, k in salts.items() if k == n]), n).otherwise(count)
+    return count
 
 
 def join_lookup(
@@ -54,7 +67,7 @@ def join_lookup(
     lookup: DataFrame,
     on: Sequence[str],
     *,
-    hot: list[int] | None = None,
+    salts: dict[int, int] | None = None,
     null_safe: bool = False,
 ) -> DataFrame:
     """Left join on the equally named columns ``on``; ``lookup`` holds each key at most once.
@@ -74,21 +87,19 @@ def join_lookup(
         return same
 
     left_hash = F.xxhash64(*[col(k) for k in keys])
-    if hot is None:
-        hot = [] if fits_broadcast(right) else hot_key_hashes(left, left_hash)
-    if not hot:
+    if salts is None:
+        salts = {} if fits_broadcast(right) else hot_key_salts(left, left_hash)
+    if not salts:
         joined = left.join(right, match(left, right), "left")
         return joined.select(*[col(c) for c in left.columns], *[col(c) for c in extra])
 
     salt = temp_name(left, "salt")
     other = temp_name(left, "salt_r")
     # Content and task number: equal on a retry, and copies of a row still spread over the tasks.
-    spread = F.pmod(F.xxhash64(*[col(c) for c in left.columns], F.spark_partition_id()), F.lit(SALTS))
-    left_s = left.withColumn(salt, F.when(left_hash.isin(hot), spread).otherwise(F.lit(0)).cast("int"))
+    spread = F.xxhash64(*[col(c) for c in left.columns], F.spark_partition_id())
+    left_s = left.withColumn(salt, F.pmod(spread, _salt_count(left_hash, salts)).cast("int"))
     right_hash = F.xxhash64(*[col(renamed[k]) for k in keys])
-    numbers = F.when(right_hash.isin(hot), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(
-        F.array(F.lit(0)))
-    right_s = right.withColumn(other, F.explode(numbers))
+    right_s = right.withColumn(other, F.explode(F.sequence(F.lit(0), _salt_count(right_hash, salts) - 1)))
     joined = left_s.join(right_s, match(left_s, right_s) & (left_s[salt] == right_s[other]), "left")
     return joined.select(*[col(c) for c in left.columns], *[col(c) for c in extra])
 
@@ -98,8 +109,6 @@ def first_per_key(df: DataFrame, keys: Sequence[str], order_by: Sequence[str]) -
 
     The rank filter lets Spark keep one row per key and task before the shuffle, so a hot key is cheap.
     """
-    from pyspark.sql import Window
-
     rank = temp_name(df, "rank")
     window = Window.partitionBy(*[col(k) for k in keys]).orderBy(*[col(c) for c in order_by])
     return df.withColumn(rank, F.row_number().over(window)).where(col(rank) == 1).drop(rank)

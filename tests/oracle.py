@@ -63,7 +63,6 @@ def scale_mode(spark) -> None:
     ordering.ROWS_PER_RANGE = 700
     impute.BLOCK_POINTS = 60
     skew.HOT_SHARE = 0.02
-    skew.SALTS = 4
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
     spark.conf.set("spark.sql.adaptive.autoBroadcastJoinThreshold", "-1")
 
