@@ -92,8 +92,14 @@ def nan_to_null(df: DataFrame) -> DataFrame:
     return df.select(*[known(df, c).alias(c) if c in floats else col(c) for c in df.columns])
 
 
+def as_text(c: Column, dtype: T.DataType) -> Column:
+    """The value as displayed: booleans are True and False."""
+    text = c.cast("string")
+    return F.initcap(text) if isinstance(dtype, T.BooleanType) else text
+
+
 def category_text(df: DataFrame, name: str) -> Column:
     """A value as a category label; a missing value is a category of its own."""
     dtype = data_type(df, name)
     gap = "None" if is_text(dtype) else "NaT" if is_datetime(dtype) else "nan"
-    return F.coalesce(known(df, name).cast("string"), F.lit(gap))
+    return F.coalesce(as_text(known(df, name), dtype), F.lit(gap))

@@ -4,7 +4,7 @@ from __future__ import annotations
 from pyspark.sql import Column, functions as F, types as T
 
 from ..constants import COLUMN_TYPES, EDIT_FALSE_WORDS, EDIT_TRUE_WORDS, FALSE_WORDS, TRUE_WORDS
-from .missing import is_floating, is_integer, is_number, is_text
+from .missing import as_text, is_floating, is_integer, is_number, is_text
 
 _WIDE = "decimal(38,0)"
 
@@ -31,7 +31,7 @@ def convert(c: Column, source: T.DataType, target: str) -> Column:
     """Convert to a selectable type; what cannot be read becomes NULL, nothing raises."""
     kind = spark_type_for(target)
     if kind == "string":
-        return F.when(~F.isnan(c), c).cast("string") if is_floating(source) else c.cast("string")
+        return as_text(F.when(~F.isnan(c), c) if is_floating(source) else c, source)
     if kind == "boolean":
         return c if isinstance(source, T.BooleanType) else as_boolean(c)
     if kind == "bigint":
@@ -71,10 +71,8 @@ def _whole_number_text(c: Column) -> Column:
 
 def lookup_key(c: Column, dtype: T.DataType) -> Column:
     """Key text as a spreadsheet compares it: 13, 13.0 and ' 13 ' are one key; blanks are none."""
-    if isinstance(dtype, T.BooleanType):
-        return F.initcap(c.cast("string"))
-    if is_integer(dtype):
-        return c.cast("string")
+    if isinstance(dtype, T.BooleanType) or is_integer(dtype):
+        return as_text(c, dtype)
     if is_number(dtype):
         value = F.when(~F.isnan(c), c) if is_floating(dtype) else c
         return F.coalesce(_whole_number_text(value), value.cast("string"))
@@ -86,8 +84,6 @@ def value_label(c: Column, dtype: T.DataType) -> Column:
     """Text for a listed value: whole floats without the fraction, no value as ''."""
     if is_floating(dtype):
         text = F.coalesce(_whole_number_text(c), F.when(~F.isnan(c), c).cast("string"))
-    elif isinstance(dtype, T.BooleanType):
-        text = F.initcap(c.cast("string"))
     else:
-        text = c.cast("string")
+        text = as_text(c, dtype)
     return F.coalesce(text, F.lit(""))

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..constants import NEW_COLUMN_NAME
 from ..functions import values
-from ..functions.missing import data_type, is_missing, is_number, present
+from ..functions.missing import as_text, data_type, is_missing, is_number, present
 from ..functions.naming import (
     col, dedupe_names, require_column, resolve_columns, temp_name, unique_name)
 from .ordering import with_row_number
@@ -103,7 +103,7 @@ def merge_columns(
         raise ValueError("the merged column needs a name")
     if target in df.columns:
         raise ValueError(f"column {target!r} already exists")
-    texts = [F.coalesce(present(df, c).cast("string"), F.lit("")) for c in sources]
+    texts = [F.coalesce(as_text(present(df, c), data_type(df, c)), F.lit("")) for c in sources]
     merged = F.concat_ws(separator, *texts).alias(target)
     out: list[Column] = []
     for c in df.columns:
@@ -121,7 +121,7 @@ def read_separator(text: str) -> str:
 
 def _parts(df: DataFrame, name: str, separator: str) -> Column:
     # A missing value has no parts; split() takes a pattern, so the separator is quoted.
-    return F.split(present(df, name).cast("string"), re.escape(separator), -1)
+    return F.split(as_text(present(df, name), data_type(df, name)), re.escape(separator), -1)
 
 
 def split_column(

@@ -6,7 +6,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from ..constants import GROUP_CHART_LIMIT, OTHER_LABEL
-from ..functions.missing import category_text, data_type, is_missing, known
+from ..functions.missing import as_text, category_text, data_type, is_missing, known
 from ..functions.naming import col, require_column, resolve_columns
 from .ordering import position
 from .quantiles import group_quantiles
@@ -86,7 +86,7 @@ def frequencies(df: DataFrame, column: str) -> DataFrame:
     """(value, count) of the present values as text."""
     name = require_column(df, column)
     return (
-        df.where(~is_missing(df, name)).groupBy(col(name).cast("string").alias("value"))
+        df.where(~is_missing(df, name)).groupBy(as_text(col(name), data_type(df, name)).alias("value"))
         .agg(F.count(F.lit(1)).alias("count"))
     )
 

@@ -101,7 +101,7 @@ def column_overview(df: DataFrame, *, approx: bool = False) -> DataFrame:
     rows = []
     for i, f in enumerate(df.schema):
         num = is_number(f.dataType)
-        # The spread of a single value is 0, as in the reference statistics.
+        # The spread of a single value is 0.
         std = F.when(F.col(f"c{i}") == 1, 0.0).otherwise(F.col(f"s{i}")) if num else none
         rows.append(F.struct(
             F.lit(i).alias("position"), F.lit(f.name).alias("column"),

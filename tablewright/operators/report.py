@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 from ..constants import (
     REPORT_CATEGORY_CHARTS, REPORT_CATEGORY_COLUMNS, REPORT_CATEGORY_TOP, REPORT_LIST_ROWS,
     STRONG_CORRELATION)
-from ..functions.missing import is_missing, numeric_columns
+from ..functions.missing import as_text, data_type, is_missing, numeric_columns
 from ..functions.naming import col
 from .outliers import outlier_summary
 from .profile import column_overview
@@ -87,7 +87,7 @@ def category_section(df: DataFrame, names: list[str], *, top: int = REPORT_CATEG
     if not names:
         return df.sparkSession.createDataFrame(
             [], "column string, value string, count bigint, pct double, valid bigint, distinct_values bigint")
-    cells = [F.when(~is_missing(df, c), F.struct(F.lit(c).alias("column"), col(c).cast("string").alias("value")))
+    cells = [F.when(~is_missing(df, c), F.struct(F.lit(c).alias("column"), as_text(col(c), data_type(df, c)).alias("value")))
              for c in names]
     counted = (
         df.select(F.inline(F.array(*cells))).where("column is not null")

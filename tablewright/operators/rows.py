@@ -7,7 +7,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-from ..functions.missing import any_missing, data_type, is_missing, is_text
+from ..functions.missing import any_missing, as_text, data_type, is_missing, is_text
 from ..functions.naming import col, require_column, resolve_columns
 from ..functions.values import parse_cell
 from .ordering import stable_sort, with_row_number
@@ -25,7 +25,7 @@ def match_text(df: DataFrame, query: str, column: str | None = None, *, exact: b
     needle = F.lit(query.strip().lower())
     tests = []
     for n in names:
-        text = F.lower(col(n).cast("string"))
+        text = F.lower(as_text(col(n), data_type(df, n)))
         tests.append(text == needle if exact else F.coalesce(text.contains(needle), F.lit(False)))
     return reduce(lambda a, b: a | b, tests)
 
@@ -201,7 +201,8 @@ def find_replace(
 ) -> DataFrame:
     """Replace literal text in text columns; in other columns a value whose text contains it.
 
-    A changed non-text column becomes text, as the new value need not fit its type. NULL never matches.
+    A non-text column with a match becomes text, as the new value need not fit its type; one pass over
+    those columns tells which have one. NULL never matches.
     """
     if find == "":
         raise ValueError("nothing to find")
@@ -217,6 +218,12 @@ def find_replace(
         row_id = require_column(df, row_id)
         work = df.join(_ids(df, ids, row_id), col(row_id) == F.col("__id"), "left")
         scope = F.col("__pos").isNotNull()
+    typed = [c for c in targets if not is_text(data_type(df, c))]
+    holds = {c: as_text(col(c), data_type(df, c)).contains(F.lit(find)) for c in typed}
+    if typed:
+        inside = F.lit(True) if scope is None else scope
+        hits = work.agg(*[F.max(test & inside) for test in holds.values()]).first()
+        targets = [c for c in targets if c not in holds or hits[typed.index(c)]]
     pattern = ("" if match_case else "(?iu)") + re.escape(find)
     with_text = replace.replace("\\", "\\\\").replace("$", "\\$")
     out = []
@@ -224,12 +231,12 @@ def find_replace(
         if c not in targets:
             out.append(col(c))
             continue
-        text = col(c).cast("string")
-        if is_text(data_type(df, c)):
+        text = as_text(col(c), data_type(df, c))
+        if c not in holds:
             new = F.replace(text, F.lit(find), F.lit(replace)) if match_case else (
                 F.regexp_replace(text, pattern, with_text))
         else:
-            new = F.when(text.contains(F.lit(find)), F.lit(replace)).otherwise(text)
+            new = F.when(holds[c], F.lit(replace)).otherwise(text)
         out.append((new if scope is None else F.when(scope, new).otherwise(text)).alias(c))
     return work.select(*out)
 

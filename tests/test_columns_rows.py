@@ -186,3 +186,12 @@ def test_row_local_operators_run_on_a_stream(spark, sf_dir, tmp_path):
     query.processAllAvailable()
     query.stop()
     assert spark.table("labels_out").count() == stored.count()
+
+
+def test_booleans_as_text_and_untouched_types(spark):
+    df = spark.createDataFrame([(1, True, "x")], "id long, b boolean, s string")
+    assert rows(C.convert_type(df, "b", "object"), "b") == [("True",)]
+    assert rows(C.merge_columns(df, ["id", "b"], "m"), "m") == [("1True",)]
+    out = R.find_replace(df, "x", "y")
+    assert out.dtypes == df.dtypes and rows(out) == [(1, True, "y")]
+    assert dict(R.find_replace(df, "ru", "no").dtypes) == {"id": "bigint", "b": "string", "s": "string"}
