@@ -140,10 +140,10 @@ def _(spark, d):
         F.count(F.lit(1)).alias("rows"))
 
 
-@query("stack_preview", "SELECT 75 AS rows FROM (SELECT count(*) FROM nation) n")
+@query("stack_preview", "SELECT (SELECT least(50, count(*)) FROM nation) + (SELECT least(50, count(*)) FROM customer) AS rows")
 def _(spark, d):
     return J.stack_preview([table(spark, d, "nation"), table(spark, d, "customer")]).agg(
-        F.count(F.lit(1)).cast("int").alias("rows"))
+        F.count(F.lit(1)).alias("rows"))
 
 
 @query("lookup_preview", "SELECT n_nationkey, r_name FROM nation JOIN region ON n_regionkey = r_regionkey")
