@@ -280,7 +280,7 @@ def fill_mice(
         for i in todo:
             others = [j for j in range(m) if j != i]
             train = _training(slim, names, means, models, i, others)
-            fit = LinearRegression(regParam=1e-6, solver="normal").fit(train)
+            fit = LinearRegression(solver="normal").fit(train)
             weights = dict(zip(others, map(float, fit.coefficients.toArray())))
             models.append((i, float(fit.intercept), [weights.get(j, 0.0) for j in range(m)]))
         old, new = _filled(names, slim, means, before), _filled(names, slim, means, models)
