@@ -125,3 +125,10 @@ def test_mice_recovers_a_linear_relation(spark):
     assert all(abs(got[i] - (2.0 * (i % 17) + 1)) < 1e-3 for i in range(120))
     whole = df.select("id", "a")
     assert impute.fill_mice(whole, ["a"]).collect() == whole.collect()
+
+
+def test_mice_with_columns_that_repeat_each_other(spark):
+    rows = [(float(i), 2.0 * i, 7.0, 3.0 * i + 1 if i % 4 else None) for i in range(40)]
+    df = spark.createDataFrame(rows, "a double, b double, flat double, y double")
+    got = impute.fill_mice(df, ["a", "b", "flat", "y"], max_iter=2).orderBy("a").collect()
+    assert all(abs(r["y"] - (3.0 * r["a"] + 1)) < 1e-2 for r in got)
