@@ -3,7 +3,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import jaccard, lines, quality
+from . import jaccard, lines, mixing, quality
 from .shared import table
 
 QUERIES, ORACLE = {}, {}
@@ -96,3 +96,42 @@ FROM reached r LEFT JOIN n USING (doc_id) GROUP BY r.doc_id"""
 @query("op2_ngram_jaccard_join", _JACCARD_SQL)
 def op2(spark, d):
     return jaccard.join(table(spark, d, "documents"))
+
+
+_MIX_SQL = r"""
+WITH RECURSIVE d AS (
+    SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size,
+           CAST('0x' || substr(md5('42:' || coalesce(CAST(doc_id AS VARCHAR), '')), 1, 15) AS BIGINT) AS key
+    FROM documents),
+s AS (
+    SELECT source, CAST(sum(size) AS BIGINT) AS source_size,
+           CASE (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 WHEN 0 THEN 5 WHEN 1 THEN 2 ELSE 1 END AS w
+    FROM d GROUP BY source),
+-- The rate rises while sources stop at their limit.
+f AS (
+    SELECT 0 AS step, CAST((SELECT sum(source_size) FROM s) AS BIGINT) AS rest, CAST((SELECT sum(w) FROM s) AS BIGINT) AS per
+    UNION
+    SELECT step + 1, CAST((SELECT sum(source_size) FROM s) - coalesce((SELECT sum(3 * source_size) FROM s
+               WHERE 3 * source_size * per < w * rest), 0) AS BIGINT),
+           CAST((SELECT sum(w) FROM s WHERE 3 * source_size * per >= w * rest) AS BIGINT)
+    FROM f WHERE step < 100),
+g AS (SELECT rest, per FROM f ORDER BY step DESC LIMIT 1),
+t AS (
+    SELECT source, source_size, CASE WHEN 3 * source_size * per < w * rest THEN CAST(3 * source_size AS DOUBLE)
+                                     ELSE CAST(w * rest AS DOUBLE) / per END AS target
+    FROM s, g),
+p AS (
+    SELECT d.*, source_size, target, CAST(floor(target) AS BIGINT) // greatest(source_size, 1) AS epochs,
+           CAST(floor(target) AS BIGINT) % greatest(source_size, 1) AS rest,
+           sum(size) OVER (PARTITION BY d.source, key) AS at_key,
+           sum(size) OVER (PARTITION BY d.source ORDER BY key RANGE UNBOUNDED PRECEDING) AS upto
+    FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source)
+SELECT doc_id, size, source_size, target,
+       CAST(epochs * size + CASE WHEN upto <= rest THEN size WHEN upto - at_key >= rest THEN 0
+            ELSE (rest - upto + at_key) * size // at_key END AS BIGINT) AS taken
+FROM p"""
+
+
+@query("op4_mix_sources", _MIX_SQL)
+def op4(spark, d):
+    return mixing.shares(table(spark, d, "documents"))
