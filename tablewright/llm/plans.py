@@ -1,9 +1,10 @@
 """The registered corpus queries, their DuckDB statements where SQL can express them, and the pipeline."""
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import functions as F
 
-from . import jaccard, lines, mixing, quality
+from . import jaccard, lines, mixing, pieces, quality
 from .shared import table
 
 QUERIES, ORACLE = {}, {}
@@ -135,3 +136,14 @@ FROM p"""
 @query("op4_mix_sources", _MIX_SQL)
 def op4(spark, d):
     return mixing.shares(table(spark, d, "documents"))
+
+
+@query("op10_sentencepiece")
+def op10(spark, d):
+    """Encode, then decode what was encoded: pieces, a checksum of their ids, and a digest of the decoded text."""
+    model = pieces.read_model(public_tokenizers.path("piece_bpe_32k.model"))
+    coded = pieces.encode(table(spark, d, "documents").select("doc_id", "text"), model).drop("text")
+    ids = F.concat_ws(",", F.transform("piece_ids", lambda i: i.cast("string")))
+    return pieces.decode(coded, model, output="decoded").select(
+        "doc_id", F.size("piece_ids").cast("long").alias("n_pieces"), F.crc32(ids).alias("ids_crc32"),
+        F.sha2("decoded", 256).alias("decoded_sha256"))
