@@ -11,8 +11,9 @@ A document is the set of its distinct five-word shingles; two documents link whe
    H less its own unshared shingles: one unit for a segment that must be equal, two for one that may differ by one
    element. By the pigeonhole principle a probe meets every partner. Units are chosen by cost, the number of sets that
    hold the rarest shingle of the segment, so empty and frequent segments are left out.
-4. Sets that meet are compared exactly, first each with one partner per component in sight, then whatever pairs of
-   different components are left, so that a group of near copies is never expanded into all its pairs.
+4. Sets that meet are compared exactly: each with the one it meets most often, then sets of different components with
+   some at random, at last all pairs of different components that a third set does not rule out, so that a group of
+   near copies is not expanded into all its pairs.
 
 Shingles and sets are told apart by 64 bits of hash.
 """
@@ -31,7 +32,7 @@ from .lines import mix
 
 SHINGLE = 5
 # Text bytes hashed at once, and stored bytes of input for each partition of shingles.
-_CHUNK_BYTES, _PARTITION_BYTES = 1 << 22, 16 << 20
+_CHUNK_BYTES, _PARTITION_BYTES = 1 << 21, 12 << 20
 # A shingle of so many sets of one chunk is announced once and not sent for each of them.
 _HOT = 32
 _FACTOR = np.uint64(0x9E3779B97F4A7C15)
@@ -388,43 +389,93 @@ def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 [pa.array(np.concatenate(c)) for c in zip(*parts)], ["sig", "node", "n", "found", "probe"])
 
 
-def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The (a, b) whose sets link, by the exact sizes of their intersections."""
+def _compared(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """(a, b) with the exact Jaccard distance of their sets and whether they link."""
     for end in ("a", "b"):
         pairs = pairs.join(sets.select(F.col("node").alias(end), F.col("n").alias(f"n_{end}"),
                                        F.col("shared").alias(f"shared_{end}")), end)
     both = F.size(F.array_intersect("shared_a", "shared_b")).cast("long")
-    return pairs.where(7 * both >= 3 * (F.col("n_a") + F.col("n_b"))).select("a", "b")
+    counted = pairs.select("a", "b", both.alias("both"), (F.col("n_a") + F.col("n_b")).alias("total"))
+    return counted.select("a", "b", (1 - F.col("both") / (F.col("total") - F.col("both"))).alias("distance"),
+                          (7 * F.col("both") >= 3 * F.col("total")).alias("linked"))
 
 
-def _similar_size(n: str, other: str):
-    return (4 * F.least(n, other) >= 3 * F.greatest(n, other))
+# Rounds of random comparisons before all that is left is compared, and comparisons of a set in each round.
+_ROUNDS, _TRIES = 3, 8
+
+
+def _live(sets: DataFrame) -> DataFrame:
+    """Signatures where a set can meet another; of signatures with the same sets, one."""
+    signed = shared.stored(sets.mapInArrow(_sign, _SIGNED_SQL), "signatures")
+    met = (signed.groupBy("sig").agg(
+               F.count("*").alias("size"), F.bit_xor(F.xxhash64("node", "found", "probe")).alias("members"),
+               F.max("found").alias("found"), F.max("probe").alias("probe"),
+               F.min("node").alias("low"), F.max("node").alias("high"))
+           .where("found and probe and low <> high")
+           .groupBy("size", "members").agg(F.min("sig").alias("sig")).select("sig", "size"))
+    return shared.stored(signed.join(shared.stored(met, "met"), "sig"), "live")
+
+
+def _centres(live: DataFrame) -> DataFrame:
+    """(node, pivot): the set that is met most often, where one that meets many others goes before one that does not."""
+    scores = live.groupBy("node").agg(F.sum("size").alias("score"))
+    scored = live.join(shared.stored(scores, "scores"), "node")
+    chosen = shared.stored(scored.where("probe").groupBy("sig").agg(
+        F.max(F.struct("score", "node")).alias("best")), "pivots")
+    met = live.select("sig", "node").join(chosen, "sig").where(F.col("node") != F.col("best.node"))
+    return (met.groupBy("node", "best").agg(F.count("*").alias("k")).groupBy("node")
+            .agg(F.max(F.struct("k", "best")).alias("top")).select("node", F.col("top.best.node").alias("pivot")))
+
+
+def _placed(live: DataFrame, links: DataFrame) -> DataFrame:
+    """The signatures at which sets of different components meet, with their components."""
+    roots = components(links)
+    placed = shared.stored(live.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")), "placed")
+    split = placed.groupBy("sig").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high")
+    return shared.stored(placed.join(shared.stored(split.select("sig"), "split"), "sig"), "open")
+
+
+def _tries(open_: DataFrame, round_: int) -> DataFrame:
+    """(node, pivot) of other components: at each signature a random set, of these some for each set."""
+    order = F.xxhash64("sig", "node", F.lit(round_))
+    chosen = shared.stored(open_.where("probe").groupBy("sig").agg(
+        F.min(F.struct(order.alias("h"), "node", "root")).alias("p")).select(
+        "sig", F.col("p.node").alias("pivot"), F.col("p.root").alias("pivot_root")), "pivots")
+    met = open_.join(chosen, "sig").where(F.col("root") != F.col("pivot_root")).select("node", "pivot").distinct()
+    some = F.slice(F.sort_array(F.collect_list(F.struct(F.xxhash64("pivot", F.lit(round_)).alias("h"), "pivot"))), 1, _TRIES)
+    return met.groupBy("node").agg(some.alias("s")).select("node", F.explode("s.pivot").alias("pivot"))
 
 
 def _links(sets: DataFrame) -> DataFrame:
     """Links between sets that connect all sets that are connected."""
-    signed = shared.stored(sets.mapInArrow(_sign, _SIGNED_SQL), "signatures")
-    met = shared.stored(
-        signed.groupBy("sig").agg(F.min(F.when(F.col("probe"), F.col("node"))).alias("pivot"),
-                                  F.max("found").alias("found"), F.min("node").alias("low"), F.max("node").alias("high"))
-        .where("pivot is not null and found and low <> high").select("sig", "pivot"), "met")
-    live = shared.stored(signed.join(met, "sig"), "live")
-    star = (live.where(F.col("node") != F.col("pivot"))
-            .groupBy("node", "pivot").agg(F.count("*").alias("k"))
-            .groupBy("node").agg(F.max_by("pivot", F.struct("k", -F.col("pivot"))).alias("pivot")))
-    first = shared.stored(_verified(star.select(F.col("node").alias("a"), F.col("pivot").alias("b")), sets), "star-links")
-    roots = components(first)
-    placed = live.join(roots, "node", "left").select(
-        "sig", "node", "n", "found", "probe", F.coalesce("root", "node").alias("root"))
-    placed = shared.stored(placed, "placed")
-    split = shared.stored(placed.groupBy("sig").agg(F.min("root").alias("low"), F.max("root").alias("high"))
-                          .where("low <> high").select("sig"), "split")
-    open_ = shared.stored(placed.join(split, "sig"), "open")
-    a = open_.where("probe").select("sig", F.col("node").alias("a"), F.col("n").alias("m_a"), F.col("root").alias("root_a"))
-    b = open_.where("found").select("sig", F.col("node").alias("b"), F.col("n").alias("m_b"), F.col("root").alias("root_b"))
-    rest = a.join(b, "sig").where((F.col("root_a") != F.col("root_b")) & _similar_size("m_a", "m_b"))
-    rest = rest.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
-    return first.union(shared.stored(_verified(rest, sets), "rest-links"))
+    live = _live(sets)
+    pairs = _centres(live).select(F.col("node").alias("a"), F.col("pivot").alias("b"))
+    star = shared.stored(_compared(pairs, sets), "star")
+    links = star.where("linked").select("a", "b")
+    for round_ in range(_ROUNDS):
+        open_ = _placed(live, links)
+        if open_.isEmpty():
+            return links
+        more = _compared(_tries(open_, round_).select(F.col("node").alias("a"), F.col("pivot").alias("b")), sets)
+        more = shared.stored(more.where("linked").select("a", "b"), "more-links")
+        if more.isEmpty():
+            break
+        links = links.union(more)
+    # What is left is compared pair by pair, but for pairs that their distances to a common third set rule out: the
+    # distance is a metric, so sets whose distances differ by more than 0.25 are further apart than linked sets.
+    known = star.select(F.col("a").alias("node"), F.col("b").alias("pivot"), "distance")
+    self_ = star.select(F.col("b").alias("node"), F.col("b").alias("pivot"), F.lit(0.0).alias("distance")).distinct()
+    known = shared.stored(known.union(self_).groupBy("node").agg(F.min_by(F.struct("pivot", "distance"), "distance").alias("near")), "near")
+    open_ = _placed(live, links).join(known, "node", "left")
+    a, b = (open_.where(role).select("sig", *[F.col(c).alias(f"{c}_{end}") for c in ("node", "n", "root", "near")])
+            for role, end in (("probe", "a"), ("found", "b")))
+    apart = (F.col("near_a.pivot") == F.col("near_b.pivot")) & (
+        F.abs(F.col("near_a.distance") - F.col("near_b.distance")) > 0.25 + 1e-9)
+    rest = a.join(b, "sig").where(
+        (F.col("root_a") != F.col("root_b")) & (4 * F.least("n_a", "n_b") >= 3 * F.greatest("n_a", "n_b"))
+        & ~F.coalesce(apart, F.lit(False)))
+    rest = rest.select(F.greatest("node_a", "node_b").alias("a"), F.least("node_a", "node_b").alias("b")).distinct()
+    return links.union(shared.stored(_compared(rest, sets).where("linked").select("a", "b"), "rest-links"))
 
 
 def join(df: DataFrame, text: str = "text", id_column: str = "doc_id") -> DataFrame:
