@@ -4,7 +4,8 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from . import jaccard, lines, mixing, pieces, quality
+from ..session import scratch_path
+from . import jaccard, lines, mixing, pieces, quality, tokens, warc
 from .shared import table
 
 QUERIES, ORACLE = {}, {}
@@ -147,3 +148,21 @@ def op10(spark, d):
     return pieces.decode(coded, model, output="decoded").select(
         "doc_id", F.size("piece_ids").cast("long").alias("n_pieces"), F.crc32(ids).alias("ids_crc32"),
         F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+@query("op6_warc_index")
+def op6(spark, d):
+    """Write the archives and their index, look up every page's URL, and read the records found."""
+    pages = table(spark, d, "pages")
+    folder = scratch_path(spark, "warc")
+    index = warc.index(warc.archive(pages, folder), folder)
+    records = warc.fetch(warc.lookup(pages, index), with_payload=False)
+    return records.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+@query("op8_token_files")
+def op8(spark, d):
+    """Write the token files of all documents and read them back."""
+    folder = scratch_path(spark, "tokens")
+    parts = tokens.write(table(spark, d, "documents"), folder, public_tokenizers.path("byte_bpe_50k.json"))
+    return tokens.checksums(spark, folder, parts)
