@@ -5,7 +5,7 @@ import public_tokenizers
 from pyspark.sql import functions as F
 
 from ..session import scratch_path
-from . import jaccard, lines, mixing, pieces, quality, tokens, warc
+from . import jaccard, lines, mixing, neardup, pieces, quality, tokens, warc
 from .shared import table
 
 QUERIES, ORACLE = {}, {}
@@ -166,3 +166,8 @@ def op8(spark, d):
     folder = scratch_path(spark, "tokens")
     parts = tokens.write(table(spark, d, "documents"), folder, public_tokenizers.path("byte_bpe_50k.json"))
     return tokens.checksums(spark, folder, parts)
+
+
+@query("op3_embedding_near_dedup")
+def op3(spark, d):
+    return neardup.near_duplicates(table(spark, d, "embeddings"))
