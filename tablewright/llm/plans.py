@@ -5,7 +5,7 @@ import public_tokenizers
 from pyspark.sql import functions as F
 
 from ..session import scratch_path
-from . import jaccard, lines, mixing, neardup, pieces, quality, tokens, warc
+from . import jaccard, lines, mixing, neardup, pieces, quality, tokens, toxicity, warc
 from .shared import table
 
 QUERIES, ORACLE = {}, {}
@@ -171,3 +171,12 @@ def op8(spark, d):
 @query("op3_embedding_near_dedup")
 def op3(spark, d):
     return neardup.near_duplicates(table(spark, d, "embeddings"))
+
+
+@query("op1_toxicity")
+def op1(spark, d):
+    documents = table(spark, d, "documents")
+    model = toxicity.train(documents.select("doc_id", "text"), table(spark, d, "labels"))
+    return toxicity.score(documents, model).select(
+        "doc_id", toxicity.held_out(F.col("doc_id")).alias("held_out"), "score", "predicted",
+        F.size("passages").alias("n_passages"))
