@@ -7,7 +7,7 @@ A document is the set of its distinct five-word shingles; two documents link whe
 2. Sets of similar size form a band. The band's universe is cut into m segments by hash, with m above the largest
    symmetric difference that linked sets can have. Every set indexes, under its own band, the hash of its part in each
    segment, and in some segments also that of the part less one element (the one-deletion neighbourhood).
-3. Linked sets differ by at most H elements. A set probes its own band and the one below with units whose sum is above
+3. Linked sets differ by at most H elements; H follows from the set's size and the largest partner it can have. A set probes its own band and the one below with units whose sum is above
    H less its own unshared shingles: one unit for a segment that must be equal, two for one that may differ by one
    element. By the pigeonhole principle a probe meets every partner. Units are chosen by cost, the number of sets that
    hold the rarest shingle of the segment, so empty and frequent segments are left out.
@@ -24,7 +24,7 @@ from functools import cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from . import shared
 from .components import components
@@ -348,14 +348,17 @@ class _Parts:
 
 def signatures(n: int, shared_: np.ndarray, costs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """A set's signatures with marks of those it is found by and those it probes with."""
-    unshared, home = n - len(shared_), _band(n)
-    out = []
+    held, home = len(shared_), _band(n)
+    # An intersection has at most the shared elements, so a partner has at most this size; a set that has no partner of
+    # its own size or above is found by none, since probes go from the larger set to the smaller.
+    most = 7 * held // 3 - n
+    out = [(np.empty(0, np.uint64), np.empty(0, bool), np.empty(0, bool))]
     for band in (home, home - 1):
-        if band < 0 or band < home and 4 * _segments(band)[0] < 3 * n:
-            continue
-        largest = _segments(band)[0]
-        units = (n + min(n, largest)) // 7 - unshared + 1
-        if units <= 0 and band < home:
+        found = band == home and most >= n
+        largest = min(n, most, _segments(band)[0]) if band >= 0 else 0
+        probes = largest >= max(-(-3 * n // 4), int(_bands(1 << 32)[band])) if band >= 0 else False
+        units = (n + largest) // 7 - (n - held) + 1 if probes else 0
+        if not found and units <= 0:
             continue
         parts = _Parts(shared_, costs, band)
         probe, probe_near = np.zeros(parts.m, bool), np.zeros(len(parts.near), bool)
@@ -363,15 +366,15 @@ def signatures(n: int, shared_: np.ndarray, costs: np.ndarray) -> tuple[np.ndarr
             whole, near = parts.probes(units)
             probe[whole] = True
             probe_near = np.isin(parts.near_seg, near)
-        keep = np.full(parts.m, band == home) | probe
-        keep_near = np.full(len(parts.near), band == home) | probe_near
+        keep = np.full(parts.m, found) | probe
+        keep_near = np.full(len(parts.near), found) | probe_near
         out.append((np.concatenate([parts.whole[keep], parts.near[keep_near]]),
-                    np.full(int(keep.sum() + keep_near.sum()), band == home),
+                    np.full(int(keep.sum() + keep_near.sum()), found),
                     np.concatenate([probe[keep], probe_near[keep_near]])))
     return tuple(np.concatenate([o[i] for o in out]) for i in range(3))
 
 
-_SIGNED_SQL = "sig bigint, node bigint, n int, found boolean, probe boolean"
+_SIGNED_SQL = "sig bigint, node bigint, n int, held int, found boolean, probe boolean"
 
 
 def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -379,14 +382,15 @@ def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts = []
         for node, n, tokens, costs in zip(*[batch.column(i).to_pylist() for i in range(4)]):
             sig, found, probe = signatures(n, np.array(tokens, np.int64).view(np.uint64), np.frombuffer(costs, np.uint8))
-            parts.append((sig.view(np.int64), np.full(len(sig), node, np.int64), np.full(len(sig), n, np.int32), found, probe))
+            parts.append((sig.view(np.int64), np.full(len(sig), node, np.int64), np.full(len(sig), n, np.int32),
+                          np.full(len(sig), len(tokens), np.int32), found, probe))
             if len(parts) == 500:
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.concatenate(c)) for c in zip(*parts)], ["sig", "node", "n", "found", "probe"])
+                    [pa.array(np.concatenate(c)) for c in zip(*parts)], ["sig", "node", "n", "held", "found", "probe"])
                 parts = []
         if parts:
             yield pa.RecordBatch.from_arrays(
-                [pa.array(np.concatenate(c)) for c in zip(*parts)], ["sig", "node", "n", "found", "probe"])
+                [pa.array(np.concatenate(c)) for c in zip(*parts)], ["sig", "node", "n", "held", "found", "probe"])
 
 
 def _compared(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -416,6 +420,11 @@ def _live(sets: DataFrame) -> DataFrame:
     return shared.stored(signed.join(shared.stored(met, "met"), "sig"), "live")
 
 
+def _can_link(n: str, held: str, other_n: str, other_held: str) -> Column:
+    """Whether two sets of these sizes with so many shared elements can have an intersection that is large enough."""
+    return 7 * F.least(held, other_held).cast("long") >= 3 * (F.col(n) + F.col(other_n)).cast("long")
+
+
 def _centres(live: DataFrame) -> DataFrame:
     """(node, pivot): the set that is met most often, where one that meets many others goes before one that does not."""
     scores = live.groupBy("node").agg(F.sum("size").alias("score"))
@@ -439,9 +448,9 @@ def _tries(open_: DataFrame, round_: int) -> DataFrame:
     """(node, pivot) of other components: at each signature a random set, of these some for each set."""
     order = F.xxhash64("sig", "node", F.lit(round_))
     chosen = shared.stored(open_.where("probe").groupBy("sig").agg(
-        F.min(F.struct(order.alias("h"), "node", "root")).alias("p")).select(
-        "sig", F.col("p.node").alias("pivot"), F.col("p.root").alias("pivot_root")), "pivots")
-    met = open_.join(chosen, "sig").where(F.col("root") != F.col("pivot_root")).select("node", "pivot").distinct()
+        F.min(F.struct(order.alias("h"), "node", "n", "held", "root")).alias("p")), "pivots")
+    met = open_.join(chosen, "sig").where((F.col("root") != F.col("p.root")) & _can_link("n", "held", "p.n", "p.held"))
+    met = met.select("node", F.col("p.node").alias("pivot")).distinct()
     some = F.slice(F.sort_array(F.collect_list(F.struct(F.xxhash64("pivot", F.lit(round_)).alias("h"), "pivot"))), 1, _TRIES)
     return met.groupBy("node").agg(some.alias("s")).select("node", F.explode("s.pivot").alias("pivot"))
 
@@ -467,12 +476,12 @@ def _links(sets: DataFrame) -> DataFrame:
     self_ = star.select(F.col("b").alias("node"), F.col("b").alias("pivot"), F.lit(0.0).alias("distance")).distinct()
     known = shared.stored(known.union(self_).groupBy("node").agg(F.min_by(F.struct("pivot", "distance"), "distance").alias("near")), "near")
     open_ = _placed(live, links).join(known, "node", "left")
-    a, b = (open_.where(role).select("sig", *[F.col(c).alias(f"{c}_{end}") for c in ("node", "n", "root", "near")])
+    a, b = (open_.where(role).select("sig", *[F.col(c).alias(f"{c}_{end}") for c in ("node", "n", "held", "root", "near")])
             for role, end in (("probe", "a"), ("found", "b")))
     apart = (F.col("near_a.pivot") == F.col("near_b.pivot")) & (
         F.abs(F.col("near_a.distance") - F.col("near_b.distance")) > 0.25 + 1e-9)
     rest = a.join(b, "sig").where(
-        (F.col("root_a") != F.col("root_b")) & (4 * F.least("n_a", "n_b") >= 3 * F.greatest("n_a", "n_b"))
+        (F.col("root_a") != F.col("root_b")) & _can_link("n_a", "held_a", "n_b", "held_b")
         & ~F.coalesce(apart, F.lit(False)))
     rest = rest.select(F.greatest("node_a", "node_b").alias("a"), F.least("node_a", "node_b").alias("b")).distinct()
     return links.union(shared.stored(_compared(rest, sets).where("linked").select("a", "b"), "rest-links"))
