@@ -5,7 +5,7 @@ import public_tokenizers
 from pyspark.sql import functions as F
 
 from ..session import scratch_path
-from . import jaccard, lines, mixing, neardup, pieces, quality, tokens, toxicity, warc
+from . import jaccard, lines, mixing, neardup, pieces, pseudonyms, quality, tokens, toxicity, warc
 from .shared import table
 
 QUERIES, ORACLE = {}, {}
@@ -180,3 +180,9 @@ def op1(spark, d):
     return toxicity.score(documents, model).select(
         "doc_id", toxicity.held_out(F.col("doc_id")).alias("held_out"), "score", "predicted",
         F.size("passages").alias("n_passages"))
+
+
+@query("op5_pii_pseudonyms")
+def op5(spark, d):
+    """All documents with their personal data replaced; a user brings a secret key."""
+    return pseudonyms.pseudonymise(table(spark, d, "documents").select("doc_id", "text"), key="example key")
