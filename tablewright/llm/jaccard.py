@@ -508,3 +508,14 @@ def join(df: DataFrame, text: str = "text", id_column: str = "doc_id") -> DataFr
     named = placed.join(names, "root", "left")
     return named.select("doc_id", "n_shingles", F.when(F.col("root").isNull(), F.col("doc_id"))
                         .otherwise(F.col("component_id")).alias("component_id"))
+
+
+def keep_one(df: DataFrame, text: str = "text", id_column: str = "doc_id") -> DataFrame:
+    """The rows of ``df`` without near copies: of each component the document of the smallest id, once.
+
+    Rows without an id are no copies of others and stay.
+    """
+    named = join(df.where(F.col(id_column).isNotNull()), text, id_column)
+    kept = shared.stored(named.where("doc_id = component_id").select(F.col("doc_id").alias("__kept")).distinct(), "kept")
+    first = df.join(kept, df[id_column] == kept["__kept"], "left_semi").dropDuplicates([id_column])
+    return first.union(df.where(F.col(id_column).isNull()))

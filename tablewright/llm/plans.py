@@ -1,6 +1,7 @@
 """The registered corpus queries, their DuckDB statements where SQL can express them, and the pipeline."""
 from __future__ import annotations
 
+import corpus_pipeline
 import public_tokenizers
 from pyspark.sql import functions as F
 
@@ -186,3 +187,6 @@ def op1(spark, d):
 def op5(spark, d):
     """All documents with their personal data replaced; a user brings a secret key."""
     return pseudonyms.pseudonymise(table(spark, d, "documents").select("doc_id", "text"), key="example key")
+
+
+query("pipeline", corpus_pipeline.ORACLE_SQL)(corpus_pipeline.run)
