@@ -37,15 +37,7 @@ COLUMN_TYPES = {
 MAX_CATEGORIES = 30
 PLOT_ROWS = 5000
 PREVIEW_ROWS = 50
-CROSSTAB_SIDE = 15
-GROUP_CHART_LIMIT = 15
-DUPLICATES_LISTED = 500
-REPORT_CORR_COLUMNS = 12
-REPORT_CORR_PAIRS = 25
-REPORT_LIST_ROWS = 30
-REPORT_CATEGORY_COLUMNS = 8
 REPORT_CATEGORY_TOP = 10
-REPORT_CATEGORY_CHARTS = 4
 STRONG_CORRELATION = 0.7
 OUTLIER_SAMPLE_ROWS = 100
 OUTLIER_SAMPLE_COLUMNS = 6

@@ -92,10 +92,21 @@ def nan_to_null(df: DataFrame) -> DataFrame:
     return df.select(*[known(df, c).alias(c) if c in floats else col(c) for c in df.columns])
 
 
+# Every digit of a double from 1e-4 to 1e16 fits: 17 places before the point, 21 behind it.
+_PLAIN = "decimal(38,21)"
+
+
 def as_text(c: Column, dtype: T.DataType) -> Column:
-    """The value as displayed: booleans are True and False."""
+    """The value as displayed: booleans are True and False, doubles from 1e-4 to 1e16 have no exponent."""
     text = c.cast("string")
-    return F.initcap(text) if isinstance(dtype, T.BooleanType) else text
+    if isinstance(dtype, T.BooleanType):
+        return F.initcap(text)
+    if not is_floating(dtype):
+        return text
+    digits = F.regexp_replace(text.try_cast(_PLAIN).cast("string"), "0+$", "")
+    plain = F.when(digits.endswith("."), F.concat(digits, F.lit("0"))).otherwise(digits)
+    inside = text.contains("E") & (F.abs(c) >= 1e-4) & (F.abs(c) < 1e16)
+    return F.when(inside, plain).otherwise(text)
 
 
 def category_text(df: DataFrame, name: str) -> Column:

@@ -42,13 +42,12 @@ def unique_name(taken: Iterable[str], base: str) -> str:
 
 
 def dedupe_names(names: Iterable[object]) -> list[str]:
-    """Names as text, a repeated name getting ``_1``, ``_2`` … in order of appearance."""
-    seen: dict[str, int] = {}
-    out = []
-    for raw in names:
-        name = str(raw)
-        seen[name] = seen.get(name, -1) + 1
-        out.append(name if seen[name] == 0 else f"{name}_{seen[name]}")
+    """Names as text; of equal names the later ones get the first number that makes no name of the list twice."""
+    wanted = [str(n) for n in names]
+    out: list[str] = []
+    for at, name in enumerate(wanted):
+        repeated = name in wanted[:at]
+        out.append(unique_name({*out, *wanted}, name) if repeated else name)
     return out
 
 

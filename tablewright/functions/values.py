@@ -75,7 +75,7 @@ def lookup_key(c: Column, dtype: T.DataType) -> Column:
         return as_text(c, dtype)
     if is_number(dtype):
         value = F.when(~F.isnan(c), c) if is_floating(dtype) else c
-        return F.coalesce(_whole_number_text(value), value.cast("string"))
+        return F.coalesce(_whole_number_text(value), as_text(value, dtype))
     text = F.regexp_replace(c.cast("string"), r"(?U)^[\s\x1c-\x1f]+|[\s\x1c-\x1f]+$", "")
     return F.when(text != "", text)
 
@@ -83,7 +83,7 @@ def lookup_key(c: Column, dtype: T.DataType) -> Column:
 def value_label(c: Column, dtype: T.DataType) -> Column:
     """Text for a listed value: whole floats without the fraction, no value as ''."""
     if is_floating(dtype):
-        text = F.coalesce(_whole_number_text(c), F.when(~F.isnan(c), c).cast("string"))
+        text = F.coalesce(_whole_number_text(c), as_text(F.when(~F.isnan(c), c), dtype))
     else:
         text = as_text(c, dtype)
     return F.coalesce(text, F.lit(""))

@@ -5,12 +5,12 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ..constants import GROUP_CHART_LIMIT, PLOT_ROWS
 from ..functions.missing import category_text, known
 from ..functions.naming import col, require_column
 from .ordering import position
 from .profile import plot_sample
 from .quantiles import column_quantiles, group_quantiles
+from .skew import join_lookup
 
 KDE_POINTS = 200
 VIOLIN_POINTS = 100
@@ -67,7 +67,7 @@ def _density(values: DataFrame, keys: list[str], points: int) -> DataFrame:
     counted = values.groupBy(*keys, "v").agg(F.count(F.lit(1)).alias("c"))
     facts = [F.count("v").alias("n"), F.stddev_samp("v").alias("sd"), F.min("v").alias("low"), F.max("v").alias("high")]
     if keys:
-        rows = counted.join(F.broadcast(values.groupBy(*keys).agg(*facts)), keys)  # one row per category
+        rows = join_lookup(counted, values.groupBy(*keys).agg(*facts), keys)
     else:
         one = values.agg(*facts).first()
         rows = counted.withColumns({k: F.lit(v).cast("double") for k, v in one.asDict().items()})
@@ -82,26 +82,31 @@ def _density(values: DataFrame, keys: list[str], points: int) -> DataFrame:
 
 
 def kernel_density(
-    df: DataFrame, column: str, order_by: str | Sequence[str], *, points: int = KDE_POINTS, rows: int = PLOT_ROWS
+    df: DataFrame, column: str, order_by: str | Sequence[str], *, points: int = KDE_POINTS, rows: int | None = None
 ) -> DataFrame:
-    """(point, x, density) from the plot sample of the column."""
-    return _density(_value(plot_sample(df, order_by, rows=rows), column), [], points)
+    """(point, x, density) of the column; ``rows`` asks for the plot sample instead of the whole table."""
+    return _density(_value(_sampled(df, order_by, rows), column), [], points)
+
+
+def _sampled(df: DataFrame, order_by: str | Sequence[str], rows: int | None) -> DataFrame:
+    return df if rows is None else plot_sample(df, order_by, rows=rows)
 
 
 def violin_density(
     df: DataFrame, category: str, value: str, order_by: str | Sequence[str], *,
-    points: int = VIOLIN_POINTS, rows: int = PLOT_ROWS, limit: int = GROUP_CHART_LIMIT,
+    points: int = VIOLIN_POINTS, rows: int | None = None, limit: int | None = None,
 ) -> DataFrame:
-    """(category, point, x, density) for the categories seen first in the plot sample."""
-    sample = plot_sample(df, order_by, rows=rows)
-    values = _categories(sample, category, value, order_by, limit)
+    """(category, point, x, density) of all categories, or of the ``limit`` seen first; ``rows`` asks for a sample."""
+    values = _categories(_sampled(df, order_by, rows), category, value, order_by, limit)
     return _density(values, ["category"], points)
 
 
 def _categories(
-    df: DataFrame, category: str, value: str, order_by: str | Sequence[str], limit: int
+    df: DataFrame, category: str, value: str, order_by: str | Sequence[str], limit: int | None
 ) -> DataFrame:
-    """(category, v) rows of the ``limit`` categories seen first in key order."""
+    """(category, v) rows of all categories, or of the ``limit`` seen first in key order."""
+    if limit is None:
+        return df.select(category_text(df, category).alias("category"), known(df, value).cast("double").alias("v")).where("v is not null")
     key = position(df, order_by)
     rows = df.select(category_text(df, category).alias("category"),
                      known(df, value).cast("double").alias("v"), key.alias("key"))
@@ -132,12 +137,12 @@ def box_stats(df: DataFrame, column: str) -> DataFrame:
 
 
 def box_by_category(
-    df: DataFrame, category: str, value: str, order_by: str | Sequence[str], *, limit: int = GROUP_CHART_LIMIT
+    df: DataFrame, category: str, value: str, order_by: str | Sequence[str], *, limit: int | None = None
 ) -> DataFrame:
-    """Box statistics of the categories seen first in key order."""
+    """Box statistics of all categories, or of the ``limit`` seen first in key order."""
     values = _categories(df, category, value, order_by, limit)
     q = group_quantiles(values, ["category"], "v", [0.25, 0.5, 0.75])
-    joined = values.join(F.broadcast(q), "category")  # at most ``limit`` rows
+    joined = join_lookup(values, q, ["category"])
     return joined.groupBy("category").agg(
         F.count("v").alias("count"), F.avg("v").alias("mean"), F.min("q0").alias("q1"),
         F.min("q1").alias("median"), F.min("q2").alias("q3"), *_box(F.col("q0"), F.col("q2")))
@@ -191,16 +196,17 @@ def line_points(df: DataFrame, x: str, y: str, *, points: int = LINE_POINTS) ->
 
 
 def scatter_points(
-    df: DataFrame, x: str, y: str, order_by: str | Sequence[str], *, rows: int = PLOT_ROWS
+    df: DataFrame, x: str, y: str, order_by: str | Sequence[str], *, rows: int | None = None
 ) -> DataFrame:
-    return _xy(plot_sample(df, order_by, rows=rows), x, y)
+    """All points, or those of a plot sample of ``rows``."""
+    return _xy(_sampled(df, order_by, rows), x, y)
 
 
 def pair_plot_histograms(
-    df: DataFrame, columns: Sequence[str], order_by: str | Sequence[str], *, rows: int = PLOT_ROWS, most: int = 30
+    df: DataFrame, columns: Sequence[str], order_by: str | Sequence[str], *, rows: int | None = None, most: int = 30
 ) -> DataFrame:
-    """(column, bin, low, high, count): the diagonal of a pair plot, all columns from one sample."""
-    sample = plot_sample(df, order_by, rows=rows)
+    """(column, bin, low, high, count): the diagonal of a pair plot; ``rows`` asks for one sample for all columns."""
+    sample = _sampled(df, order_by, rows)
     names = [require_column(df, c) for c in columns]
     v = {c: known(sample, c).cast("double") for c in names}
     facts = sample.agg(*[F.struct(F.count(x).alias("n"), F.min(x).alias("low"), F.max(x).alias("high"))

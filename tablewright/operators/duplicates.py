@@ -3,10 +3,9 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from ..constants import DUPLICATES_LISTED
-from ..functions.missing import compact_key, data_type, is_missing, is_text, known, nan_to_null
+from ..functions.missing import compact_key, data_type, is_floating, is_missing, is_text, known, nan_to_null
 from ..functions.naming import col, resolve_columns, temp_name
 from ..functions.values import value_label
 from .ordering import order_key
@@ -69,7 +68,11 @@ def duplicate_rows(df: DataFrame, columns: str | Sequence[str], *, dropna: bool
 
 def _value_counts(df: DataFrame, names: Sequence[str]) -> DataFrame:
     """(column, text, label, missing, n) per distinct value of each column, in one shuffle of the texts."""
-    cells = [F.struct(F.lit(c).alias("column"), known(df, c).cast("string").alias("text")) for c in names]
+    def text(c: str) -> Column:
+        value = known(df, c)
+        return (value + F.lit(0.0) if is_floating(data_type(df, c)) else value).cast("string")  # -0.0 is 0.0
+
+    cells = [F.struct(F.lit(c).alias("column"), text(c).alias("text")) for c in names]
     counted = (
         df.select(F.inline(F.array(*cells)))
         .groupBy("column", "text").agg(F.count(F.lit(1)).alias("n"))
@@ -98,15 +101,18 @@ def duplicate_report(
 
 
 def duplicate_values(
-    df: DataFrame, columns: str | Sequence[str], *, dropna: bool = True, listed: int = DUPLICATES_LISTED
+    df: DataFrame, columns: str | Sequence[str], *, dropna: bool = True, listed: int | None = None
 ) -> DataFrame:
-    """The most repeated values of each column: (column, value, count), ``listed`` per column."""
+    """The repeated values of each column: (column, value, count), all or the ``listed`` most repeated per column."""
     counted = _value_counts(df, _columns(df, columns)).where("n > 1")
     if dropna:
         counted = counted.where(~F.col("missing"))
+    shown = [F.col("column"), F.col("label").alias("value"), F.col("n").alias("count")]
+    if listed is None:
+        return counted.select(*shown)
     # The rank filter keeps ``listed`` rows per column and task before the ranking shuffle.
     rank = F.row_number().over(Window.partitionBy("column").orderBy(F.desc("n"), "label"))
     return (
         counted.withColumn("rank", rank).where(F.col("rank") <= listed)
-        .select("column", F.col("label").alias("value"), F.col("n").alias("count"))
+        .select(*shown)
     )

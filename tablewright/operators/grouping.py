@@ -5,7 +5,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-from ..constants import GROUP_CHART_LIMIT, OTHER_LABEL
+from ..constants import OTHER_LABEL
 from ..functions.missing import as_text, category_text, data_type, is_missing, known
 from ..functions.naming import col, require_column, resolve_columns
 from .ordering import position
@@ -70,14 +70,16 @@ def group_summary(
     return result.orderBy(*[col(k).asc_nulls_last() for k in keys])
 
 
-def describe_groups(df: DataFrame, category: str, value: str, *, limit: int = GROUP_CHART_LIMIT) -> DataFrame:
-    """Count, mean, standard deviation and median of the first ``limit`` categories in sort order."""
+def describe_groups(df: DataFrame, category: str, value: str, *, limit: int | None = None) -> DataFrame:
+    """Count, mean, standard deviation and median of all categories, or of the first ``limit`` in sort order."""
     slim = df.select(category_text(df, category).alias("group"), known(df, value).alias("v"))
     slim = slim.where("v is not null")
     basic = slim.groupBy("group").agg(
         F.count("v").alias("count"), F.avg("v").alias("mean"), F.stddev_samp("v").alias("std"))
-    first = basic.orderBy("group").limit(limit)
-    wanted = slim.join(F.broadcast(first.select("group")), "group", "left_semi")  # limit rows
+    first, wanted = basic, slim
+    if limit is not None:
+        first = basic.orderBy("group").limit(limit)
+        wanted = slim.join(F.broadcast(first.select("group")), "group", "left_semi")  # limit rows
     medians = group_quantiles(wanted, ["group"], "v", [0.5]).withColumnRenamed("q0", "median")
     return first.join(medians, "group").select("group", "count", "mean", "std", "median")
 
@@ -116,10 +118,11 @@ def top_values_with_other(df: DataFrame, column: str, n: int = 10, *, other: str
 
 
 def mean_per_category(
-    df: DataFrame, category: str, value: str, order_by: str | Sequence[str], *, limit: int = GROUP_CHART_LIMIT
+    df: DataFrame, category: str, value: str, order_by: str | Sequence[str], *, limit: int | None = None
 ) -> DataFrame:
-    """Mean per category for the ``limit`` categories seen first in key order."""
+    """Mean per category, for all categories or the ``limit`` seen first in key order."""
     key = position(df, order_by)
     stats = df.groupBy(category_text(df, category).alias("category")).agg(
         F.min(key).alias("seen"), F.avg(known(df, value)).alias("mean"))
-    return stats.orderBy("seen").limit(limit).where("mean is not null").select("category", "mean")
+    listed = stats.orderBy("seen")
+    return (listed if limit is None else listed.limit(limit)).where("mean is not null").select("category", "mean")

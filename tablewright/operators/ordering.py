@@ -13,7 +13,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..constants import SEED
-from ..functions.missing import data_type, present
+from ..functions.missing import data_type, known, present
 from ..functions.naming import col, require_column, temp_name
 
 ROWS_PER_RANGE = 1_000_000
@@ -177,5 +177,6 @@ def stable_sort(df: DataFrame, column: str, order_by: str | Sequence[str], *, as
     """Sort by one column, missing values last either way, ties in key order. Unknown column: as is."""
     if column not in df.columns:
         return df
-    lead = col(column).asc_nulls_last() if ascending else col(column).desc_nulls_last()
+    value = known(df, column)
+    lead = value.asc_nulls_last() if ascending else value.desc_nulls_last()
     return df.orderBy(lead, *[col(k) for k in order_key(df, order_by)])

@@ -8,7 +8,6 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import LinearRegression
 from pyspark.sql import DataFrame, functions as F
 
-from ..constants import CROSSTAB_SIDE, REPORT_CORR_COLUMNS, REPORT_CORR_PAIRS
 from ..functions.missing import category_text, data_type, is_number, known, numeric_columns
 from ..functions.naming import col, require_column, resolve_columns
 from .ordering import with_running_total
@@ -44,11 +43,13 @@ def spearman(df: DataFrame, x: str, y: str) -> DataFrame:
 
 
 def pearson_p_value(df: DataFrame, x: str, y: str) -> float | None:
-    """Two-sided p of a zero correlation: the slope test of a one-feature regression."""
+    """Two-sided p of a zero correlation: the slope test of a one-feature regression; 1 for two pairs."""
     pairs = _pairs(df, x, y)
     facts = pairs.agg(F.count("x"), F.stddev_samp("x"), F.stddev_samp("y")).first()
-    if facts[0] < 3 or not facts[1] or not facts[2]:
+    if facts[0] < 2 or not facts[1] or not facts[2]:
         return None
+    if facts[0] == 2:
+        return 1.0
     data = VectorAssembler(inputCols=["x"], outputCol="features").transform(pairs)
     model = LinearRegression(labelCol="y", solver="normal").fit(data)
     return float(model.summary.pValues[0])
@@ -93,11 +94,12 @@ def correlation_matrix(df: DataFrame, columns: Sequence[str] | None = None) -> D
 
 
 def top_correlations(
-    df: DataFrame, *, columns: int = REPORT_CORR_COLUMNS, limit: int = REPORT_CORR_PAIRS
+    df: DataFrame, *, columns: int | None = None, limit: int | None = None
 ) -> DataFrame:
-    """The strongest pairs among the first numeric columns."""
+    """All pairs of numeric columns, the strongest first; ``columns`` and ``limit`` cut the listing."""
     pairs = correlation_pairs(df, numeric_columns(df)[:columns]).where("r is not null and not isnan(r)")
-    return pairs.orderBy(F.desc(F.abs("r")), "a", "b").limit(limit)
+    ranked = pairs.orderBy(F.desc(F.abs("r")), "a", "b")
+    return ranked if limit is None else ranked.limit(limit)
 
 
 def crosstab_counts(df: DataFrame, x: str, y: str) -> DataFrame:
@@ -106,14 +108,16 @@ def crosstab_counts(df: DataFrame, x: str, y: str) -> DataFrame:
     return df.select(*labels).groupBy("x", "y").agg(F.count(F.lit(1)).alias("count"))
 
 
-def crosstab(df: DataFrame, x: str, y: str, *, rows: int = CROSSTAB_SIDE, cols: int = CROSSTAB_SIDE) -> DataFrame:
-    """Cross table of the first ``rows`` x ``cols`` categories in sort order, 0 where a pair never occurs."""
+def crosstab(df: DataFrame, x: str, y: str, *, rows: int | None = None, cols: int | None = None) -> DataFrame:
+    """Cross table in sort order, 0 where a pair never occurs; ``rows`` and ``cols`` keep the first categories.
+
+    Every category of ``y`` becomes a column, so it must have few enough for a table.
+    """
     counted = crosstab_counts(df, x, y)
-    names = [r["y"] for r in counted.select("y").distinct().orderBy("y").limit(cols).collect()]
-    return (
-        counted.groupBy("x").pivot("y", names).agg(F.sum("count"))
-        .na.fill(0).orderBy("x").limit(rows).withColumnRenamed("x", x)
-    )
+    listed = counted.select("y").distinct().orderBy("y")
+    names = [r["y"] for r in (listed if cols is None else listed.limit(cols)).collect()]
+    wide = counted.groupBy("x").pivot("y", names).agg(F.sum("count")).na.fill(0).orderBy("x")
+    return (wide if rows is None else wide.limit(rows)).withColumnRenamed("x", x)
 
 
 def principal_components(

@@ -5,9 +5,7 @@ from functools import cached_property
 
 from pyspark.sql import DataFrame, Window, functions as F
 
-from ..constants import (
-    REPORT_CATEGORY_CHARTS, REPORT_CATEGORY_COLUMNS, REPORT_CATEGORY_TOP, REPORT_LIST_ROWS,
-    STRONG_CORRELATION)
+from ..constants import REPORT_CATEGORY_TOP, STRONG_CORRELATION
 from ..functions.missing import as_text, data_type, is_missing, numeric_columns
 from ..functions.naming import col
 from .outliers import outlier_summary
@@ -24,7 +22,7 @@ class Report:
     """Report tables of one DataFrame, each made when first asked for.
 
     The column overview, the outlier counts and the correlations are computed once and shared; they have
-    at most one row per column, or 25.
+    at most one row per column, or per pair of numeric columns.
     """
 
     def __init__(self, df: DataFrame) -> None:
@@ -49,16 +47,16 @@ class Report:
     @property
     def missing(self) -> DataFrame:
         listed = self.overview.where("null_count > 0").orderBy(F.desc("null_count"), "position")
-        return listed.limit(REPORT_LIST_ROWS).select("column", "null_count", "null_pct")
+        return listed.select("column", "null_count", "null_pct")
 
     @property
     def outliers(self) -> DataFrame:
         hits = self.outlier_counts.where("count > 0")
-        return hits.orderBy(F.desc("count"), "column").limit(REPORT_LIST_ROWS)
+        return hits.orderBy(F.desc("count"), "column")
 
     @property
     def categories(self) -> DataFrame:
-        found = category_columns(self.overview).orderBy("position").limit(REPORT_CATEGORY_COLUMNS)
+        found = category_columns(self.overview).orderBy("position")
         return category_section(self.df, [r["column"] for r in found.collect()])
 
     @property
@@ -74,12 +72,13 @@ def category_columns(overview: DataFrame) -> DataFrame:
     return overview.where("kind = 'categorical'").select("position", "column", "unique_count")
 
 
-def pick_category_charts(overview: DataFrame, *, most: int = REPORT_CATEGORY_CHARTS) -> DataFrame:
-    """Categorical columns worth a chart: 2 to 30 values first, fewest first, then the larger ones."""
+def pick_category_charts(overview: DataFrame, *, most: int | None = None) -> DataFrame:
+    """Categorical columns worth a chart: 2 to 30 values first, fewest first, then the larger ones; ``most`` cuts."""
     found = category_columns(overview).where("unique_count >= 2")
     small = F.col("unique_count") <= 30
     order = [F.when(small, 0).otherwise(1), F.when(small, F.col("unique_count")), F.col("position")]
-    return found.orderBy(*order).limit(most).select("column", "unique_count")
+    ranked = found.orderBy(*order)
+    return (ranked if most is None else ranked.limit(most)).select("column", "unique_count")
 
 
 def category_section(df: DataFrame, names: list[str], *, top: int = REPORT_CATEGORY_TOP) -> DataFrame:

@@ -7,7 +7,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-from ..functions.missing import any_missing, as_text, data_type, is_missing, is_text
+from ..functions.missing import any_missing, as_text, data_type, is_missing, is_text, known
 from ..functions.naming import col, require_column, resolve_columns
 from ..functions.values import parse_cell
 from .ordering import stable_sort, with_row_number
@@ -18,14 +18,14 @@ from .ordering import stable_sort, with_row_number
 def match_text(df: DataFrame, query: str, column: str | None = None, *, exact: bool = False) -> Column:
     """Case-blind test of one column, or of any column, against ``query``.
 
-    A substring test is false for NULL. An exact test is unknown for NULL, so such a row passes
+    A substring test is false for NULL; NaN is no value either. An exact test is unknown for NULL, so such a row passes
     neither the test nor its negation unless another column matches.
     """
     names = [require_column(df, column)] if column is not None else df.columns
     needle = F.lit(query.strip().lower())
     tests = []
     for n in names:
-        text = F.lower(as_text(col(n), data_type(df, n)))
+        text = F.lower(as_text(known(df, n), data_type(df, n)))
         tests.append(text == needle if exact else F.coalesce(text.contains(needle), F.lit(False)))
     return reduce(lambda a, b: a | b, tests)
 
@@ -219,7 +219,7 @@ def find_replace(
         work = df.join(_ids(df, ids, row_id), col(row_id) == F.col("__id"), "left")
         scope = F.col("__pos").isNotNull()
     typed = [c for c in targets if not is_text(data_type(df, c))]
-    holds = {c: as_text(col(c), data_type(df, c)).contains(F.lit(find)) for c in typed}
+    holds = {c: as_text(known(df, c), data_type(df, c)).contains(F.lit(find)) for c in typed}
     if typed:
         inside = F.lit(True) if scope is None else scope
         hits = work.agg(*[F.max(test & inside) for test in holds.values()]).first()
@@ -231,7 +231,7 @@ def find_replace(
         if c not in targets:
             out.append(col(c))
             continue
-        text = as_text(col(c), data_type(df, c))
+        text = as_text(known(df, c), data_type(df, c))
         if c not in holds:
             new = F.replace(text, F.lit(find), F.lit(replace)) if match_case else (
                 F.regexp_replace(text, pattern, with_text))

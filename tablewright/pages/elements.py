@@ -9,8 +9,10 @@ from collections import Counter
 from collections.abc import Iterator, Sequence
 from html.parser import HTMLParser
 
-import pandas as pd
-from pyspark.sql import Column, DataFrame, functions as F
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, functions as F, types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from ..functions.naming import col
 from ..operators.skew import plan_bytes
@@ -189,17 +191,28 @@ def parse_pages(
     keep = [c for c in pages.columns if c != html]
     spelled = frozenset(attributes)
 
-    def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    element = T.StructType([T.StructField(p, T._parse_datatype_string(ELEMENT[p])) for p in parts])
+    schema = T.StructType([*[f for f in pages.schema if f.name in keep], T.StructField("elements", T.ArrayType(element)),
+                           T.StructField("texts", T.ArrayType(T.StringType()))])
+    arrow = to_arrow_schema(schema)
+
+    def fields(e: dict) -> dict:
+        return {p: list(e[p].items()) if p == "attrs" else e[p] for p in parts}
+
+    def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # The other columns pass through as they are; only the new ones are made of Python values.
         for batch in batches:
-            volume = batch[html].fillna("").str.len().cumsum() // _CHUNK_CHARS
-            for _, part in batch.groupby(volume, sort=False):
-                parsed = [read_markup(h, spelled) for h in part[html]]
-                yield part[keep].assign(elements=[p[0] for p in parsed], texts=[p[1] for p in parsed])
-
-    kept = [f"`{f.name}` {f.dataType.simpleString()}" for f in pages.schema if f.name in keep]
-    element = ",".join(f"{p}:{ELEMENT[p]}" for p in parts)
-    schema = ", ".join([*kept, f"elements array<struct<{element}>>", "texts array<string>"])
-    return _dealt(pages.select(*[col(c) for c in [*keep, html]])).mapInPandas(parse, schema)
+            markup = batch.column(len(keep)).to_pylist()
+            volume = np.cumsum([len(h or "") for h in markup]) // _CHUNK_CHARS
+            begins = [0, *(np.flatnonzero(np.diff(volume)) + 1).tolist(), len(markup)]
+            for begin, end in zip(begins, begins[1:]):
+                parsed = [read_markup(h, spelled) for h in markup[begin:end]]
+                made = [pa.array([[fields(e) for e in p[0]] for p in parsed], arrow.types[-2]),
+                        pa.array([p[1] for p in parsed], arrow.types[-1])]
+                kept = [batch.column(i).slice(begin, end - begin) for i in range(len(keep))]
+                yield pa.RecordBatch.from_arrays([*kept, *made], schema=arrow)
+
+    return _dealt(pages.select(*[col(c) for c in [*keep, html]])).mapInArrow(parse, schema)
 
 
 def text_of(element: Column) -> Column:

@@ -177,4 +177,4 @@ def extract_batch(
     names = [f.name for f in fields]
     return joined.select(
         col(key), "url", *[F.coalesce(col(n), F.lit("")).alias(n) for n in names],
-        F.coalesce("error", F.concat(F.lit("page not stored: "), "url")).alias("error"))
+        F.coalesce("error", F.concat(F.lit("page not stored: "), "url"), F.lit("no URL: the parameter is missing")).alias("error"))

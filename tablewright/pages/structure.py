@@ -14,7 +14,6 @@ FULL_COUNT = 40
 COUNT_POINTS, TEXT_POINTS, LINK_POINTS = 45.0, 30.0, 15.0
 LIST_BONUS, CLASS_BONUS, BARE_PENALTY = 8.0, 6.0, 12.0
 MIN_SCORE = 8.0
-SCORED_MATCHES = 50
 SAMPLE_LENGTH = 80
 
 _UNSAFE = r"""[ .#:\[\],()>"'`]"""
@@ -69,10 +68,9 @@ def _short(text: Column) -> Column:
 
 def _scored(c: Column, samples: int) -> Column:
     m = c["matched"]
-    seen = F.slice(m, 1, SCORED_MATCHES)
-    n = F.size(seen).cast("double")
-    with_text = F.size(F.filter(seen, lambda e: e["last"] > e["first"]))
-    with_link = F.size(F.filter(seen, lambda e: e["link"].isNotNull()))
+    n = F.size(m).cast("double")
+    with_text = F.size(F.filter(m, lambda e: e["last"] > e["first"]))
+    with_link = F.size(F.filter(m, lambda e: e["link"].isNotNull()))
     score = (
         F.least(n, F.lit(float(FULL_COUNT))) / FULL_COUNT * COUNT_POINTS
         + with_text / n * TEXT_POINTS + with_link / n * LINK_POINTS

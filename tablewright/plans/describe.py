@@ -153,7 +153,7 @@ def _(spark, d):
     return rounded(R.correlation_matrix(gappy_lines(spark, d), _CORR_COLUMNS), 8, *_CORR_COLUMNS)
 
 
-@query("top_correlations", f"SELECT * FROM ({_CORR_SQL}) c ORDER BY abs(r) DESC, a, b LIMIT 25")
+@query("top_correlations", f"SELECT * FROM ({_CORR_SQL}) c ORDER BY abs(r) DESC, a, b")
 def _(spark, d):
     return rounded(R.top_correlations(gappy_lines(spark, d).select(*_CORR_COLUMNS)), 8, "r")
 
@@ -169,7 +169,7 @@ def _(spark, d):
 @query("crosstab", """
     SELECT p_brand, count(*) FILTER (p_type = 'ECONOMY') AS "ECONOMY", count(*) FILTER (p_type = 'LARGE') AS "LARGE",
            count(*) FILTER (p_type = 'MEDIUM') AS "MEDIUM", count(*) FILTER (p_type = 'PROMO') AS "PROMO", count(*) FILTER (p_type = 'SMALL') AS "SMALL",
-           count(*) FILTER (p_type = 'STANDARD') AS "STANDARD" FROM part GROUP BY 1 ORDER BY 1 LIMIT 15""")
+           count(*) FILTER (p_type = 'STANDARD') AS "STANDARD" FROM part GROUP BY 1 ORDER BY 1""")
 def _(spark, d):
     return R.crosstab(table(spark, d, "part"), "p_brand", "p_type")
 

@@ -177,7 +177,7 @@ def _(spark, d):
 
 @query("duplicate_values", """
     SELECT 'o_custkey' AS "column", CAST(o_custkey AS VARCHAR) AS value, count(*) AS count FROM orders
-    GROUP BY o_custkey HAVING count(*) > 1 ORDER BY count(*) DESC, value LIMIT 500""")
+    GROUP BY o_custkey HAVING count(*) > 1""")
 def _(spark, d):
     return D.duplicate_values(table(spark, d, "orders"), "o_custkey")
 

@@ -33,13 +33,13 @@ def _(spark, d):
 
 
 @query("report_outliers", f"""
-    SELECT "column", count, round(pct, 6) AS pct FROM ({_OUTLIERS}) o WHERE count > 0 ORDER BY count DESC, "column" LIMIT 30""")
+    SELECT "column", count, round(pct, 6) AS pct FROM ({_OUTLIERS}) o WHERE count > 0 ORDER BY count DESC, "column"""")
 def _(spark, d):
     return rounded(T.Report(table(spark, d, "events")).outliers, 6, "pct")
 
 
 @query("report_missing", f"""
-    SELECT "column", null_count, null_pct FROM ({_OVERVIEW}) o WHERE null_count > 0 ORDER BY null_count DESC, position LIMIT 30""")
+    SELECT "column", null_count, null_pct FROM ({_OVERVIEW}) o WHERE null_count > 0 ORDER BY null_count DESC, position""")
 def _(spark, d):
     return rounded(T.Report(gappy_orders(spark, d)).missing, 6, "null_pct")
 
@@ -58,6 +58,6 @@ def _(spark, d):
     SELECT "column", n AS unique_count FROM (
         SELECT 0 AS p, 'c_name' AS "column", count(DISTINCT c_name) AS n FROM customer
         UNION ALL SELECT 1, 'c_mktsegment', count(DISTINCT c_mktsegment) FROM customer) x
-    WHERE n BETWEEN 2 AND 30 ORDER BY n, p LIMIT 4""")
+    WHERE n BETWEEN 2 AND 30 ORDER BY n, p""")
 def _(spark, d):
     return T.Report(table(spark, d, "customer")).category_charts

@@ -5,6 +5,7 @@ import os
 import tempfile
 import uuid
 
+from pyspark import SparkConf
 from pyspark.sql import SparkSession
 
 # AQE picks the final partition counts and splits skewed shuffle partitions at run time.
@@ -28,6 +29,8 @@ def local_session(cores: str | int = "*", app: str = "tablewright") -> SparkSess
         .config("spark.driver.memory", "12g")
         .config("spark.sql.shuffle.partitions", str(cpus))
     )
+    if not SparkConf().contains("spark.checkpoint.dir"):
+        builder = builder.config("spark.checkpoint.dir", tempfile.mkdtemp(prefix="tablewright-"))
     for key, value in DEFAULTS.items():
         builder = builder.config(key, value)
     spark = builder.getOrCreate()
@@ -36,15 +39,13 @@ def local_session(cores: str | int = "*", app: str = "tablewright") -> SparkSess
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the folder the cluster names in ``spark.checkpoint.dir``; fall back only when unset."""
+    """Use the folder the session names in ``spark.checkpoint.dir``; without one there is no shared folder."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is not None:
         return
     shared = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
     if shared:
         sc.setCheckpointDir(shared)
-    elif sc.master.startswith("local"):
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="tablewright-ckpt-"))
     else:
         raise ValueError("set spark.checkpoint.dir to a folder every executor can reach")
 
