@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import math
 import os
+import struct
 from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -29,11 +30,13 @@ from . import shared
 MARK = "▁"
 # A word mark of the text itself, while marks stand for blanks: a code point that no text holds.
 _LITERAL = "\udc81"
-_SCALE, _NONE = 1 << 20, -(1 << 60)
-_UNKNOWN = -20 * _SCALE  # for each byte of a character outside the vocabulary
+# Scores are multiples of 1 / _SCALE, so that sums over a word are exact in single precision too.
+_SCALE, _NONE = 1 << 12, -(1 << 60)
+_UNKNOWN_PENALTY = 10  # below the lowest score, for a character outside the vocabulary
+_LONG_WORD = 200
 CHUNK_CHARS = 1 << 14
 _BLOCK_CHUNKS = 256
-_CACHED_WORDS = 600_000
+_CACHED_WORDS = 200_000
 _BATCH_BYTES = 1 << 22
 
 
@@ -43,7 +46,9 @@ class Pieces:
     scores: dict[str, tuple[int, int]]
     bytes_: list[int]
     texts: dict[int, bytes]
-    longest: int = 0
+    longest: int
+    unknown: int
+    searcher: object  # the library's own lattice search over the same pieces and scores
     words: dict[str, bytes] = field(default_factory=dict)
 
     def __post_init__(self):
@@ -69,7 +74,12 @@ class Pieces:
         texts = {i: p.id_to_piece(i).replace(MARK, " ").encode() for i in plain}
         bytes_ = [hexes[f"<0x{b:02X}>"] for b in range(256)]
         texts |= {i: bytes([b]) for b, i in enumerate(bytes_)}
-        return cls(scores, bytes_, texts, max(map(len, scores)))
+        kinds = [(p.id_to_piece(i), scores[p.id_to_piece(i)][0] / _SCALE if i in log else 0.0,
+                  1 if i in log else 2 if p.is_unknown(i) else 3 if p.is_control(i) else 6 if p.is_byte(i) else 5)
+                 for i in range(p.get_piece_size())]
+        lowest = min(score for score, _ in scores.values())
+        return cls(scores, bytes_, texts, max(map(len, scores)), lowest - _UNKNOWN_PENALTY * _SCALE,
+                   sentencepiece.SentencePieceProcessor(model_proto=unigram_model(kinds)))
 
     def forward(self, s: str, begin: int, end: int) -> tuple[list[int], list[int]]:
         """Best scores from ``begin`` to each position up to ``end + longest - 1``, by pieces that start before
@@ -82,7 +92,7 @@ class Pieces:
             if here <= _NONE:
                 continue
             if s[at] not in scores:
-                score, i = here + _UNKNOWN * len(_utf8(s[at])), at + 1 - begin
+                score, i = here + self.unknown, at + 1 - begin
                 if score > best[i]:
                     best[i], back[i] = score, at
             for stop in range(at + 1, top + 1):
@@ -103,36 +113,46 @@ class Pieces:
             stop = at
         return array("i", ids[::-1]).tobytes()
 
-    def word(self, word: str) -> bytes:
-        """Ids of a text that begins with a word mark and has no other, remembered for the next time."""
-        first, *rest = word.split("\n") if self.lines_apart else [word]
-        line_end = np.array([self.bytes_[10]], "<i4").tobytes()
-        return b"".join([self._part(MARK + first), *[line_end + self._part(x) for x in rest]])
-
-    def _part(self, s: str) -> bytes:
-        ids = self.words.get(s)
-        if ids is None:
-            ids = self.path(s, 0, self.forward(s, 0, len(s))[1], len(s))
-            if len(self.words) >= _CACHED_WORDS:
-                self.words.clear()
-            self.words[s] = ids
-        return ids
-
     def marked(self, s: str) -> bytes:
         """Ids of symbols that begin with a word mark."""
-        get = self.words.get
-        words = s.split(MARK)[1:]
-        found = [get(MARK + w) for w in words]
-        if None in found:
-            found = [self.word(w) if f is None else f for w, f in zip(words, found)]
-        return b"".join(found)
+        return self.marked_all([s])[0]
+
+    def marked_all(self, texts: list[str]) -> list[bytes]:
+        """Ids of texts that begin with a word mark, word by word; words seen before are looked up."""
+        if len(self.words) > _CACHED_WORDS:
+            self.words.clear()
+        get, split = self.words.get, [t.split(MARK)[1:] for t in texts]
+        fresh = {w for words in split for w in words if get(w) is None}
+        # Where no piece holds a line end, the lines of a word are independent as well.
+        parts = {w: (MARK + w).split("\n") if self.lines_apart else [MARK + w] for w in fresh}
+        ids = self._searched({x for p in parts.values() for x in p})
+        end = array("i", [self.bytes_[10]]).tobytes()
+        for w, p in parts.items():
+            self.words[w] = end.join(map(ids.__getitem__, p))
+        return [b"".join(map(get, words)) for words in split]
+
+    def _searched(self, parts: set[str]) -> dict[str, bytes]:
+        """Ids of short texts by the library's search, of all others by the one here."""
+        short = [x for x in parts if x and len(x) <= _LONG_WORD and _LITERAL not in x]
+        own, bytes_ = set(parts), set(self.bytes_)
+        out = {}
+        for x, ids in zip(short, self.searcher.encode(short, num_threads=1) if short else []):
+            if bytes_.isdisjoint(ids) and 0 not in ids:
+                out[x] = array("i", ids).tobytes()
+                own.discard(x)
+        for x in own:
+            out[x] = self.path(x, 0, self.forward(x, 0, len(x))[1], len(x))
+        return out
 
     def score(self, ids: bytes) -> int:
-        if not hasattr(self, "_by_id"):
-            self._by_id = np.full(max(self.texts) + 1, _UNKNOWN, np.int64)
-            for score, i in self.scores.values():
-                self._by_id[i] = score
-        return int(self._by_id[np.frombuffer(ids, "<i4")].sum())
+        """The score of a path; bytes count by character."""
+        by_id, total = {i: score for score, i in self.scores.values()}, 0
+        for i in np.frombuffer(ids, "<i4").tolist():
+            if i in by_id:
+                total += by_id[i]
+            elif self.texts[i][0] & 0xC0 != 0x80:  # the first byte of a character
+                total += self.unknown
+        return total
 
     def _cuts(self, s: str, n: int) -> tuple[int, int]:
         """First and last word mark that no entering and no leaving piece crosses, or -1."""
@@ -147,7 +167,10 @@ class Pieces:
         return out
 
     def matrix(self, s: str, n: int) -> np.ndarray:
-        """Best scores of a chunk of n symbols from each entry to each exit state."""
+        """Best scores of a chunk of n symbols from each entry to each exit state.
+
+        The words between the first and the last mark add the same to all of them and are left out.
+        """
         first, last = self._cuts(s, n)
         out = np.full((self.longest, self.longest), _NONE, np.int64)
         entries = range(min(self.longest, n + 1))
@@ -155,11 +178,10 @@ class Pieces:
             for i in entries:
                 out[i] = self._exits(s, i, n)
             return out
-        middle = self.score(self.marked(s[first:last])) if last > first else 0
         exits = self._exits(s, last, n)
         for i in entries:
             enter = self.forward(s[:first], i, first)[0][first - i]
-            out[i] = np.where((exits > _NONE) & (enter > _NONE), enter + middle + exits, _NONE)
+            out[i] = np.where((exits > _NONE) & (enter > _NONE), enter + exits, _NONE)
         return out
 
     def trace(self, s: str, n: int, entry: int, exit_: int) -> bytes:
@@ -176,6 +198,27 @@ class Pieces:
         return b"".join(map(self.texts.__getitem__, ids))[1:].decode()
 
 
+def _field(number: int, value: bytes | int | float) -> bytes:
+    """A field of a serialised protocol buffer."""
+    def varint(n: int) -> bytes:
+        out = bytearray()
+        while n > 127:
+            out.append(n & 127 | 128)
+            n >>= 7
+        return bytes([*out, n])
+    if isinstance(value, bytes):
+        return varint(number << 3 | 2) + varint(len(value)) + value
+    return varint(number << 3 | 5) + struct.pack("<f", value) if isinstance(value, float) else varint(number << 3) + varint(value)
+
+
+def unigram_model(pieces: list[tuple[str, float, int]]) -> bytes:
+    """A model file of the unigram kind from (piece, score, type); texts go in as they are."""
+    listed = b"".join(_field(1, _field(1, p.encode()) + _field(2, float(s)) + _field(3, kind)) for p, s, kind in pieces)
+    trainer = _field(3, 1) + _field(35, 1)  # unigram, byte pieces
+    normalizer = _field(1, b"identity") + _field(3, 0) + _field(4, 0) + _field(5, 0)
+    return listed + _field(2, trainer) + _field(3, normalizer)
+
+
 def _utf8(char: str) -> bytes:
     return MARK.encode() if char == _LITERAL else char.encode()
 
@@ -222,7 +265,8 @@ def _encode(model: bytes, column: str, schema: pa.Schema):
         p = _pieces(model)
         for whole in batches:
             for batch in _sliced(whole, column):
-                ids = [p.marked(MARK + symbols(t)) if t else b"" for t in batch.column("__text").to_pylist()]
+                texts = [MARK + symbols(t) if t else "" for t in batch.column("__text").to_pylist()]
+                ids = p.marked_all(texts)
                 yield pa.RecordBatch.from_arrays(
                     [_lists(ids).cast(f.type) if f.name == column else batch.column(f.name) for f in schema], schema=schema)
     return run
