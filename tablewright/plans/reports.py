@@ -33,7 +33,7 @@ def _(spark, d):
 
 
 @query("report_outliers", f"""
-    SELECT "column", count, round(pct, 6) AS pct FROM ({_OUTLIERS}) o WHERE count > 0 ORDER BY count DESC, "column"""")
+    SELECT "column", count, round(pct, 6) AS pct FROM ({_OUTLIERS}) o WHERE count > 0 ORDER BY count DESC, 1""")
 def _(spark, d):
     return rounded(T.Report(table(spark, d, "events")).outliers, 6, "pct")
 
