@@ -31,14 +31,14 @@ _HEAD, _TAIL = "<8s32sB", "<QQ8s"
 _HEAD_BYTES, _TAIL_BYTES = struct.calcsize(_HEAD), struct.calcsize(_TAIL)
 # The dictionary is fitted on so many documents, with the first ids of each, whatever the size of the table.
 SAMPLE_DOCUMENTS, SAMPLE_IDS, DICTIONARY_BYTES = 512, 4096, 64 << 10
-_CACHED_WORDS, _BATCH_CHARS, _PART_BYTES = 500_000, 1 << 21, 12 << 20
+_CACHED_WORDS, _BATCH_CHARS, _PART_BYTES = 400_000, 1 << 21, 12 << 20
 
 
 class Encoder:
     """Ids of texts, each as little-endian bytes, with repeated words looked up.
 
-    The vocabulary's own splitter always starts a new piece at a single blank between other characters, so such texts
-    are encoded word by word; texts with neighbouring white space or special tokens are encoded whole.
+    It is for byte-level vocabularies. Their splitter always starts a new piece at a single blank between other
+    characters, so texts are encoded word by word; texts with neighbouring white space or special tokens go whole.
     """
 
     def __init__(self, path: str, end_id: int | None):
@@ -51,12 +51,32 @@ class Encoder:
         special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.whole = re.compile("|".join([r"\s\s", *map(re.escape, special)]))
         self.words: dict[str, bytes] = {}
-
-    def _encode(self, texts: list[str]) -> list[bytes]:
-        out = []
-        for i in range(0, len(texts), 5000):
-            coded = self.tokenizer.encode_batch_fast(texts[i:i + 5000], add_special_tokens=False)
-            out.extend(np.array(c.ids, self.dtype).tobytes() for c in coded)
+        # Tokens that begin with a blank, and the line end: the first ones of a word.
+        blank, line_end = self.tokenizer.encode(" a", add_special_tokens=False).tokens[0][0], self.tokenizer.token_to_id("\u010a")
+        self.begins = np.zeros(self.tokenizer.get_vocab_size(), bool)
+        for token, i in self.tokenizer.get_vocab().items():
+            self.begins[i] = token.startswith(blank) or i == line_end
+
+    def _encode(self, texts: list[str]) -> list[np.ndarray]:
+        coded = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
+        return [np.array(c.ids, self.dtype) for c in coded]
+
+    def _encode_words(self, words: list[str]) -> dict[str, bytes]:
+        """Ids of words as they stand in a text; many are encoded as one text and told apart by their first tokens."""
+        spelled = {w: "\n" + w[2:] if w.startswith("\t\t") else w if w.startswith("\n") else " " + w for w in words}
+        alone = [w for w in words if not w or w[-1].isspace() and w != "\n"]
+        together = [w for w in words if w and (w == "\n" or not w[-1].isspace())]
+        out = {w: ids.tobytes() for w, ids in zip(alone, self._encode([spelled[w][w.startswith("\t\t"):] for w in alone]))}
+        groups = [together[i:i + 1000] for i in range(0, len(together), 1000)]
+        for group, ids in zip(groups, self._encode(["".join(map(spelled.__getitem__, g)) for g in groups])):
+            begins = np.flatnonzero(self.begins[ids])
+            if len(begins) != len(group):
+                out |= {w: x.tobytes() for w, x in zip(group, self._encode([spelled[w][w.startswith("\t\t"):] for w in group]))}
+                continue
+            data, size = ids.tobytes(), self.dtype.itemsize
+            cuts = [*(begins * size).tolist(), len(data)]
+            for w, i, j in zip(group, cuts, cuts[1:]):
+                out[w] = data[i + size if w.startswith("\t\t") else i:j]  # without the line end put before it
         return out
 
     def encode(self, texts: list[str]) -> list[bytes]:
@@ -70,14 +90,10 @@ class Encoder:
                 split[i] = ["\t\t" + first, *rest]  # no word of these texts begins with two tabs
         if len(self.words) > _CACHED_WORDS:
             self.words.clear()
-        get, fresh = self.words.get, {}
-        for parts in split.values():
-            for w in parts:
-                if get(w) is None:
-                    fresh[w] = None
-        spelled = [w[2:] if w.startswith("\t\t") else w if w.startswith("\n") else " " + w for w in fresh]
-        self.words.update(zip(fresh, self._encode(spelled)))
-        out = dict(zip(odd, self._encode([texts[i] for i in odd])))
+        get = self.words.get
+        fresh = {w for parts in split.values() for w in parts if get(w) is None}
+        self.words |= self._encode_words(list(fresh))
+        out = dict(zip(odd, (x.tobytes() for x in self._encode([texts[i] for i in odd]))))
         for i, parts in split.items():
             out[i] = b"".join(map(get, parts))
         return [out[i] + self.end for i in range(len(texts))]
