@@ -35,10 +35,13 @@ def arrow_schema(schema: T.StructType) -> pa.Schema:
     return to_arrow_schema(schema)
 
 
+_UNKNOWN_BYTES = 1 << 56  # tables that no statistics exist for are estimated near the largest number
+
+
 def partitions_for(df: DataFrame, bytes_each: int) -> int:
     """Partitions so that each holds about ``bytes_each`` of the table's stored size, the session's number at least."""
-    least = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return max(least, -(-plan_bytes(df) // bytes_each))
+    least, size = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), plan_bytes(df)
+    return least if size >= _UNKNOWN_BYTES else max(least, -(-size // bytes_each))
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
