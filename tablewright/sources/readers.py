@@ -1,10 +1,14 @@
 """Loading tables: suffix dispatch, delimiters, encodings and format probes on top of Spark's readers."""
 from __future__ import annotations
 
-import codecs
+import json
+from collections.abc import Iterator
 from pathlib import PurePosixPath
+from xml.etree import ElementTree
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+import pandas as pd
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..functions.missing import nan_to_null
 from ..functions.naming import dedupe_names
@@ -27,7 +31,6 @@ DELIMITERS = (",", "\t", ";", "|")
 # The JVM's names of the Korean code pages.
 _CHARSETS = {"utf-8": "UTF-8", "cp949": "x-windows-949", "euc-kr": "EUC-KR"}
 _HEAD = 1 << 16
-_SNIFF_LINES = 50
 
 
 def resolve_suffix(path: str) -> str:
@@ -39,10 +42,25 @@ def resolve_suffix(path: str) -> str:
 
 
 def _head(spark: SparkSession, path: str) -> bytes:
-    """The first bytes of the first file; the cut is made in the task, so a large file is not shipped."""
-    files = spark.read.format("binaryFile").load(path)
-    row = files.orderBy("path").select(F.substring("content", 1, _HEAD).alias("head")).first()
-    return bytes(row["head"]) if row else b""
+    """The first bytes of the first file under a path, read through Hadoop's file system without a Spark job."""
+    jvm = spark._jvm
+    root = jvm.org.apache.hadoop.fs.Path(path)
+    fs = root.getFileSystem(spark._jsc.hadoopConfiguration())
+    found = []
+    for status in fs.globStatus(root) or []:
+        if status.isFile():
+            found.append(status)
+            continue
+        found += [s for s in fs.listStatus(status.getPath()) if s.isFile() and s.getPath().getName()[0] not in "_."]
+    files = [s for s in found if s.getLen() > 0]
+    if not files:
+        return b""
+    first = min(files, key=lambda s: s.getPath().toString())
+    stream = fs.open(first.getPath())
+    try:
+        return bytes(jvm.org.apache.commons.io.IOUtils.toByteArray(stream, min(first.getLen(), _HEAD)))
+    finally:
+        stream.close()
 
 
 def charset_option(spark: SparkSession, encoding: str) -> str:
@@ -53,30 +71,54 @@ def charset_option(spark: SparkSession, encoding: str) -> str:
     return name
 
 
+def _readable(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One row: for each known encoding whether it reads every line."""
+    fits = dict.fromkeys(ENCODINGS, True)
+    for batch in batches:
+        for line in batch.column(0).to_pylist():
+            for name in [n for n, ok in fits.items() if ok and line is not None]:
+                try:
+                    line.decode(name)
+                except UnicodeDecodeError:
+                    fits[name] = False
+    yield pa.RecordBatch.from_pydict({n.replace("-", "_"): [ok] for n, ok in fits.items()})
+
+
 def detect_encoding(spark: SparkSession, path: str) -> str:
-    """The first encoding that reads the start of the file; a cut character at its end is no error."""
-    head = _head(spark, path)
-    if head[:2] == b"\x1f\x8b":
-        return "utf-8"
-    for name in ENCODINGS:
-        try:
-            codecs.getincrementaldecoder(name)().decode(head, final=len(head) < _HEAD)
+    """The first encoding that reads every line of every file; an error if none does."""
+    columns = [n.replace("-", "_") for n in ENCODINGS]
+    lines = spark.read.text(path).select(F.col("value").cast("binary"))
+    fits = lines.mapInArrow(_readable, ", ".join(f"{c} boolean" for c in columns)).agg(
+        *[F.coalesce(F.bool_and(c), F.lit(True)).alias(c) for c in columns]).first()
+    for name, column in zip(ENCODINGS, columns):
+        if fits[column]:
             return name
-        except UnicodeDecodeError:
-            continue
     raise ValueError(f"none of the known encodings reads {path}")
 
 
+def _unquoted(line: Column) -> Column:
+    return F.regexp_replace(line, '"[^"]*"', "")
+
+
 def sniff_delimiter(spark: SparkSession, path: str) -> str:
-    """The first delimiter that cuts the leading lines into one and the same number (> 1) of fields."""
-    lines = [r["value"] for r in spark.read.text(path).where("trim(value) <> ''").limit(_SNIFF_LINES).collect()]
-    for delimiter in DELIMITERS:
-        counts = {line.count(delimiter) for line in lines}
-        if len(counts) == 1 and counts != {0}:
+    """The first delimiter that cuts all lines into one and the same number (> 1) of fields; those in quotes do not cut."""
+    line = _unquoted(F.col("value"))
+    counts = [F.length(line) - F.length(F.replace(line, F.lit(d), F.lit(""))) for d in DELIMITERS]
+    facts = spark.read.text(path).where("trim(value) <> ''").agg(*[
+        F.struct(F.min(n).alias("low"), F.max(n).alias("high")) for n in counts]).first()
+    for delimiter, fact in zip(DELIMITERS, facts):
+        if fact["low"] is not None and fact["low"] == fact["high"] > 0:
             return delimiter
     return ","
 
 
+def _records_span_lines(spark: SparkSession, path: str) -> bool:
+    """Whether a quote is open at the end of some line."""
+    value = F.col("value")
+    quotes = F.length(value) - F.length(F.replace(value, F.lit('"'), F.lit("")))
+    return bool(spark.read.text(path).agg(F.max(quotes % 2)).first()[0])
+
+
 def probe_format(spark: SparkSession, path: str) -> str:
     """Format of a file without a suffix, from its first bytes."""
     head = _head(spark, path)
@@ -94,13 +136,19 @@ def probe_format(spark: SparkSession, path: str) -> str:
 
 def read_delimited(
     spark: SparkSession, path: str, sep: str = ",", *, encoding: str | None = None, nrows: int | None = None,
-    schema: str | None = None,
+    schema: str | None = None, multi_line: bool | None = None,
 ) -> DataFrame:
-    """Header row, inferred types unless ``schema`` is given; an encoding is probed unless given."""
+    """Header row, inferred types unless ``schema`` is given; an encoding is probed unless given.
+
+    Files with line ends inside quotes cannot be split over tasks; unless ``multi_line`` says so, one pass over the
+    lines finds out.
+    """
     charset = charset_option(spark, encoding or detect_encoding(spark, path))
+    if multi_line is None:
+        multi_line = _records_span_lines(spark, path)
     reader = (
         spark.read.option("header", True).option("sep", sep).option("encoding", charset)
-        .option("multiLine", False).option("quote", '"').option("escape", '"')
+        .option("multiLine", multi_line).option("quote", '"').option("escape", '"')
     )
     reader = reader.schema(schema) if schema else reader.option("inferSchema", True)
     df = reader.csv(path)
@@ -109,40 +157,74 @@ def read_delimited(
     return df.limit(nrows) if nrows is not None else df
 
 
+_BAD = "__unreadable"
+
+
 def read_json(spark: SparkSession, path: str, *, lines: bool = False) -> DataFrame:
-    """JSON lines, or one document per file; a file that is not one document is read as lines."""
-    if not lines:
-        head = _head(spark, path).lstrip(b"\xef\xbb\xbf \t\r\n")
-        # Lines split over tasks; a document does not, so lines are used whenever they fit.
-        if head.startswith(b"[") or (head.startswith(b"{") and b"}\n{" not in head.replace(b"\r", b"")
-                                     and head.rstrip().count(b"\n") > 0):
-            return spark.read.option("multiLine", True).json(path)
-    return spark.read.json(path)
+    """JSON lines, or one document per file; what is not lines must be one document, or it is an error."""
+    reader = spark.read.option("columnNameOfCorruptRecord", _BAD)
+    by_line = reader.json(path)
+    if lines or _BAD not in by_line.columns:
+        return by_line.drop(_BAD)  # lines split over tasks, a document does not
+    files = spark.read.text(path, wholetext=True)
+    if files.mapInPandas(_more_than_one, "more boolean").where("more").isEmpty():
+        return spark.read.option("multiLine", True).option("mode", "FAILFAST").json(path)
+    raise ValueError(f"{path} holds neither one JSON value per line nor one per file")
+
+
+def _more_than_one(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    decoder = json.JSONDecoder()
+    for f in frames:
+        more = []
+        for text in f["value"]:
+            body = (text or "").lstrip("\ufeff \t\r\n")
+            try:
+                more.append(bool(body) and body[decoder.raw_decode(body)[1]:].strip() != "")
+            except ValueError:
+                more.append(True)
+        yield pd.DataFrame({"more": more})
+
+
+def _row_tags(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """The names of the elements below the roots."""
+    for f in frames:
+        tags = {child.tag for text in f["value"] for child in ElementTree.fromstring((text or "").lstrip("\ufeff"))}
+        yield pd.DataFrame({"tag": sorted(tags)}, dtype="string")
 
 
 def read_xml(spark: SparkSession, path: str, *, row_tag: str | None = None) -> DataFrame:
-    """Repeated elements as rows; without ``row_tag`` the first element below the root is taken."""
+    """Elements as rows; without ``row_tag`` those below the root, the columns of different ones united."""
     if row_tag is None:
-        import re
-
-        tags = re.findall(rb"<([A-Za-z_][\w.-]*)", _head(spark, path))
-        if len(tags) < 2:
-            raise ValueError(f"no repeated element found in {path}")
-        row_tag = tags[1].decode()
-    return spark.read.option("rowTag", row_tag).option("attributePrefix", "").xml(path)
+        files = spark.read.text(path, wholetext=True)
+        tags = sorted(r["tag"] for r in files.mapInPandas(_row_tags, "tag string").distinct().collect())
+    else:
+        tags = [row_tag]
+    if not tags:
+        raise ValueError(f"no element below the root in {path}")
+    parts = [spark.read.option("rowTag", t).option("attributePrefix", "").xml(path) for t in tags]
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part, allowMissingColumns=True)
+    return out
 
 
 def read_html_table(spark: SparkSession, path: str) -> DataFrame:
-    """The first table of one page; its first row (of header cells, if any) names the columns."""
-    pages = spark.read.text(path, wholetext=True).withColumnRenamed("value", "html").limit(1)
+    """The first table of one page; its first row (of header cells, if any) names the columns.
+
+    The table is as wide as its widest row; columns without a name get their number.
+    """
+    pages = spark.read.text(path, wholetext=True).withColumnRenamed("value", "html")
+    if pages.limit(2).count() > 1:
+        raise ValueError(f"{path} holds several pages; read them as a table of pages")
     cells = page_tables(pages)
-    head = cells.where("row_no = 0").orderBy("col_no").select("col_no", "text", "is_header").collect()
-    if not head:
+    width = cells.agg(F.max("col_no")).first()[0]
+    if width is None:
         raise ValueError(f"no table found in {path}")
-    named = any(r["is_header"] for r in head)
-    names = dedupe_names(r["text"] if named else r["col_no"] for r in head)
+    head = {r["col_no"]: r for r in cells.where("row_no = 0").collect()}
+    named = any(r["is_header"] for r in head.values())
+    names = dedupe_names(head[i]["text"] if named and i in head else i for i in range(width + 1))
     body = cells.where("row_no > 0") if named else cells
-    wide = body.groupBy("row_no").pivot("col_no", [r["col_no"] for r in head]).agg(F.first("text"))
+    wide = body.groupBy("row_no").pivot("col_no", list(range(width + 1))).agg(F.first("text"))
     return wide.orderBy("row_no").drop("row_no").toDF(*names)
 
 

@@ -74,3 +74,41 @@ def test_round_trip(spark, tmp_path, kind):
     assert sorted(tuple(r) for r in got.select("s", "n").collect() if r["s"]) == [("김 \"a\", b", 1)] and got.count() == 2
     with pytest.raises(ValueError):
         save_table(df, str(tmp_path / "x"), "xlsx")
+
+
+def test_line_ends_in_quotes(spark, tmp_path):
+    df = spark.createDataFrame([(1, "a\nb"), (2, "c"), (3, 'say "x", y')], "id long, s string")
+    for kind in ("csv_utf8", "tsv"):
+        got = load_table(spark, save_table(df, str(tmp_path / f"out_{kind}"), kind))
+        assert sorted(tuple(r) for r in got.collect()) == [(1, "a\nb"), (2, "c"), (3, 'say "x", y')]
+
+
+def test_encoding_of_the_whole_file(spark, tmp_path):
+    (tmp_path / "late.csv").write_bytes(b"a,b\n" + b"x,1\n" * 40_000 + "서울,2\n".encode("cp949"))
+    assert load_table(spark, str(tmp_path / "late.csv")).where("b = 2").first()["a"] == "서울"
+    (tmp_path / "none.csv").write_bytes(b"a,b\n\xff\xff,1\n")
+    with pytest.raises(ValueError):
+        load_table(spark, str(tmp_path / "none.csv"))
+
+
+def test_delimiters_in_quotes(spark, tmp_path):
+    (tmp_path / "semi").write_text('"Doe, J";1\n"Roe, R";2\n')
+    assert sniff_delimiter(spark, str(tmp_path / "semi")) == ";"
+
+
+def test_json_with_gaps(spark, tmp_path):
+    (tmp_path / "a.json").write_text('{"a": 1}\n\n{"a": 2}\r\n{"a": 3} \n')
+    assert load_table(spark, str(tmp_path / "a.json")).count() == 3
+    (tmp_path / "b.json").write_text('{"a":\n 1, "b": [1,\n2]}\n')
+    assert load_table(spark, str(tmp_path / "b.json")).count() == 1
+    (tmp_path / "c.json").write_text('{"a":\n 1}\n{"a":\n 2}\n')
+    with pytest.raises(ValueError):
+        load_table(spark, str(tmp_path / "c.json"))
+
+
+def test_xml_of_mixed_rows_and_wide_html(spark, tmp_path):
+    (tmp_path / "m.xml").write_text("<d><!-- <x> --><a><i>1</i></a><b><i>2</i><j>3</j></b><a><i>4</i></a></d>")
+    df = load_table(spark, str(tmp_path / "m.xml"))
+    assert sorted(df.columns) == ["i", "j"] and sorted(r["i"] for r in df.collect()) == [1, 2, 4]
+    (tmp_path / "w.html").write_text("<table><tr><th>a</tr><tr><td>1<td>2</tr></table>")
+    assert [r.asDict() for r in load_table(spark, str(tmp_path / "w.html")).collect()] == [{"a": "1", "1": "2"}]
