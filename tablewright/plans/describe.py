@@ -105,12 +105,13 @@ def _(spark, d):
     return P.pair_chart_suggestions(table(spark, d, "lineitem"), pairs)
 
 
-@query("default_columns", "SELECT 'o_orderkey' AS one, 'o_orderkey' AS first, 'o_custkey' AS second, count(*) AS rows FROM orders")
+@query("default_columns", """
+    SELECT min(o_orderkey) AS low, max(o_orderkey) AS high, round(corr(o_orderkey, o_custkey), 8) AS r FROM orders""")
 def _(spark, d):
+    """The range of the column shown first and the correlation of the pair shown first."""
     o = table(spark, d, "orders")
-    first, second = P.default_pair(o)
-    return o.agg(F.count(F.lit(1)).alias("rows")).select(
-        F.lit(P.default_column(o)).alias("one"), F.lit(first).alias("first"), F.lit(second).alias("second"), "rows")
+    one, (first, second) = P.default_column(o), P.default_pair(o)
+    return o.agg(F.min(one).alias("low"), F.max(one).alias("high"), F.round(F.corr(first, second), 8).alias("r"))
 
 
 @query("plot_sample", "SELECT least(count(*), 5000) AS rows, least(count(*), 5000) AS distinct_keys FROM orders")

@@ -188,3 +188,37 @@ def _(spark, d):
 def _(spark, d):
     s = table(spark, d, "supplier").select("s_suppkey", F.col("s_suppkey").cast("double").alias("x"))
     return s.select("s_suppkey", lookup_key(F.col("x"), s.schema["x"].dataType).alias("key"))
+
+
+# Amounts from 1e6 to 1e8 and shares below 1e-3: text without exponents.
+_AMOUNTS_SQL = "(SELECT o_orderkey, o_totalprice * 100 AS amount, 1 / o_totalprice AS share FROM orders)"
+
+
+def _amounts(spark, d):
+    return table(spark, d, "orders").select(
+        "o_orderkey", (F.col("o_totalprice") * 100).alias("amount"), (1 / F.col("o_totalprice")).alias("share"))
+
+
+@query("search_large_numbers", f"SELECT * FROM {_AMOUNTS_SQL} a WHERE contains(CAST(amount AS VARCHAR), '99')")
+def _(spark, d):
+    return R.search(_amounts(spark, d), "99", "amount")
+
+
+@query("search_small_numbers", f"""
+    SELECT o_orderkey FROM {_AMOUNTS_SQL} a WHERE starts_with(CAST(share AS VARCHAR), '0.000') AND contains(CAST(share AS VARCHAR), '0.0001')""")
+def _(spark, d):
+    return R.search(_amounts(spark, d).where("share >= 1e-4"), "0.0001", "share").select("o_orderkey")
+
+
+@query("replace_in_large_numbers", f"""
+    SELECT o_orderkey, CASE WHEN contains(CAST(amount AS VARCHAR), '123') THEN 'found' ELSE CAST(amount AS VARCHAR) END AS amount
+    FROM {_AMOUNTS_SQL} a""")
+def _(spark, d):
+    return R.find_replace(_amounts(spark, d).select("o_orderkey", "amount"), "123", "found", columns="amount")
+
+
+@query("search_no_number", "SELECT o_orderkey FROM orders WHERE false")
+def _(spark, d):
+    """NaN is no value and matches no text."""
+    o = table(spark, d, "orders").select("o_orderkey", F.lit(float("nan")).alias("gap"))
+    return R.search(o, "nan", "gap").select("o_orderkey")

@@ -2,7 +2,8 @@
 from pyspark.sql import functions as F
 
 from ..operators import columns as C
-from .registry import GAPPY_SQL, gappy_orders, query, table
+from ..operators.fill import fill_missing
+from .registry import GAPPY_SQL, gappy_orders, query, rounded, table
 
 
 @query("select_columns", "SELECT c_name, c_custkey FROM customer")
@@ -141,12 +142,14 @@ def _(spark, d):
     return C.fill_sequence(o, "o_custkey", ["o_orderdate", "o_orderkey"], start=100, step=5)
 
 
-@query("fill_methods", """
-    SELECT * FROM (VALUES ('o_orderkey', 'mean,median,min,max,knn,mice,mode,ffill,bfill,constant'),
-                          ('o_orderstatus', 'mode,ffill,bfill,constant')) v(name, methods),
-    (SELECT count(*) AS rows FROM orders) n""")
+@query("fill_methods", f"""
+    SELECT o_orderkey, round(coalesce(o_totalprice, (SELECT avg(o_totalprice) FROM {GAPPY_SQL} g)), 4) AS o_totalprice,
+           CASE WHEN trim(coalesce(o_orderpriority, '')) = '' THEN (
+               SELECT o_orderpriority FROM {GAPPY_SQL} g WHERE trim(o_orderpriority) <> '' GROUP BY 1 ORDER BY count(*) DESC, 1 LIMIT 1)
+           ELSE o_orderpriority END AS o_orderpriority FROM {GAPPY_SQL} o""")
 def _(spark, d):
-    o = table(spark, d, "orders")
-    listed = [F.struct(F.lit(c).alias("name"), F.lit(",".join(C.fill_methods(o, c))).alias("methods"))
-              for c in ("o_orderkey", "o_orderstatus")]
-    return o.agg(F.count(F.lit(1)).alias("rows")).select(F.inline(F.array(*listed)), "rows")
+    """Each column filled by the first method that it offers."""
+    o = gappy_orders(spark, d).select("o_orderkey", "o_totalprice", "o_orderpriority")
+    for c in ("o_totalprice", "o_orderpriority"):
+        o = fill_missing(o, c, C.fill_methods(o, c)[0], order_by="o_orderkey")
+    return rounded(o, 4, "o_totalprice")

@@ -1,8 +1,10 @@
 """Source and sink queries: a table is saved to the shared scratch folder and read back."""
+from functools import reduce
+
 from pyspark.sql import functions as F
 
 from ..session import scratch_path
-from ..sources.readers import load_table, resolve_suffix
+from ..sources.readers import load_table
 from ..sources.writers import guess_save_format, save_table, with_extension
 from .registry import query, table
 
@@ -22,7 +24,14 @@ _round_trip("csv_cp949", ".csv", "csv_cp949")
 _round_trip("tsv", ".tsv")
 _round_trip("parquet", ".parquet")
 _round_trip("json", ".jsonl")
-_round_trip("probed_format", ".parquet", format="parquet")
+
+
+@query("round_trip_probed_format", _SQL)
+def _(spark, d):
+    """No suffix and no stated format: the first bytes tell."""
+    path = scratch_path(spark, "bare")
+    table(spark, d, "customer").write.parquet(path)
+    return load_table(spark, path)
 
 
 @query("load_parquet", "SELECT * FROM orders")
@@ -54,17 +63,54 @@ def _(spark, d):
     path = scratch_path(spark, "xml") + ".xml"
     n = table(spark, d, "nation").selectExpr("n_nationkey AS id", "n_name AS name")
     n.write.option("rootTag", "rows").option("rowTag", "row").xml(path)
-    return load_table(spark, path, row_tag="row").withColumn("id", F.col("id").cast("int"))
+    return load_table(spark, path).withColumn("id", F.col("id").cast("int"))
 
 
-@query("save_formats", """
-    SELECT name, suffix, kind, target, (SELECT count(*) FROM region) AS regions FROM (VALUES
-        ('a.CSV.gz', '.csv.gz', 'csv_utf8_sig', 'a.CSV.csv'), ('b.jsonl', '.jsonl', 'json', 'b.json'),
-        ('c.tsv', '.tsv', 'tsv', 'c.tsv'), ('d.parquet', '.parquet', 'parquet', 'd.parquet'),
-        ('e.txt', '.txt', 'csv_utf8_sig', 'e.csv')) v(name, suffix, kind, target)""")
+@query("save_by_name", """
+    SELECT name, r_regionkey, r_name FROM region, (VALUES ('a.csv'), ('b.jsonl'), ('c.tsv'), ('d.parquet'), ('e.txt')) v(name)""")
 def _(spark, d):
-    names = ["a.CSV.gz", "b.jsonl", "c.tsv", "d.parquet", "e.txt"]
-    rows = [F.struct(F.lit(n).alias("name"), F.lit(resolve_suffix(n)).alias("suffix"),
-                     F.lit(guess_save_format(n)).alias("kind"),
-                     F.lit(with_extension(n, guess_save_format(n))).alias("target")) for n in names]
-    return table(spark, d, "region").agg(F.count(F.lit(1)).alias("regions")).select(F.inline(F.array(*rows)), "regions")
+    """Saved in the format that the name suggests, under the name that format asks for, and loaded by that name."""
+    parts = []
+    for name in ("a.csv", "b.jsonl", "c.tsv", "d.parquet", "e.txt"):
+        kind = guess_save_format(name)
+        path = with_extension(f"{scratch_path(spark, 'named')}/{name}", kind)
+        loaded = load_table(spark, save_table(table(spark, d, "region"), path, kind))
+        parts.append(loaded.select(F.lit(name).alias("name"), F.col("r_regionkey").cast("int"), "r_name"))
+    return reduce(lambda a, b: a.unionByName(b), parts)
+
+
+@query("round_trip_csv_documents", "SELECT doc_id, text, lang FROM documents")
+def _(spark, d):
+    """Texts with line ends, quotes and separators."""
+    documents = table(spark, d, "documents").select("doc_id", "text", "lang")
+    return load_table(spark, save_table(documents, scratch_path(spark, "documents") + ".csv", "csv_utf8"))
+
+
+@query("load_json_document", "SELECT r_regionkey, r_name FROM region")
+def _(spark, d):
+    """One document over many lines in each file."""
+    path = scratch_path(spark, "document") + ".json"
+    rows = F.to_json(F.collect_list(F.struct("r_regionkey", "r_name")))
+    spread = F.replace(rows, F.lit("},"), F.lit("},\n  "))
+    table(spark, d, "region").groupBy().agg(spread.alias("value")).write.text(path)
+    return load_table(spark, path).select("r_regionkey", "r_name")
+
+
+@query("load_cp949_late", "SELECT n_nationkey, n_name FROM nation UNION ALL SELECT 99, '서울'")
+def _(spark, d):
+    """A file that is plain ASCII up to its last row."""
+    path = scratch_path(spark, "late") + ".csv"
+    names = table(spark, d, "nation").select("n_nationkey", "n_name")
+    last = spark.range(1).select(F.lit(99).alias("n_nationkey"), F.lit("서울").alias("n_name"))
+    save_table(names.union(last), path, "csv_cp949")
+    return load_table(spark, path)
+
+
+@query("load_html", "SELECT CAST(n_nationkey AS VARCHAR) AS id, n_name AS name, CAST(n_regionkey AS VARCHAR) AS \"2\" FROM nation")
+def _(spark, d):
+    """One page with a table whose header is narrower than its rows."""
+    path = scratch_path(spark, "page") + ".html"
+    row = F.format_string("<tr><td>%d<td>%s<td>%d", "n_nationkey", "n_name", "n_regionkey")
+    body = F.concat(F.lit("<table><tr><th>id<th>name"), F.array_join(F.collect_list(row), ""), F.lit("</table>"))
+    table(spark, d, "nation").groupBy().agg(body.alias("value")).write.text(path)
+    return load_table(spark, path)
