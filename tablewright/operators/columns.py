@@ -184,7 +184,3 @@ def fill_methods(df: DataFrame, column: str) -> list[str]:
     name = require_column(df, column)
     numeric = ["mean", "median", "min", "max", "knn", "mice"] if is_number(data_type(df, name)) else []
     return [*numeric, "mode", "ffill", "bfill", "constant"]
-
-
-def missing_flag(df: DataFrame, column: str) -> Column:
-    return is_missing(df, require_column(df, column))

@@ -250,8 +250,8 @@ def forest_flag(
         return df.withColumn(name, F.lit(False))
     score = temp_name(df, "score")
     scored = forest_scores(df, names, order_by if order_by is not None else df.columns, score)
-    # The search reads the scores several times; they are stored once, one number per row.
+    # Rows are scored once and stored: the search for the cut reads the scores several times, the result once more.
     ensure_checkpoint_dir(df.sparkSession)
-    stored = scored.select(score).checkpoint()
-    cut = column_quantiles(stored, [score], [1 - share])[score][0]
+    scored = scored.checkpoint()
+    cut = column_quantiles(scored.select(score), [score], [1 - share])[score][0]
     return scored.withColumn(name, F.coalesce(col(score) > F.lit(cut), F.lit(False))).drop(score)

@@ -12,12 +12,9 @@ from ..functions.missing import present
 from ..functions.naming import col, require_column
 from ..operators.ordering import order_key
 from ..operators.skew import first_per_key, fits_broadcast, join_lookup
-from .elements import MATCHING, parse_pages, text_of
+from .elements import MATCHING, VALUE_ATTRS, parse_pages, text_of
 from .css import Selector, compile_selector
 
-_KINDS = ("text", "href", "src")
-
-
 @dataclass(frozen=True)
 class Field:
     name: str
@@ -25,19 +22,29 @@ class Field:
     attr: str = "text"
 
 
-def _kind(attr: str) -> str:
-    kind = (attr or "text").strip().lower()
-    if kind not in _KINDS:
-        raise ValueError(f"unsupported attribute: {attr} (text, href or src)")
-    return kind
+# What a match can give: its text, or one of the attributes that the parser keeps.
+_GIVEN = {"text": text_of, **{
+    name: (lambda e, name=name: F.trim(F.coalesce(e["attrs"][name], F.lit("")))) for name in VALUE_ATTRS}}
+
+
+def _given(what: str | None):
+    """The expression for the stated value of a match; nothing stated means the text."""
+    stated = str(what or "").strip().lower() or "text"
+    try:
+        return stated, _GIVEN[stated]
+    except KeyError:
+        raise ValueError(f"a match has no {what!r}; choose one of {', '.join(_GIVEN)}") from None
 
 
-def _values(selector: Selector, kind: str) -> Column:
+def _values(selector: Selector, what: str | None) -> Column:
     """The page's matches in document order as an array of texts or attribute values."""
+    _, value = _given(what)
     hits = F.filter("elements", lambda e: selector.matches(e["path"]))
-    if kind == "text":
-        return F.transform(hits, text_of)
-    return F.transform(hits, lambda e: F.trim(F.coalesce(e["attrs"][kind], F.lit(""))))
+    return F.transform(hits, lambda e: value(e))
+
+
+def _column_name(column: str | None) -> str:
+    return str(column or "").strip() or "value"
 
 
 def extract_values(
@@ -45,11 +52,10 @@ def extract_values(
     column: str = "value", html: str = "html",
 ) -> DataFrame:
     """One row per match: the page's other columns, ``pos`` and the value. ``limit`` is per page."""
-    kind, compiled = _kind(attr), compile_selector(selector)
-    name = (column or "value").strip() or "value"
-    values = _values(compiled, kind)
-    if limit is not None and limit >= 0:
-        values = F.slice(values, 1, limit)
+    compiled, name = compile_selector(selector), _column_name(column)
+    values = _values(compiled, attr)
+    unlimited = limit is None or limit < 0
+    values = values if unlimited else F.slice(values, 1, limit)
     keep = [c for c in pages.columns if c != html]
     parsed = parse_pages(pages, html, attributes=compiled.attributes, parts=MATCHING)
     return parsed.select(*[col(c) for c in keep], F.posexplode(values).alias("pos", name))
@@ -57,23 +63,21 @@ def extract_values(
 
 def extract_table(pages: DataFrame, selector: str, *, column: str = "value", **options) -> DataFrame:
     """The matches alone, as a one-column table."""
-    name = (column or "value").strip() or "value"
-    return extract_values(pages, selector, column=name, **options).select(col(name))
+    return extract_values(pages, selector, column=column, **options).select(col(_column_name(column)))
 
 
 def parse_fields(text: str) -> list[Field]:
     """Field lines ``name|selector`` or ``name|selector|attr``; blank and # lines are skipped."""
-    fields = []
-    for line in (text or "").splitlines():
-        if not line.strip() or line.strip().startswith("#"):
-            continue
-        name, selector, attr = ([p.strip() for p in line.split("|")] + ["", ""])[:3]
-        if not name or not selector:
-            raise ValueError(f"not a field line: {line.strip()!r}")
-        fields.append(Field(name, selector, _kind(attr)))
-    if not fields:
+    stated = [line for line in map(str.strip, str(text or "").splitlines()) if line and line[0] != "#"]
+    if not stated:
         raise ValueError("no fields given")
-    return fields
+    return [_field(*map(str.strip, line.split("|"))) for line in stated]
+
+
+def _field(name: str = "", selector: str = "", attr: str = "", *more: str) -> Field:
+    if not (name and selector):
+        raise ValueError(f"a field needs a name and a selector, not {name!r} and {selector!r}")
+    return Field(name, selector, _given(attr)[0])
 
 
 def _field_columns(fields: Sequence[Field], join_multi: bool, separator: str) -> tuple[list[Column], list[str]]:
@@ -81,7 +85,7 @@ def _field_columns(fields: Sequence[Field], join_multi: bool, separator: str) ->
     for f in fields:
         compiled = compile_selector(f.selector)
         attributes += compiled.attributes
-        values = _values(compiled, _kind(f.attr))
+        values = _values(compiled, f.attr)
         if not join_multi:  # the first match alone counts, even when it is empty
             values = F.slice(values, 1, 1)
         filled = F.filter(values, lambda v: v != "")
@@ -101,26 +105,30 @@ def extract_fields(
 
 # ---------------------------------------------------------------- batches
 
+# Doubled braces, placeholders, single braces, and what lies between.
+_PARTS = re.compile(r"\{\{|\}\}|\{\w+\}|[{}]|[^{}]+")
+
+
 def url_from_template(template: str, params: dict[str, Column]) -> Column:
-    """Fill ``{name}`` placeholders with columns; ``{{`` and ``}}`` are literal braces."""
-    text = (template or "").strip()
+    """Fill ``{name}`` placeholders with columns; ``{{`` and ``}}`` are literal braces.
+
+    A template that opens no brace is an address as it stands.
+    """
+    def filled(part: str) -> Column:
+        if part in ("{{", "}}"):
+            return F.lit(part[0])
+        if part in ("{", "}"):
+            raise ValueError(f"a brace without its partner in the URL template {template!r}")
+        if not part.startswith("{"):
+            return F.lit(part)
+        if (name := part[1:-1]) not in params:
+            raise ValueError(f"no column for {part} in the URL template")
+        return params[name].cast("string")
+
+    text = str(template or "").strip()
     if not text:
         raise ValueError("the URL template is empty")
-    if "{" not in text:
-        return F.lit(text)
-    pieces = []
-    for literal, key, brace in re.findall(r"([^{}]+)|\{(\w+)\}|(\{\{|\}\}|[{}])", text):
-        if key:
-            if key not in params:
-                raise ValueError(f"the URL template needs a value for {{{key}}}")
-            pieces.append(params[key].cast("string"))
-        elif brace:
-            if len(brace) == 1:
-                raise ValueError(f"unbalanced brace in URL template: {template!r}")
-            pieces.append(F.lit(brace[0]))
-        else:
-            pieces.append(F.lit(literal))
-    return F.concat(*pieces)
+    return F.concat(*map(filled, _PARTS.findall(text))) if "{" in text else F.lit(text)
 
 
 def params_from_column(df: DataFrame, column: str, order_by: str | Sequence[str], name: str = "param") -> DataFrame:
