@@ -181,18 +181,20 @@ def _depth(nodes: np.ndarray, rows: np.ndarray) -> np.ndarray:
         at[inner] = nodes[at[inner], 2].astype(int) + step
 
 
-def fit_forest(df: DataFrame, columns: Sequence[str], order_by: str | Sequence[str]) -> tuple[list, int]:
-    """Trees grown as Spark tasks, each on its own subsample of at most TREE_ROWS rows.
+def fit_forest(
+    df: DataFrame, columns: Sequence[str], order_by: str | Sequence[str], *, trees: int = TREES, tree_rows: int = TREE_ROWS
+) -> tuple[list, int]:
+    """Trees grown as Spark tasks, each on its own subsample of at most ``tree_rows`` rows.
 
-    The shared pool has at most TREES x TREE_ROWS rows, chosen by a hash of the row key.
+    The shared pool has at most ``trees`` x ``tree_rows`` rows, chosen from the whole table by a hash of the row key.
     """
     keys = [order_by] if isinstance(order_by, str) else list(order_by)
     values = [known(df, c).cast("double").alias(f"x{i}") for i, c in enumerate(columns)]
     names = [f"x{i}" for i in range(len(columns))]
     ticket = F.xxhash64(F.lit(SEED), *[col(k) for k in keys])
     complete = df.select(ticket.alias("ticket"), *values).na.drop(subset=names)
-    pool = complete.orderBy("ticket", *names).limit(TREES * TREE_ROWS).select(*names).toPandas().to_numpy()
-    size = min(TREE_ROWS, len(pool))
+    pool = complete.orderBy("ticket", *names).limit(trees * tree_rows).select(*names).toPandas().to_numpy()
+    size = min(tree_rows, len(pool))
     spark = df.sparkSession
     shared = spark.sparkContext.broadcast(pool)  # bounded by the pool size
 
@@ -205,19 +207,20 @@ def fit_forest(df: DataFrame, columns: Sequence[str], order_by: str | Sequence[s
                 yield pd.DataFrame(nodes, columns=["feature", "cut", "child", "credit"]).assign(
                     tree=tree, node=range(len(nodes)))
 
-    grown = spark.range(TREES).mapInPandas(
+    grown = spark.range(trees).mapInPandas(
         grow, "feature int, cut double, child int, credit double, tree long, node int").toPandas()
-    trees = [t.sort_values("node")[["feature", "cut", "child", "credit"]].to_numpy() for _, t in grown.groupby("tree")]
-    return trees, size
+    made = [t.sort_values("node")[["feature", "cut", "child", "credit"]].to_numpy() for _, t in grown.groupby("tree")]
+    return made, size
 
 
 def forest_scores(
-    df: DataFrame, columns: Sequence[str], order_by: str | Sequence[str], name: str = "anomaly_score"
+    df: DataFrame, columns: Sequence[str], order_by: str | Sequence[str], name: str = "anomaly_score",
+    *, trees: int = TREES, tree_rows: int = TREE_ROWS,
 ) -> DataFrame:
     """Anomaly score in (0, 1], higher is more isolated; NULL for rows that lack a value."""
     names = _numeric(df, columns)
-    trees, size = fit_forest(df, names, order_by)
-    shared = df.sparkSession.sparkContext.broadcast(trees)  # TREES x 2 * TREE_ROWS nodes at most
+    forest, size = fit_forest(df, names, order_by, trees=trees, tree_rows=tree_rows)
+    shared = df.sparkSession.sparkContext.broadcast(forest)  # trees x 2 * tree_rows nodes at most
     scale = float(_path_credit(size)) or 1.0
 
     @F.pandas_udf("double")
