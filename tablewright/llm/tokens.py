@@ -31,7 +31,10 @@ _HEAD, _TAIL = "<8s32sB", "<QQ8s"
 _HEAD_BYTES, _TAIL_BYTES = struct.calcsize(_HEAD), struct.calcsize(_TAIL)
 # The dictionary is fitted on so many documents, with the first ids of each, whatever the size of the table.
 SAMPLE_DOCUMENTS, SAMPLE_IDS, DICTIONARY_BYTES = 512, 4096, 64 << 10
-_CACHED_WORDS, _BATCH_CHARS, _PART_BYTES = 400_000, 1 << 21, 12 << 20
+_CACHED_WORDS, _BATCH_CHARS, _PART_BYTES = 300_000, 1 << 21, 12 << 20
+
+
+_MARKS = ".,!?;:"
 
 
 class Encoder:
@@ -51,34 +54,52 @@ class Encoder:
         special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.whole = re.compile("|".join([r"\s\s", *map(re.escape, special)]))
         self.words: dict[str, bytes] = {}
-        # Tokens that begin with a blank, and the line end: the first ones of a word.
-        blank, line_end = self.tokenizer.encode(" a", add_special_tokens=False).tokens[0][0], self.tokenizer.token_to_id("\u010a")
-        self.begins = np.zeros(self.tokenizer.get_vocab_size(), bool)
+        self.ends: dict[str, bytes] = {}  # punctuation behind words
+        # Tokens that begin with a blank, and the line end, are the first ones of a word.
+        blank = self.tokenizer.encode(" a", add_special_tokens=False).tokens[0][0]
+        line_end = self.tokenizer.encode("\n", add_special_tokens=False).ids
+        self.blanks, self.line_ends = (np.zeros(self.tokenizer.get_vocab_size(), bool) for _ in range(2))
         for token, i in self.tokenizer.get_vocab().items():
-            self.begins[i] = token.startswith(blank) or i == line_end
+            self.blanks[i] = token.startswith(blank)
+            self.line_ends[i] = [i] == line_end
 
     def _encode(self, texts: list[str]) -> list[np.ndarray]:
         coded = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
         return [np.array(c.ids, self.dtype) for c in coded]
 
     def _encode_words(self, words: list[str]) -> dict[str, bytes]:
-        """Ids of words as they stand in a text; many are encoded as one text and told apart by their first tokens."""
-        spelled = {w: "\n" + w[2:] if w.startswith("\t\t") else w if w.startswith("\n") else " " + w for w in words}
-        alone = [w for w in words if not w or w[-1].isspace() and w != "\n"]
-        together = [w for w in words if w and (w == "\n" or not w[-1].isspace())]
-        out = {w: ids.tobytes() for w, ids in zip(alone, self._encode([spelled[w][w.startswith("\t\t"):] for w in alone]))}
-        groups = [together[i:i + 1000] for i in range(0, len(together), 1000)]
-        for group, ids in zip(groups, self._encode(["".join(map(spelled.__getitem__, g)) for g in groups])):
-            begins = np.flatnonzero(self.begins[ids])
-            if len(begins) != len(group):
-                out |= {w: x.tobytes() for w, x in zip(group, self._encode([spelled[w][w.startswith("\t\t"):] for w in group]))}
-                continue
-            data, size = ids.tobytes(), self.dtype.itemsize
-            cuts = [*(begins * size).tolist(), len(data)]
-            for w, i, j in zip(group, cuts, cuts[1:]):
-                out[w] = data[i + size if w.startswith("\t\t") else i:j]  # without the line end put before it
+        """Ids of words as they stand in a text; many are encoded as one text and told apart by their first tokens.
+
+        A word is spelled with the blank before it; one that begins with a line end or two tabs has none.
+        """
+        out, plain, lines, odd = {}, [], [], []
+        for w in words:
+            if w and not w[0].isspace() and not w[-1].isspace():
+                plain.append(w)
+            elif w[:1] == "\n" and len(w) > 1 and not w[-1].isspace():
+                lines.append(w)
+            else:
+                odd.append(w)
+        for w, ids in zip(odd, self._encode([w[2:] if w[:2] == "\t\t" else w if w[:1] == "\n" else " " + w for w in odd])):
+            out[w] = ids.tobytes()
+        out.update(self._encode_joined(plain, " ", self.blanks))
+        out.update(self._encode_joined(lines, "", self.line_ends))
         return out
 
+    def _encode_joined(self, words: list[str], before: str, begins: np.ndarray) -> Iterator[tuple[str, bytes]]:
+        """Words with ``before`` in front of them, in texts of a thousand; ``begins`` marks the tokens they start with."""
+        size = self.dtype.itemsize
+        for i in range(0, len(words), 20_000):
+            groups = [words[j:j + 1000] for j in range(i, min(i + 20_000, len(words)), 1000)]
+            for group, ids in zip(groups, self._encode([before + before.join(g) for g in groups])):
+                starts = np.flatnonzero(begins[ids])
+                if len(starts) == len(group):
+                    data, cuts = ids.tobytes(), (starts * size).tolist()
+                    cuts.append(len(data))
+                    yield from zip(group, [data[a:b] for a, b in zip(cuts, cuts[1:])])
+                else:  # a word with white space of its own
+                    yield from zip(group, [x.tobytes() for x in self._encode([before + w for w in group])])
+
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text with the end id behind them."""
         split, odd = {}, []
@@ -90,9 +111,16 @@ class Encoder:
                 split[i] = ["\t\t" + first, *rest]  # no word of these texts begins with two tabs
         if len(self.words) > _CACHED_WORDS:
             self.words.clear()
-        get = self.words.get
-        fresh = {w for parts in split.values() for w in parts if get(w) is None}
-        self.words |= self._encode_words(list(fresh))
+            self.ends.clear()
+        get, words = self.words.get, self.words
+        fresh = {w for parts in split.values() for w in parts if w not in words}
+        # Between a letter or digit and the punctuation behind it a new piece starts, so both are looked up apart.
+        cut = {w: base for w in fresh if (base := w.rstrip(_MARKS)) and len(base) < len(w) and base[-1].isalnum()}
+        needed = (fresh - cut.keys()) | {x for x in cut.values() if x not in words}
+        ends = {w[len(base):] for w, base in cut.items()} - self.ends.keys()
+        self.ends.update(zip(ends, [x.tobytes() for x in self._encode(list(ends))]))
+        words.update(self._encode_words(list(needed)))
+        words.update({w: words[base] + self.ends[w[len(base):]] for w, base in cut.items()})
         out = dict(zip(odd, (x.tobytes() for x in self._encode([texts[i] for i in odd]))))
         for i, parts in split.items():
             out[i] = b"".join(map(get, parts))
@@ -115,14 +143,16 @@ def _encoder(path: str, end_id: int | None) -> Encoder:
 
 def _encoded(batches: Iterator[pa.RecordBatch], encoder: Encoder) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
     """Slices of the batches with the ids of their column ``text``."""
-    for batch in batches:
-        texts = [t or "" for t in batch.column("text").to_pylist()]
-        begin, held = 0, 0
-        for i, text in enumerate([*texts, None]):
-            if i > begin and (text is None or held + len(text) > _BATCH_CHARS):
-                yield batch.slice(begin, i - begin), encoder.encode(texts[begin:i])
-                begin, held = i, 0
-            held += len(text or "")
+    for whole in batches:
+        for at in range(0, whole.num_rows, 500):
+            batch = whole.slice(at, 500)
+            texts = [t or "" for t in batch.column("text").to_pylist()]
+            begin, held = 0, 0
+            for i, text in enumerate([*texts, None]):
+                if i > begin and (text is None or held + len(text) > _BATCH_CHARS):
+                    yield batch.slice(begin, i - begin), encoder.encode(texts[begin:i])
+                    begin, held = i, 0
+                held += len(text or "")
 
 
 def _sampled(path: str, end_id: int | None):
