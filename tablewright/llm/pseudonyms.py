@@ -20,16 +20,36 @@ ROUNDS = 10
 # Patterns of what may be personal; the validations follow. A match of an earlier pattern goes first.
 EMAIL = r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+"
 SECRET = r"(?:token|secret|password|api_key) ?[=:] ?\"[0-9A-Za-z_-]{16,64}\""
-PHONE = r"(?<![0-9])\+[0-9]{1,3}(?: ?\([0-9]{1,4}\))?(?:[ -]?[0-9]{2,5}){2,4}(?![0-9])"
 ADDRESS = r"(?<![0-9.])[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?!\.?[0-9])"
 DAY = r"(?<![0-9-])[0-9]{4}-[0-9]{2}-[0-9]{2}(?![0-9-])"
 DAY_DOTS = r"(?<![0-9.])[0-9]{1,2}\.[0-9]{1,2}\.[0-9]{4}(?!\.?[0-9])"
 DAY_SLASHES = r"(?<![0-9/])[0-9]{1,2}/[0-9]{1,2}/[0-9]{4}(?!/?[0-9])"
 SOCIAL = r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])"
 ACCOUNT = r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[0-9]{4}){2,7}(?: ?[0-9]{1,3})?(?![A-Za-z0-9])"
-CARD = r"(?<![A-Za-z0-9])[0-9](?:[ -]?[0-9]){12,18}(?![A-Za-z0-9])"
+# A value after a blank or hyphen that is no further group of the number before it.
+_OTHER = rf"(?!{ADDRESS}|{DAY}|{DAY_DOTS}|{DAY_SLASHES}|{SOCIAL})"
+_NO_CARD = r"(?![0-9]{4}(?:(?:[ -]?[0-9]{4}){3}|[ -]?[0-9]{6}[ -]?[0-9]{4,5})(?![0-9]))"
+# Layouts of phone numbers behind the country's code, fixed ones first; numbers of no such layout are taken by groups.
+_CODE = r"(?:[17]|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|[2-9][0-9]{2})"
+_AREA = r"(?: ?\(0\))?[ -]?(?:\([0-9]{1,5}\)|[0-9]{1,5})[ -]?"
+_SHORT_AREA = r"(?: ?\(0\))?[ -]?(?:\([0-9]{1,2}\)|[0-9]{1,2})[ -]"
+_LAYOUTS = [
+    r"1[ -]?(?:\([0-9]{3}\)|[0-9]{3})[ -]?[0-9]{3}[ -]?[0-9]{4}",
+    rf"{_CODE}[0-9]{{8,12}}",
+    rf"{_CODE} ?\([0-9]{{1,4}}\)[ -]?[0-9]{{2}}(?:[ -]{_OTHER}[0-9]{{2}}){{3}}",
+    rf"{_CODE}(?: ?\(0\))?[ -]?[0-9][ -][0-9]{{2}}(?:[ -]{_OTHER}[0-9]{{2}}){{3}}",
+    rf"{_CODE}{_SHORT_AREA}(?:{_OTHER}[0-9]{{3}}[ -]{_OTHER}[0-9]{{3}}[ -]{_OTHER}[0-9]{{2}}|[0-9]{{2}}(?:[ -]{_OTHER}[0-9]{{2}}){{2}})",
+    rf"{_CODE}{_AREA}{_OTHER}(?:[0-9]{{3}}[ -][0-9]{{2}}[ -]{_OTHER}[0-9]{{2}}|[0-9]{{3,5}}[ -]{_OTHER}[0-9]{{4}}|[0-9]{{3}}[ -]{_OTHER}[0-9]{{3}}|[0-9]{{5}}[ -]{_OTHER}[0-9]{{5}}|[0-9]{{6,8}})",
+    r"[0-9]{1,3}(?: ?\([0-9]{1,4}\))?(?:[ -]?" + _NO_CARD + _OTHER + r"[0-9]{2,5}){2,4}",
+]
+PHONE = rf"(?<![0-9])\+(?:{'|'.join(f'{x}(?![0-9])' for x in _LAYOUTS)})"
+# A run of numbers with at least as many digits as a card has; which of them are cards is found out in the run.
+CARD = rf"(?<![A-Za-z0-9])(?=[0-9](?:[ -]?[0-9]){{12}})[0-9]++(?![A-Za-z])(?:[ -]{_OTHER}[0-9]++(?![A-Za-z]))*+"
 _ALL = "|".join([EMAIL, SECRET, PHONE, ADDRESS, DAY, DAY_DOTS, DAY_SLASHES, SOCIAL, ACCOUNT, CARD])
 
+# A match of CARD: it is of numbers alone and no date or social security number.
+_RUN = rf"^(?!(?:{DAY}|{SOCIAL})$)[0-9]+(?:[ -][0-9]+)*+$"
+
 # Days are permuted among the 400 years from here on, which are 189 * 773 days.
 _FIRST_DAY, _DAYS = "1800-01-01", (189, 773)
 
@@ -95,11 +115,57 @@ def check_digit(payload: Column) -> Column:
 
 
 def _card(match: Column, key: str) -> Column:
-    def checked(digits: Column) -> Column:
-        payload = F.substring(digits, F.lit(1), F.length(digits) - 1)
-        fresh = permuted_digits(payload, "card", key)
-        return F.when(check_digit(payload) == F.right(digits, F.lit(1)), let(fresh, lambda p: _in_place(match, F.concat(p, check_digit(p)))))
-    return let(_digits(match), checked)
+    """A valid card number by its payload."""
+    def replaced(digits: Column) -> Column:
+        fresh = permuted_digits(F.substring(digits, F.lit(1), F.length(digits) - 1), "card", key)
+        return let(fresh, lambda p: _in_place(match, F.concat(p, check_digit(p))))
+    return let(_digits(match), replaced)
+
+
+_PARTS = "array<struct<m:string,p:string>>"
+
+
+def _parts(match: Column, new: Column) -> Column:
+    return F.array(F.struct(match.alias("m"), new.alias("p"))).cast(_PARTS)
+
+
+def _cards(run: Column, key: str) -> Column:
+    """A run of numbers as parts: from the left, the longest valid card number that begins with each number.
+
+    A card takes whole numbers of the run, and the search goes on behind it.
+    """
+    def joined(groups: Column, begin: Column, n: Column) -> Column:
+        return F.array_join(F.slice(groups, begin, n), "")
+
+    def cut(groups: Column) -> Column:
+        size = F.size(groups)
+
+        def valid(i: Column, n: Column) -> Column:
+            return let(_digits(joined(groups, i, n)), lambda d: F.length(d).between(13, 19) & F.call_function("luhn_check", d))
+
+        def longest(i: Column) -> Column:
+            n = F.filter(F.sequence(F.least(F.lit(19), size - i + 1), F.lit(1), F.lit(-1)), lambda n: valid(i, n))
+            return F.struct(i.alias("i"), F.get(n, F.lit(0)).alias("n"))
+
+        def take(acc: Column, x: Column) -> Column:
+            taken = F.struct(acc["next"].alias("begin"), x["i"].alias("i"), x["n"].alias("n"))
+            free = x["i"] >= acc["next"]
+            return F.struct(F.when(free, x["i"] + x["n"]).otherwise(acc["next"]).alias("next"),
+                            F.when(free, F.concat(acc["out"], F.array(taken))).otherwise(acc["out"]).alias("out"))
+
+        def shown(x: Column) -> Column:
+            card = joined(groups, x["i"], x["n"])
+            blank = F.regexp_extract(card, "^[ -]?", 0)
+            number = F.regexp_replace(card, "^[ -]", "")
+            before = F.concat(joined(groups, x["begin"], x["i"] - x["begin"]), blank)
+            return F.concat(_parts(before, F.lit(None)), let(number, lambda c: _parts(c, _card(c, key))))
+
+        starts = F.filter(F.transform(F.sequence(F.lit(1), size), longest), lambda x: x["n"].isNotNull())
+        none = F.struct(F.lit(1).alias("next"), F.array().cast("array<struct<begin:int,i:int,n:int>>").alias("out"))
+        return let(F.aggregate(starts, none, take), lambda t: F.concat(
+            F.flatten(F.transform(t["out"], shown)), _parts(joined(groups, t["next"], size), F.lit(None))))
+
+    return let(F.regexp_extract_all(run, F.lit("[ -]?[0-9]+"), 0), cut)
 
 
 def _mod_97(number: Column) -> Column:
@@ -120,9 +186,8 @@ def _account(match: Column, key: str) -> Column:
 
 
 def _phone(match: Column, key: str) -> Column:
-    """The country code stays."""
-    code = F.regexp_extract(match, r"^\+[0-9]+", 0)
-    code = F.when(match.rlike(r"^\+[0-9]+$"), F.substring(match, 1, 2)).otherwise(code)
+    """The country code stays, whatever separates it from the rest."""
+    code = F.regexp_extract(match, rf"^\+(?:{_CODE}|0[0-9]{{0,2}})", 0)
     rest = F.substring(match, F.length(code) + 1, F.length(match))
     digits = _digits(rest)
     return F.when(F.length(_digits(match)).between(7, 15) & (F.length(digits) >= 4),
@@ -160,7 +225,7 @@ def _digest_text(value: Column, n: Column, key: str, kind: str) -> Column:
 
 
 def pseudonym(match: Column, key: str) -> Column:
-    """What a match becomes, NULL where it is not valid."""
+    """What a match other than a run of numbers becomes, NULL where it is not valid."""
     name, domain = F.substring_index(match, "@", 1), F.substring_index(match, "@", -1)
     quoted = F.regexp_extract(match, "\"(.*)\"", 1)
     def is_(pattern: str) -> Column:
@@ -173,8 +238,12 @@ def pseudonym(match: Column, key: str) -> Column:
             .when(match.contains("."), _day(match, ("dd.MM.yyyy", "d.M.yyyy"), key))
             .when(match.contains("/"), F.coalesce(_day(match, ("MM/dd/yyyy", "M/d/yyyy"), key), _day(match, ("dd/MM/yyyy", "d/M/yyyy"), key)))
             .when(is_(r"[0-9]{3}-[0-9]{2}-[0-9]{4}"), _social(match, key))
-            .when(match.rlike("^[A-Z]"), _account(match, key))
-            .otherwise(_card(match, key)))
+            .when(match.rlike("^[A-Z]"), _account(match, key)))
+
+
+def replacements(match: Column, key: str) -> Column:
+    """A match as parts ``m`` in order, each with what it becomes in ``p``, NULL where it stays."""
+    return F.when(match.rlike(_RUN), _cards(match, key)).otherwise(_parts(match, pseudonym(match, key)))
 
 
 def pseudonymise(df: DataFrame, key: str, text: str = "text", found: str = "n_private") -> DataFrame:
@@ -187,9 +256,10 @@ def pseudonymise(df: DataFrame, key: str, text: str = "text", found: str = "n_pr
     likely = body.rlike("[0-9@]")
     matches = F.when(likely, F.regexp_extract_all(body, F.lit(_ALL), 0)).otherwise(F.array().cast("array<string>"))
     df = df.withColumn("__found", matches)
-    df = df.withColumn("__new", F.transform("__found", lambda m: pseudonym(m, key)))
+    df = df.withColumn("__new", F.transform("__found", lambda m: replacements(m, key)))
     pieces = F.split(body, _ALL, -1)
-    shown = F.zip_with("__found", "__new", lambda m, p: F.coalesce(p, m))
+    shown = F.transform("__new", lambda parts: F.array_join(F.transform(parts, lambda x: F.coalesce(x["p"], x["m"])), ""))
     rebuilt = F.array_join(F.flatten(F.zip_with(pieces, shown, lambda p, m: F.array(p, F.coalesce(m, F.lit(""))))), "")
-    counted = F.size(F.array_compact("__new")).cast("long")
-    return df.withColumns({text: F.when(F.size("__found") > 0, rebuilt).otherwise(body), found: F.coalesce(counted, F.lit(0))}).drop("__found", "__new")
+    counted = F.size(F.filter(F.flatten("__new"), lambda x: x["p"].isNotNull())).cast("long")
+    counted = F.when(F.size("__found") > 0, counted).otherwise(0)
+    return df.withColumns({text: F.when(F.size("__found") > 0, rebuilt).otherwise(body), found: F.coalesce(counted, F.lit(0)).cast("long")}).drop("__found", "__new")

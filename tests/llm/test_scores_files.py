@@ -92,6 +92,21 @@ def test_pseudonyms_leave_the_rest(spark):
     assert pseudonyms.pseudonymise(spark.createDataFrame([], "text string"), "key").count() == 0
 
 
+def test_pseudonyms_beside_other_numbers(spark):
+    """A value has the pseudonym that it has alone, whatever number stands beside it."""
+    card, other, address, phone, day = "4111111111111111", "5500 0000 0000 0004", "190.137.223.204", "+1 (826) 555-4081", "2001-02-28"
+    more = ["+44 20 7946 0958", "+33 1 23 45 67 89", "+4930123456", "+420 123 456 789", "+34 91 234 56 78", "+49 (30) 12 34 56 78"]
+    values = [card, other, address, phone, day, "28.2.2001", *more]
+    alone = dict(zip(values, _masked(spark, *values)))
+    assert all(n == 1 and masked != v and (v[0] != "+" or v[-2:] not in masked[-2:] or masked[:-2] != v[:-2]) for v, (masked, n) in alone.items())
+    beside = [[a, b] for a in values for b in values] + [[a, "12"] for a in values] + [["12", card], ["7", other, "8", card, "9"], [card, "12ab"]]
+    got = _masked(spark, *[" ".join(x) for x in beside])
+    for x, (masked, n) in zip(beside, got):
+        assert (masked, n) == (" ".join(alone[v][0] if v in alone else v for v in x), sum(v in alone for v in x)), x
+    run = "12 " * 20_000
+    assert _masked(spark, run + card)[0][0].count(" ") == 20_000
+
+
 def test_feistel_is_a_permutation(spark):
     digits = spark.range(10_000).select(F.lpad(F.col("id").cast("string"), 4, "0").alias("d"))
     there = digits.withColumn("p", pseudonyms.permuted_digits(F.col("d"), "t", "key"))
