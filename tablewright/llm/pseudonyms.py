@@ -253,7 +253,7 @@ def pseudonymise(df: DataFrame, key: str, text: str = "text", found: str = "n_pr
     reserved. The key decides the pseudonyms: the same key links documents of different runs.
     """
     body = F.col(text)
-    likely = body.rlike("[0-9@]")
+    likely = body.rlike("[0-9@\"]")  # one of these is in every match
     matches = F.when(likely, F.regexp_extract_all(body, F.lit(_ALL), 0)).otherwise(F.array().cast("array<string>"))
     df = df.withColumn("__found", matches)
     df = df.withColumn("__new", F.transform("__found", lambda m: replacements(m, key)))

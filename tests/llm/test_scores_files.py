@@ -107,6 +107,12 @@ def test_pseudonyms_beside_other_numbers(spark):
     assert _masked(spark, run + card)[0][0].count(" ") == 20_000
 
 
+def test_pseudonyms_of_secrets_without_digits(spark):
+    secret = 'password = "correct-horse-battery"'
+    (alone, n), (beside, m) = _masked(spark, secret, secret + " 7")
+    assert n == m == 1 and "horse" not in alone and beside == alone + " 7"
+
+
 def test_feistel_is_a_permutation(spark):
     digits = spark.range(10_000).select(F.lpad(F.col("id").cast("string"), 4, "0").alias("d"))
     there = digits.withColumn("p", pseudonyms.permuted_digits(F.col("d"), "t", "key"))
