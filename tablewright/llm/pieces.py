@@ -1,7 +1,8 @@
 """SentencePiece encoding and decoding: the best path through the lattice of pieces, by a parallel max-plus scan.
 
-A text is encoded as the sequence of vocabulary pieces with the greatest sum of scores. No piece has a word mark inside,
-so words are independent and repeated words are looked up. Giant documents are cut into chunks of fixed length, at any
+A text is encoded as the sequence of vocabulary pieces with the greatest sum of scores. Pieces hold word
+marks only at their start or are runs of marks, so units, each a run of marks and the word behind it, are independent and
+repeated ones are looked up. Giant documents are cut into chunks of fixed length, at any
 character: a chunk gives the matrix of best scores from each entry state (how many of its first characters an earlier
 piece covers) to each exit state (how far its last piece reaches beyond it). Max-plus products of these matrices are
 associative, so blocks of chunks are multiplied in parallel, then the blocks of a document; that fixes the state at
@@ -15,6 +16,7 @@ from __future__ import annotations
 
 import math
 import os
+import re
 import struct
 from array import array
 from collections.abc import Iterator
@@ -34,6 +36,10 @@ _LITERAL = "\udc81"
 _SCALE, _NONE = 1 << 12, -(1 << 60)
 _UNKNOWN_PENALTY = 10  # below the lowest score, for a character outside the vocabulary
 _LONG_WORD = 200
+# A unit: a run of marks and what follows up to the next mark; a text that begins inside a unit has its rest first.
+_UNIT = re.compile(f"{MARK}+[^{MARK}]*|[^{MARK}]+")
+# The start of a unit behind another character.
+_START = re.compile(f"[^{MARK}]{MARK}")
 CHUNK_CHARS = 1 << 14
 _BLOCK_CHUNKS = 256
 _CACHED_WORDS = 200_000
@@ -62,7 +68,8 @@ class Pieces:
 
         p = sentencepiece.SentencePieceProcessor(model_proto=model)
         plain = [i for i in range(p.get_piece_size()) if not (p.is_control(i) or p.is_unknown(i) or p.is_byte(i) or p.is_unused(i))]
-        plain = [i for i in plain if MARK not in p.id_to_piece(i)[1:]]
+        if any(MARK in p.id_to_piece(i).lstrip(MARK) for i in plain):
+            raise ValueError("the model has pieces with a word mark behind another character, so units are not independent")
         given = [p.get_score(i) for i in plain]
         ranks = sorted(given, reverse=True)
         merges = all(s == int(s) for s in given) and ranks[-1] < -1000
@@ -118,13 +125,13 @@ class Pieces:
         return self.marked_all([s])[0]
 
     def marked_all(self, texts: list[str]) -> list[bytes]:
-        """Ids of texts that begin with a word mark, word by word; words seen before are looked up."""
+        """Ids of texts that begin with a word mark, unit by unit; units seen before are looked up."""
         if len(self.words) > _CACHED_WORDS:
             self.words.clear()
-        get, split = self.words.get, [t.split(MARK)[1:] for t in texts]
+        get, split = self.words.get, [_UNIT.findall(t) for t in texts]
         fresh = {w for words in split for w in words if get(w) is None}
-        # Where no piece holds a line end, the lines of a word are independent as well.
-        parts = {w: (MARK + w).split("\n") if self.lines_apart else [MARK + w] for w in fresh}
+        # Where no piece holds a line end, the lines of a unit are independent as well.
+        parts = {w: w.split("\n") if self.lines_apart else [w] for w in fresh}
         ids = self._searched({x for p in parts.values() for x in p})
         end = array("i", [self.bytes_[10]]).tobytes()
         for w, p in parts.items():
@@ -155,9 +162,14 @@ class Pieces:
         return total
 
     def _cuts(self, s: str, n: int) -> tuple[int, int]:
-        """First and last word mark that no entering and no leaving piece crosses, or -1."""
-        first = s.find(MARK, self.longest - 1, n)
-        return first, s.rfind(MARK, first, n) if first >= 0 else -1
+        """Starts of the first and the last unit that no entering and no leaving piece crosses, or -1."""
+        if (begun := _START.search(s, self.longest - 1, n)) is None:
+            return -1, -1
+        first = begun.end() - 1
+        last = s.rfind(MARK, first, n)
+        while s[last - 1] == MARK:
+            last -= 1
+        return first, last
 
     def _exits(self, s: str, begin: int, n: int) -> np.ndarray:
         best, _ = self.forward(s, begin, n)
@@ -169,7 +181,7 @@ class Pieces:
     def matrix(self, s: str, n: int) -> np.ndarray:
         """Best scores of a chunk of n symbols from each entry to each exit state.
 
-        The words between the first and the last mark add the same to all of them and are left out.
+        The units between the two cuts add the same to all of them and are left out.
         """
         first, last = self._cuts(s, n)
         out = np.full((self.longest, self.longest), _NONE, np.int64)

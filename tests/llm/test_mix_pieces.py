@@ -93,6 +93,43 @@ def test_search_is_best(loaded):
         assert p.score(_whole(p, text)) == best(pieces.MARK + pieces.symbols(text))
 
 
+def _best_of_model(model: bytes):
+    """The best score of a text over all pieces that the model file itself lists."""
+    import sentencepiece
+
+    lib = sentencepiece.SentencePieceProcessor(model_proto=model)
+    every = [i for i in range(lib.get_piece_size()) if not (lib.is_control(i) or lib.is_unknown(i) or lib.is_byte(i) or lib.is_unused(i))]
+    costs = {lib.id_to_piece(i): round(-np.log(1 - lib.get_score(i)) * pieces._SCALE) for i in every}
+    assert sum(pieces.MARK in x[1:] for x in costs) == 14
+    longest, unknown = max(map(len, costs)), min(costs.values()) - pieces._UNKNOWN_PENALTY * pieces._SCALE
+
+    def best(text: str) -> int:
+        s = pieces.MARK + pieces.symbols(text)
+        sums = [0]
+        for stop in range(1, len(s) + 1):
+            options = [sums[at] + costs[s[at:stop]] for at in range(max(0, stop - longest), stop) if s[at:stop] in costs]
+            sums.append(max([*options, *([] if s[stop - 1] in costs else [sums[stop - 1] + unknown])]))
+        return sums[-1]
+    return best
+
+
+@pytest.mark.parametrize("size", [32, 50])
+def test_runs_of_blanks(model, loaded, size):
+    """Against the model's whole vocabulary: alone, by units, and by chunks that cut the runs anywhere."""
+    p, best, rng = loaded, _best_of_model(model), random.Random(size)
+    texts = ["a  b", "    if x:\n        return  y", "  ", " " * 17, " " * 400, "x" + " " * 70 + "y ", "▁  ▁", "end   ", "a\n\n    b"]
+    texts += ["".join(rng.choice(["ab", "the", "\n", " ", "  ", " " * 5, " " * 16, "▁", "漢"]) for _ in range(rng.randint(5, 80))) for _ in range(60)]
+    for text in texts:
+        marked = p.marked(pieces.MARK + pieces.symbols(text))
+        chunks = [pieces._chunk_symbols(k, min(size, len(text) - a), text[a:a + size + p.longest - 1])
+                  for k, a in enumerate(range(0, len(text), size))]
+        states = pieces.boundary_states([p.matrix(*c) for c in chunks], 0, 0)
+        scanned = b"".join(p.trace(*c, i, j) for c, i, j in zip(chunks, states, states[1:]))
+        assert p.score(marked) == p.score(scanned) == p.score(_whole(p, text)) == best(text), text
+        assert p.decode(np.frombuffer(marked, "<i4").tolist()) == p.decode(np.frombuffer(scanned, "<i4").tolist()) == text
+    assert len(p.marked(pieces.MARK + pieces.symbols("a" + " " * 16 + "b"))) < 4 * 6
+
+
 def test_encode_and_decode_tables(spark, model, loaded, monkeypatch):
     monkeypatch.setattr(pieces, "_BLOCK_CHUNKS", 3)
     rng = random.Random(7)
