@@ -16,16 +16,26 @@ from pyspark.sql import Column, DataFrame, functions as F
 from .shared import let
 
 ROUNDS = 10
+_LETTERS, _BASE_26 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789ABCDEFGHIJKLMNOP"
 
 # Patterns of what may be personal; the validations follow. A match of an earlier pattern goes first.
 EMAIL = r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+"
-SECRET = r"(?:token|secret|password|api_key) ?[=:] ?\"[0-9A-Za-z_-]{16,64}\""
+SECRET = r"(?:token|secret|password|api_key) ?[=:] ?\"[0-9A-Za-z_-]{16,}+\""
 ADDRESS = r"(?<![0-9.])[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?!\.?[0-9])"
 DAY = r"(?<![0-9-])[0-9]{4}-[0-9]{2}-[0-9]{2}(?![0-9-])"
 DAY_DOTS = r"(?<![0-9.])[0-9]{1,2}\.[0-9]{1,2}\.[0-9]{4}(?!\.?[0-9])"
 DAY_SLASHES = r"(?<![0-9/])[0-9]{1,2}/[0-9]{1,2}/[0-9]{4}(?!/?[0-9])"
 SOCIAL = r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])"
-ACCOUNT = r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[0-9]{4}){2,7}(?: ?[0-9]{1,3})?(?![A-Za-z0-9])"
+# Lengths of account numbers by country; where none is listed, bodies of digits in groups of four are taken.
+_ACCOUNT_LENGTHS = {
+    15: "NO", 16: "BE", 18: "DK FI FK FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH HR LI LV",
+    22: "BG BH CR DE GB GE IE ME RS VA", 23: "AE GI IL IQ OM SO TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "LY PT ST",
+    26: "IS TR", 27: "BI DJ FR GR IT MC MR SM", 28: "AL AZ BY CY DO GT HN HU LB NI PL SV", 29: "BR EG PS QA UA", 30: "JO KW MU YE",
+    31: "MT SC", 32: "LC", 33: "RU"}
+_LISTED = "|".join(" ".join(_ACCOUNT_LENGTHS.values()).split())
+ACCOUNT = (r"(?<![A-Za-z0-9])(?:" + "|".join(
+    rf"(?:{c.replace(' ', '|')})[0-9]{{2}}(?: ?[0-9A-Z]){{{n - 4}}}(?![A-Za-z0-9])" for n, c in _ACCOUNT_LENGTHS.items())
+    + rf"|(?!{_LISTED})[A-Z]{{2}}[0-9]{{2}}(?: ?[0-9]{{4}}){{2,7}}(?: ?[0-9]{{1,3}})?(?![A-Za-z0-9]))")
 # A value after a blank or hyphen that is no further group of the number before it.
 _OTHER = rf"(?!{ADDRESS}|{DAY}|{DAY_DOTS}|{DAY_SLASHES}|{SOCIAL})"
 _NO_CARD = r"(?![0-9]{4}(?:(?:[ -]?[0-9]{4}){3}|[ -]?[0-9]{6}[ -]?[0-9]{4,5})(?![0-9]))"
@@ -94,10 +104,10 @@ def _digits(text: Column) -> Column:
     return F.regexp_replace(text, "[^0-9]", "")
 
 
-def _in_place(template: Column, digits: Column) -> Column:
-    """The template with its digits replaced in order."""
+def _in_place(template: Column, digits: Column, letters: bool = False) -> Column:
+    """The template with its digits, or digits and capital letters, replaced in order."""
     def step(acc: Column, c: Column) -> Column:
-        is_digit = c.between("0", "9")
+        is_digit = c.between("0", "9") | c.between("A", "Z") if letters else c.between("0", "9")
         return F.struct(
             F.concat(acc["s"], F.when(is_digit, F.substring(digits, acc["i"], F.lit(1))).otherwise(c)).alias("s"),
             F.when(is_digit, acc["i"] + 1).otherwise(acc["i"]).alias("i"))
@@ -169,19 +179,62 @@ def _cards(run: Column, key: str) -> Column:
 
 
 def _mod_97(number: Column) -> Column:
-    return F.aggregate(_characters(number), F.lit(0), lambda acc, c: (acc * 10 + c.cast("int")) % 97)
+    """Letters count as two digits, from A = 10 on."""
+    return F.aggregate(_characters(number), F.lit(0), lambda acc, c: F.when(
+        c.between("0", "9"), acc * 10 + c.cast("int")).otherwise(acc * 100 + F.ascii(c) - 55) % 97)
+
+
+def permuted_letters(letters: Column, tweak: Column, key: str) -> Column:
+    """A string of capital letters permuted among those of its length, in blocks of 26."""
+    def number(part: Column) -> Column:
+        return F.coalesce(F.conv(F.translate(part, _LETTERS, _BASE_26), 26, 10).cast("long"), F.lit(0))
+
+    def text(value: Column, n: Column) -> Column:
+        return F.translate(F.lpad(F.conv(value.cast("string"), 10, 26), n, F.lit("0")), _BASE_26, _LETTERS)
+
+    def block(i: Column) -> Column:
+        def moved(part: Column) -> Column:
+            n, half = F.length(part), F.floor(F.length(part) / 2).cast("int")
+            power = [F.pow(F.lit(26), x).cast("long") for x in (half, n - half)]
+            pair = feistel(number(F.substring(part, F.lit(1), half)), number(F.substring(part, half + 1, n - half)),
+                           *power, F.concat_ws(":", tweak, n.cast("string"), i.cast("string")), key)
+            return let(pair, lambda p: F.concat(text(p["l"], half), text(p["r"], n - half)))
+        return let(F.substring(letters, 26 * i + 1, F.lit(26)), moved)
+
+    blocks = F.transform(F.sequence(F.lit(0), F.floor((F.length(letters) - 1) / 26).cast("int")), block)
+    return F.when(F.length(letters) > 0, F.array_join(blocks, "")).otherwise("")
+
+
+def _fresh_body(body: Column, key: str) -> Column:
+    """Digits become digits and letters letters, each at its place."""
+    letters, digits = F.regexp_replace(body, "[^A-Z]", ""), _digits(body)
+
+    def placed(fresh: Column) -> Column:
+        def step(acc: Column, c: Column) -> Column:
+            is_digit = c.between("0", "9")
+            return F.struct(F.concat(acc["s"], F.when(is_digit, F.substring(fresh["d"], acc["i"], F.lit(1))).otherwise(
+                                F.substring(fresh["a"], acc["k"], F.lit(1)))).alias("s"),
+                            F.when(is_digit, acc["i"] + 1).otherwise(acc["i"]).alias("i"),
+                            F.when(is_digit, acc["k"]).otherwise(acc["k"] + 1).alias("k"))
+        start = F.struct(F.lit("").alias("s"), F.lit(1).alias("i"), F.lit(1).alias("k"))
+        return F.aggregate(_characters(body), start, step)["s"]
+
+    alone = ((F.coalesce(digits.try_cast("long"), F.lit(0)) + _digest_number(key, F.lit("account:1"))) % 10).cast("string")
+    few = F.when(F.length(digits) == 1, alone).otherwise(digits)
+    new = F.struct(F.when(F.length(digits) > 1, permuted_digits(digits, "account", key)).otherwise(few).alias("d"),
+                   permuted_letters(letters, F.concat(F.lit("account:"), digits), key).alias("a"))
+    return F.when(letters == "", permuted_digits(body, "account", key)).otherwise(let(new, placed))
 
 
 def _account(match: Column, key: str) -> Column:
-    """Country, check digits, then digits; the check digits make the whole 1 modulo 97."""
+    """Country, check digits, then digits and letters; the check digits make the whole 1 modulo 97."""
     def checked(plain: Column) -> Column:
-        country = F.concat(*[(F.ascii(F.substring(plain, i, 1)) - 55).cast("string") for i in (1, 2)])
-        body = F.substring(plain, F.lit(5), F.length(plain) - 4)
+        country, body = F.substring(plain, 1, 2), F.substring(plain, F.lit(5), F.length(plain) - 4)
         valid = _mod_97(F.concat(body, country, F.substring(plain, 3, 2))) == 1
         def rebuilt(fresh: Column) -> Column:
             check = F.lpad((98 - _mod_97(F.concat(fresh, country, F.lit("00")))).cast("string"), 2, "0")
-            return F.concat(F.substring(match, 1, 2), _in_place(F.substring(match, F.lit(3), F.length(match)), F.concat(check, fresh)))
-        return F.when(valid, let(permuted_digits(body, "account", key), rebuilt))
+            return F.concat(country, _in_place(F.substring(match, F.lit(3), F.length(match)), F.concat(check, fresh), letters=True))
+        return F.when(valid, let(_fresh_body(body, key), rebuilt))
     return let(F.regexp_replace(match, " ", ""), checked)
 
 
@@ -220,8 +273,10 @@ def _day(match: Column, patterns: tuple[str, str], key: str) -> Column:
 
 
 def _digest_text(value: Column, n: Column, key: str, kind: str) -> Column:
-    """Letters and digits of a keyed digest, as many as asked for, at most 64."""
-    return F.substring(F.sha2(F.concat(F.lit(f"{key}|{kind}|"), value), 256), F.lit(1), n)
+    """Letters and digits of keyed digests, as many as asked for: one for each 64."""
+    def block(i: Column) -> Column:
+        return F.sha2(F.concat(F.lit(f"{key}|{kind}|"), F.when(i > 0, F.concat(i.cast("string"), F.lit("|"))).otherwise(""), value), 256)
+    return F.substring(F.array_join(F.transform(F.sequence(F.lit(0), F.floor(n / 64).cast("int")), block), ""), F.lit(1), n)
 
 
 def pseudonym(match: Column, key: str) -> Column:

@@ -113,6 +113,27 @@ def test_pseudonyms_of_secrets_without_digits(spark):
     assert n == m == 1 and "horse" not in alone and beside == alone + " 7"
 
 
+def _mod_97(account: str) -> int:
+    plain = account.replace(" ", "")
+    return int("".join(str(int(c, 36)) for c in plain[4:] + plain[:4])) % 97
+
+
+def test_pseudonyms_of_accounts_with_letters_and_long_secrets(spark):
+    spaced = ["GB82 WEST 1234 5698 7654 32", "NL91 ABNA 0417 1643 00", "FR14 2004 1010 0505 0001 3M02 606", "MT84 MALT 0110 0001 2345 MTLC AST0 01S",
+              "AT61 1904 3002 3457 3201", "DE89 3704 0044 0532 0130 00"]
+    got = _masked(spark, *spaced, *[x.replace(" ", "") for x in spaced], "GB82 WEST 1234 5698 7654 33", spaced[4] + " 4111111111111111")
+    for x, (a, n), (b, m) in zip(spaced, got, got[len(spaced):]):
+        assert n == m == 1 and a != x and a.replace(" ", "") == b and _mod_97(a) == 1 and a[:2] == x[:2]
+        assert [(c.isdigit(), c.isupper()) for c in a] == [(c.isdigit(), c.isupper()) for c in x]
+    assert got[-2] == ("GB82 WEST 1234 5698 7654 33", 0) and got[-1][1] == 2
+    secrets = ["a" * n for n in (64, 65, 128, 500)] + ["a" * 499 + "b"]
+    masked = [t for t, n in _masked(spark, *[f'token = "{x}"' for x in secrets]) if n == 1]
+    assert [len(t) for t in masked] == [len(x) + 10 for x in secrets] and not any("aaaa" in t for t in masked)
+    assert masked[3] != masked[4]
+    short = spark.createDataFrame([(a + b,) for a in pseudonyms._LETTERS for b in pseudonyms._LETTERS], "a string")
+    assert short.select(pseudonyms.permuted_letters(F.col("a"), F.lit("t"), "key")).distinct().count() == 676
+
+
 def test_feistel_is_a_permutation(spark):
     digits = spark.range(10_000).select(F.lpad(F.col("id").cast("string"), 4, "0").alias("d"))
     there = digits.withColumn("p", pseudonyms.permuted_digits(F.col("d"), "t", "key"))
