@@ -6,8 +6,9 @@ import public_tokenizers
 from pyspark.sql import functions as F
 
 from ..session import scratch_path
-from . import jaccard, lines, mixing, neardup, pieces, pseudonyms, quality, tokens, toxicity, warc
-from .shared import table
+from . import (jaccard, licenses, lines, mixing, neardup, periods, pieces, pseudonyms, quality, tokens, toxicity, warc,
+               whitening)
+from .shared import let, table, words
 
 QUERIES, ORACLE = {}, {}
 
@@ -189,4 +190,53 @@ def op5(spark, d):
     return pseudonyms.pseudonymise(table(spark, d, "documents").select("doc_id", "text"), key="example key")
 
 
+@query("op11_periodic_runs")
+def op11(spark, d):
+    """Runs of all documents; the end of every tenth is first made periodic."""
+    h = F.crc32(F.col("doc_id").cast("string"))
+    g = F.floor(h / 10)
+
+    def periodic(w):
+        n = F.size(w)
+        a = F.pmod(g, n)
+        p = 1 + F.floor((n - a) / (3 + F.pmod(g, F.lit(8))))
+        at = F.transform(F.sequence(F.lit(0).cast("long"), n.cast("long") - 1), lambda i: F.when(i < a, i).otherwise(a + (i - a) % p))
+        return F.array_join(F.transform(at, lambda i: F.get(w, i.cast("int"))), " ")
+
+    text = F.when(h % 10 == 0, let(words(F.col("text")), lambda w: F.when(F.size(w) > 0, periodic(w)))).otherwise(F.col("text"))
+    found = periods.find_runs(table(spark, d, "documents").select("doc_id", text.alias("text")))
+    line = F.transform("runs", lambda r: F.concat(F.concat_ws(",", r["start"], r["length"], r["period"]), F.lit("\n")))
+    best = found.withColumn("best", periods.greatest("runs"))
+    return best.select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), "best.start", "best.length", "best.period",
+        F.floor(1000 * F.col("best.length") / F.col("best.period")).alias("exponent_milli"),
+        F.sha2(F.array_join(line, ""), 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"))
+
+
+@query("op12_license_scan")
+def op12(spark, d):
+    """License phrases and texts of all documents."""
+    found = licenses.scan(table(spark, d, "documents").select("doc_id", "text"))
+    base = F.filter("spans", lambda s: s["template"] < len(licenses.PHRASES))
+
+    def labels(spans):
+        return F.array_join(F.array_sort(F.array_distinct(F.transform(spans, lambda s: s["label"]))), ",")
+
+    return found.withColumn("base", base).select(
+        "doc_id", "n_words", F.size("base").cast("long").alias("n_base"),
+        F.array_min("base.first_word").alias("first_word"), F.array_max("base.first_word").alias("last_word"),
+        labels(F.col("base")).alias("base_labels"), labels(F.filter("spans", lambda s: s["accepted"])).alias("labels"),
+        F.coalesce(F.array_max("spans.share"), F.lit(0.0)).alias("score"))
+
+
+@query("op13_embedding_whitening")
+def op13(spark, d):
+    """Every usable vector on the first 16 components."""
+    found = whitening.whiten(table(spark, d, "embeddings").select("vec_id", "embedding"))
+    each = found.select("vec_id", "n", "deviation", "identity_error",
+                        F.posexplode(F.arrays_zip("whitened", "explained")).alias("i", "part"))
+    return each.select("vec_id", (F.col("i") + 1).alias("component"), "n", "deviation", "part.whitened", "part.explained",
+                       "identity_error")
+
+
 query("pipeline", corpus_pipeline.ORACLE_SQL)(corpus_pipeline.run)
