@@ -1,21 +1,18 @@
-"""Stored pages as rows with their elements, ready for column expressions.
-
-The only Python step reads markup into flat arrays. Selecting, extracting and grouping are Spark
-expressions on those arrays, inside the page's row, so nothing is shuffled or joined.
-"""
+"""Stored pages, read once: what an operator wants of a page is made where it is parsed, so markup goes no further."""
 from __future__ import annotations
 
 from collections import Counter
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
+from dataclasses import dataclass, field
 from html.parser import HTMLParser
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, functions as F, types as T
+from pyspark.sql import DataFrame, functions as F, types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from ..functions.naming import col
-from ..operators.skew import plan_bytes
+from . import css
 
 # Elements without an end tag.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -33,61 +30,74 @@ _INLINE = frozenset("b i em strong span a u small font big code".split())
 # Elements whose text is not part of the page's text.
 SILENT = frozenset({"script", "style", "template"})
 
-# ``texts``: stripped text pieces of the page. An element owns pieces first + 1 … last, so text is
-# stored once however deep it is nested. ``path`` spells the ancestors for selector matching; ``twins``
-# counts the siblings of one tag and classes, on the first of them; ``link`` is the first link inside.
-ELEMENT = {
-    "tag": "string", "id": "string", "classes": "array<string>", "attrs": "map<string,string>", "parent": "int",
-    "path": "string", "first": "int", "last": "int", "table_no": "int", "row_no": "int", "col_no": "int",
-    "twins": "int", "link": "string",
-}
-MATCHING = ("attrs", "path", "first", "last")
-TABLES = ("tag", "first", "last", "table_no", "row_no", "col_no")
-SCANNING = ("tag", "id", "classes", "parent", "first", "last", "twins", "link")
-VALUE_ATTRS = ("href", "src")
-_SPREAD_BYTES = 1 << 30
 _CHUNK_CHARS = 1 << 21  # markup per output batch, which bounds the memory of a task
+# The greatest spans of a table cell, and the characters that a plain name does not hold.
+_MOST_COLUMNS, _MOST_ROWS = 1000, 65534
+UNPLAIN = frozenset(" .#:[],()>\"'`")
+
 
-_RESERVED = {ord(c): chr(0xE000 + ord(c)) for c in "/;#.[]~="}
+def plain(name: str) -> bool:
+    return bool(name) and UNPLAIN.isdisjoint(name)
 
 
-def spell(text: str) -> str:
-    """A name or value as written in a path step: reserved characters moved to the private-use area."""
-    return text.translate(_RESERVED)
+def shape_classes(classes: Sequence[str]) -> list[str]:
+    """The first two plain class names: what tells sibling blocks apart."""
+    return [c for c in dict.fromkeys(classes) if plain(c)][:2]
 
 
-def safe_ident(text: str) -> bool:
-    return bool(text) and not any(c in " .#:[],()>\"'`" for c in text)
+@dataclass(slots=True)
+class Element:
+    """An element owns the text pieces first + 1 … last of its page, so text is stored once however deep it is nested."""
+    tag: str
+    attrs: dict[str, str]
+    classes: list[str]
+    parent: int
+    first: int
+    last: int
+    place: tuple[int, int, int]  # table, row and cell among those of the page, the table and the row
+    link: str | None  # the first link inside
+    has_text: bool = False
 
 
-def shape_classes(classes: Sequence[str]) -> list[str]:
-    """The first two plain class names: what tells sibling blocks apart."""
-    return [c for c in dict.fromkeys(classes) if safe_ident(c)][:2]
+@dataclass
+class Parsed:
+    elements: list[Element]
+    texts: list[str] = field(default_factory=list)
+
+    def text(self, e: Element) -> str:
+        """The element's text pieces joined by blanks."""
+        return " ".join(self.texts[e.first:e.last])
+
+    def select(self, lists: Sequence[css.Selectors]) -> list[list[Element]]:
+        found = css.select(css.Page(
+            [e.tag for e in self.elements], [e.attrs for e in self.elements], [e.classes for e in self.elements],
+            [e.parent for e in self.elements], [e.has_text for e in self.elements]), lists)
+        return [[self.elements[i] for i in some] for some in found]
 
 
 class _Reader(HTMLParser):
-    def __init__(self, spelled: frozenset[str]) -> None:
+    def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
-        self.spelled = spelled
-        self.elements: list[dict] = []
+        self.elements: list[Element] = []
         self.texts: list[str] = []
         self.open: list[int] = []
+        self.unlinked = 0  # open elements from here on have no link yet
         self.tables: list[list[int]] = []  # [table, row, cell] of the open tables
         self.table_count = 0
-        self.children: Counter = Counter()
 
     def updatepos(self, i, j):
         return j  # line and column numbers are not used
 
     def _tag(self, depth: int) -> str:
-        return self.elements[self.open[depth]]["tag"]
+        return self.elements[self.open[depth]].tag
 
     def _close_to(self, depth: int) -> None:
         for at in self.open[depth:]:
-            self.elements[at]["last"] = len(self.texts)
-            if self.elements[at]["tag"] == "table":
+            self.elements[at].last = len(self.texts)
+            if self.elements[at].tag == "table":
                 self.tables.pop()
         del self.open[depth:]
+        self.unlinked = min(self.unlinked, depth)
 
     def _end_implied(self, tag: str) -> None:
         if tag in _ITEMS:
@@ -110,36 +120,22 @@ class _Reader(HTMLParser):
     def handle_starttag(self, tag, attrs):
         self._end_implied(tag)
         known = {k: v or "" for k, v in reversed(attrs)}  # the first mention of an attribute counts
-        parent = self.open[-1] if self.open else -1
-        self.children[parent] += 1
-        self.children[parent, tag] += 1
-        classes = known["class"].split() if "class" in known else []
-        step = "/" + (tag if tag.isalnum() else spell(tag))
-        if known:
-            step += f"#{spell(known['id'])}" if known.get("id") else ""
-            step += "".join([f".{spell(c)}" for c in classes])
-            step += "".join([f"[{spell(k)}={spell(v)}]" for k, v in known.items() if k in self.spelled])
-        step += f"~{self.children[parent]}~{self.children[parent, tag]};"
-        table, row, cell = -1, -1, -1
+        place = (-1, -1, -1)
         if tag == "table":
             self.tables.append([self.table_count, -1, -1])
             self.table_count += 1
         elif self.tables and tag in ("tr", "td", "th"):
             here = self.tables[-1]
             here[1:] = [here[1] + 1, -1] if tag == "tr" else [max(here[1], 0), here[2] + 1]
-            table, row, cell = here
+            place = tuple(here)
         if tag == "a" and "href" in known:
-            for at in self.open:
-                if self.elements[at]["link"] is None:
-                    self.elements[at]["link"] = known["href"]
-        self.elements.append({
-            "tag": tag, "id": known.get("id") or None, "classes": classes,
-            "attrs": {k: known[k] for k in VALUE_ATTRS if k in known}, "parent": parent,
-            "path": (self.elements[parent]["path"] if parent >= 0 else "") + step,
-            "first": len(self.texts), "last": len(self.texts),
-            "table_no": table, "row_no": row, "col_no": cell, "twins": 0,
-            "link": (known.get("href") or None) if tag == "a" else None,
-        })
+            for at in self.open[self.unlinked:]:
+                if self.elements[at].link is None:
+                    self.elements[at].link = known["href"]
+            self.unlinked = len(self.open)
+        self.elements.append(Element(
+            tag, known, known["class"].split() if "class" in known else [], self.open[-1] if self.open else -1,
+            len(self.texts), len(self.texts), place, (known.get("href") or None) if tag == "a" else None))
         if tag not in VOID:
             self.open.append(len(self.elements) - 1)
 
@@ -151,54 +147,33 @@ class _Reader(HTMLParser):
 
     def handle_data(self, data):
         text = data.strip()
-        if text and not (self.open and self._tag(-1) in SILENT):
+        if text and self.open:
+            self.elements[self.open[-1]].has_text = True
+            if self._tag(-1) in SILENT:
+                return
+        if text:
             self.texts.append(text)
 
-    def done(self) -> tuple[list[dict], list[str]]:
-        self.close()
-        self._close_to(0)
-        leaders: dict = {}
-        for e in self.elements:
-            shape = tuple(shape_classes(e["classes"])) if e["classes"] else ()
-            leader = leaders.setdefault((e["parent"], e["tag"], shape), e)
-            leader["twins"] += 1
-        return self.elements, self.texts
 
-
-def read_markup(html: str | None, spelled: frozenset[str] = frozenset()) -> tuple[list[dict], list[str]]:
-    reader = _Reader(spelled)
+def read_markup(html: str | None) -> Parsed:
+    reader = _Reader()
     reader.feed(html or "")
-    return reader.done()
+    reader.close()
+    reader._close_to(0)
+    return Parsed(reader.elements, reader.texts)
 
 
-def _dealt(pages: DataFrame) -> DataFrame:
-    """Parsing is CPU-bound and a small table often lies in one file chunk: its rows go to all cores.
+def parse_pages(pages: DataFrame, html: str, fields: Sequence[tuple[str, str]], make: Callable[[Parsed], tuple]) -> DataFrame:
+    """Replace the markup column by what ``make`` finds in each page, one value for each of ``fields`` (name, SQL type).
 
-    A table over the size limit is left as it is scanned.
+    Every other column stays; of equal names the new one counts. Pages are parsed in the partitions they are read in.
     """
-    if plan_bytes(pages) > _SPREAD_BYTES:
-        return pages
-    return pages.repartition(pages.sparkSession.sparkContext.defaultParallelism)
-
-
-def parse_pages(
-    pages: DataFrame, html: str = "html", *, attributes: Sequence[str] = (), parts: Sequence[str] = tuple(ELEMENT)
-) -> DataFrame:
-    """Replace the markup column by ``elements`` and ``texts``; every other column stays.
-
-    ``attributes`` are the attribute names selectors may test; ``parts`` the element fields to hand over.
-    """
-    keep = [c for c in pages.columns if c != html]
-    spelled = frozenset(attributes)
-
-    element = T.StructType([T.StructField(p, T._parse_datatype_string(ELEMENT[p])) for p in parts])
-    schema = T.StructType([*[f for f in pages.schema if f.name in keep], T.StructField("elements", T.ArrayType(element)),
-                           T.StructField("texts", T.ArrayType(T.StringType()))])
+    names = [name for name, _ in fields]
+    keep = [c for c in pages.columns if c != html and c not in names]
+    schema = T.StructType([*[f for f in pages.schema if f.name in keep],
+                           *[T.StructField(name, T._parse_datatype_string(sql)) for name, sql in fields]])
     arrow = to_arrow_schema(schema)
 
-    def fields(e: dict) -> dict:
-        return {p: list(e[p].items()) if p == "attrs" else e[p] for p in parts}
-
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         # The other columns pass through as they are; only the new ones are made of Python values.
         for batch in batches:
@@ -206,25 +181,58 @@ def parse_pages(
             volume = np.cumsum([len(h or "") for h in markup]) // _CHUNK_CHARS
             begins = [0, *(np.flatnonzero(np.diff(volume)) + 1).tolist(), len(markup)]
             for begin, end in zip(begins, begins[1:]):
-                parsed = [read_markup(h, spelled) for h in markup[begin:end]]
-                made = [pa.array([[fields(e) for e in p[0]] for p in parsed], arrow.types[-2]),
-                        pa.array([p[1] for p in parsed], arrow.types[-1])]
+                made = list(zip(*[make(read_markup(h)) for h in markup[begin:end]]))
                 kept = [batch.column(i).slice(begin, end - begin) for i in range(len(keep))]
-                yield pa.RecordBatch.from_arrays([*kept, *made], schema=arrow)
+                yield pa.RecordBatch.from_arrays(
+                    [*kept, *[pa.array(v, t) for v, t in zip(made, arrow.types[len(keep):])]], schema=arrow)
+
+    return pages.select(*[col(c) for c in [*keep, html]]).mapInArrow(parse, schema)
+
 
-    return _dealt(pages.select(*[col(c) for c in [*keep, html]])).mapInArrow(parse, schema)
+def _span(e: Element, name: str, most: int) -> int:
+    value = e.attrs.get(name, "").strip()
+    return min(max(int(value), 1), most) if value.isascii() and value.isdigit() else 1
 
 
-def text_of(element: Column) -> Column:
-    """The element's text pieces joined by blanks."""
-    return F.array_join(F.slice(F.col("texts"), element["first"] + 1, element["last"] - element["first"]), " ")
+def table_grid(page: Parsed, number: int = 0) -> list[tuple[int, int, bool, str]]:
+    """(row, column, whether a header, text) of a table's cells; a cell stands at every place that it spans.
+
+    Spans that reach below the last row add rows, as they do for the usual readers of such tables.
+    """
+    rows: dict[int, list[Element]] = {}
+    for e in page.elements:
+        if e.place[0] == number and e.tag in ("tr", "td", "th"):
+            rows.setdefault(e.place[1], [])
+            if e.tag != "tr":
+                rows[e.place[1]].append(e)
+    out: list[tuple[int, int, bool, str]] = []
+    carried: dict[int, tuple[int, bool, str]] = {}  # column -> rows to come, and the cell
+    row, last = 0, max(rows, default=-1)
+    while row <= last or carried:
+        now, carried, column = carried, {}, 0
+
+        def put(rest: int, header: bool, text: str) -> None:
+            nonlocal column
+            out.append((row, column, header, text))
+            if rest:
+                carried[column] = (rest - 1, header, text)
+            column += 1
+
+        for e in rows.get(row, []):
+            cell = (_span(e, "rowspan", _MOST_ROWS) - 1, e.tag == "th", page.text(e))
+            for _ in range(_span(e, "colspan", _MOST_COLUMNS)):
+                while column in now:
+                    put(*now.pop(column))
+                put(*cell)
+        for column in sorted(now):
+            put(*now[column])
+        row += 1
+    return out
 
 
 def page_tables(pages: DataFrame, html: str = "html") -> DataFrame:
     """Cells of the first table of each page: (…, row_no, col_no, is_header, text)."""
     keep = [c for c in pages.columns if c != html]
-    cells = F.filter("elements", lambda e: (e["table_no"] == 0) & e["tag"].isin("td", "th"))
-    rows = F.transform(cells, lambda e: F.struct(
-        e["row_no"].alias("row_no"), e["col_no"].alias("col_no"),
-        (e["tag"] == "th").alias("is_header"), text_of(e).alias("text")))
-    return parse_pages(pages, html, parts=TABLES).select(*[col(c) for c in keep], F.inline(rows))
+    made = parse_pages(pages, html, [("__cells", "array<struct<row_no: int, col_no: int, is_header: boolean, text: string>>")],
+                       lambda page: ([dict(zip(("row_no", "col_no", "is_header", "text"), c)) for c in table_grid(page)],))
+    return made.select(*[col(c) for c in keep], F.inline("__cells"))

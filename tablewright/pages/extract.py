@@ -12,8 +12,9 @@ from ..functions.missing import present
 from ..functions.naming import col, require_column
 from ..operators.ordering import order_key
 from ..operators.skew import first_per_key, fits_broadcast, join_lookup
-from .elements import MATCHING, VALUE_ATTRS, parse_pages, text_of
-from .css import Selector, compile_selector
+from .css import compile_selector
+from .elements import Parsed, parse_pages
+
 
 @dataclass(frozen=True)
 class Field:
@@ -22,25 +23,26 @@ class Field:
     attr: str = "text"
 
 
-# What a match can give: its text, or one of the attributes that the parser keeps.
-_GIVEN = {"text": text_of, **{
-    name: (lambda e, name=name: F.trim(F.coalesce(e["attrs"][name], F.lit("")))) for name in VALUE_ATTRS}}
+# What a match can give, its text or one of these attributes.
+GIVEN = ("text", "href", "src")
 
 
-def _given(what: str | None):
-    """The expression for the stated value of a match; nothing stated means the text."""
+def _given(what: str | None) -> str:
+    """The stated value of a match; nothing stated means the text."""
     stated = str(what or "").strip().lower() or "text"
-    try:
-        return stated, _GIVEN[stated]
-    except KeyError:
-        raise ValueError(f"a match has no {what!r}; choose one of {', '.join(_GIVEN)}") from None
+    if stated not in GIVEN:
+        raise ValueError(f"a match has no {what!r}; choose one of {', '.join(GIVEN)}")
+    return stated
+
 
+def _values(stated: Sequence[tuple[str, str | None]], limit: int | None = None):
+    """A function of a page: for each (selector, what) the values of its matches in document order."""
+    lists, given = [compile_selector(s) for s, _ in stated], [_given(w) for _, w in stated]
 
-def _values(selector: Selector, what: str | None) -> Column:
-    """The page's matches in document order as an array of texts or attribute values."""
-    _, value = _given(what)
-    hits = F.filter("elements", lambda e: selector.matches(e["path"]))
-    return F.transform(hits, lambda e: value(e))
+    def values(page: Parsed) -> list[list[str]]:
+        return [[page.text(e) if what == "text" else e.attrs.get(what, "").strip() for e in (found if limit is None else found[:limit])]
+                for what, found in zip(given, page.select(lists))]
+    return values
 
 
 def _column_name(column: str | None) -> str:
@@ -52,13 +54,11 @@ def extract_values(
     column: str = "value", html: str = "html",
 ) -> DataFrame:
     """One row per match: the page's other columns, ``pos`` and the value. ``limit`` is per page."""
-    compiled, name = compile_selector(selector), _column_name(column)
-    values = _values(compiled, attr)
-    unlimited = limit is None or limit < 0
-    values = values if unlimited else F.slice(values, 1, limit)
+    name = _column_name(column)
+    values = _values([(selector, attr)], None if limit is None or limit < 0 else limit)
     keep = [c for c in pages.columns if c != html]
-    parsed = parse_pages(pages, html, attributes=compiled.attributes, parts=MATCHING)
-    return parsed.select(*[col(c) for c in keep], F.posexplode(values).alias("pos", name))
+    parsed = parse_pages(pages, html, [("__values", "array<string>")], lambda page: tuple(values(page)))
+    return parsed.select(*[col(c) for c in keep], F.posexplode("__values").alias("pos", name))
 
 
 def extract_table(pages: DataFrame, selector: str, *, column: str = "value", **options) -> DataFrame:
@@ -77,20 +77,19 @@ def parse_fields(text: str) -> list[Field]:
 def _field(name: str = "", selector: str = "", attr: str = "", *more: str) -> Field:
     if not (name and selector):
         raise ValueError(f"a field needs a name and a selector, not {name!r} and {selector!r}")
-    return Field(name, selector, _given(attr)[0])
+    return Field(name, selector, _given(attr))
+
 
+def _with_fields(pages: DataFrame, html: str, fields: Sequence[Field], join_multi: bool, separator: str) -> DataFrame:
+    """The pages with one column for each field instead of the markup; all fields are found in one pass."""
+    values = _values([(f.selector, f.attr) for f in fields], None if join_multi else 1)  # the first match alone counts, even when it is empty
 
-def _field_columns(fields: Sequence[Field], join_multi: bool, separator: str) -> tuple[list[Column], list[str]]:
-    columns, attributes = [], []
-    for f in fields:
-        compiled = compile_selector(f.selector)
-        attributes += compiled.attributes
-        values = _values(compiled, f.attr)
-        if not join_multi:  # the first match alone counts, even when it is empty
-            values = F.slice(values, 1, 1)
-        filled = F.filter(values, lambda v: v != "")
-        columns.append(F.array_join(filled, separator).alias(f.name))
-    return columns, attributes
+    def make(page: Parsed) -> tuple[str, ...]:
+        return tuple(separator.join(v for v in some if v) for some in values(page))
+
+    keep = [c for c in pages.columns if c != html]
+    parsed = parse_pages(pages, html, [(f"__field_{i}", "string") for i in range(len(fields))], make)
+    return parsed.select(*[col(c) for c in keep], *[F.col(f"__field_{i}").alias(f.name) for i, f in enumerate(fields)])
 
 
 def extract_fields(
@@ -98,9 +97,7 @@ def extract_fields(
     separator: str = MULTI_VALUE_SEPARATOR, html: str = "html",
 ) -> DataFrame:
     """One row per page with one column per field: its matches joined, '' for none."""
-    columns, attributes = _field_columns(fields, join_multi, separator)
-    keep = [c for c in pages.columns if c != html]
-    return parse_pages(pages, html, attributes=attributes, parts=MATCHING).select(*[col(c) for c in keep], *columns)
+    return _with_fields(pages, html, fields, join_multi, separator)
 
 
 # ---------------------------------------------------------------- batches
@@ -172,14 +169,12 @@ def extract_batch(
         raise ValueError("no fields given")
     key = require_column(params, param)
     wanted = params.select(col(key), url_from_template(template, {key: col(key)}).alias("url"))
-    columns, attributes = _field_columns(fields, True, MULTI_VALUE_SEPARATOR)
     keys = order_key(pages, page_order)
     stored = pages.select(col(url).alias("url"), *[col(k).alias(f"__k{i}") for i, k in enumerate(keys)], col(html).alias("html"))
     listed = wanted.select("url").distinct()
     if fits_broadcast(listed):
         stored = stored.join(F.broadcast(listed), "url", "left_semi")  # size checked above
-    taken = parse_pages(stored, "html", attributes=attributes, parts=MATCHING).select(
-        "url", *[f"__k{i}" for i in range(len(keys))], *columns, F.lit("").alias("error"))
+    taken = _with_fields(stored, "html", fields, True, MULTI_VALUE_SEPARATOR).withColumn("error", F.lit(""))
     taken = first_per_key(taken, ["url"], [f"__k{i}" for i in range(len(keys))]).drop(*[f"__k{i}" for i in range(len(keys))])
     joined = join_lookup(wanted, taken, ["url"])
     names = [f.name for f in fields]

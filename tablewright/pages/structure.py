@@ -1,13 +1,22 @@
-"""Finding repeated blocks in pages: candidate selectors with a score, per page and over a corpus."""
+"""Finding repeated blocks in pages: candidate selectors with a score, per page and over a corpus.
+
+A page's elements are counted by shape, what a selector of a parent and a child can tell: the tags, classes and ids of both.
+Candidates come from groups of like siblings and are matched with the shapes, not with the elements; both are found in the
+one pass that reads the page.
+"""
 from __future__ import annotations
 
+import re
+from collections import Counter
+from dataclasses import dataclass, field
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.naming import col
-from .elements import SCANNING, parse_pages, text_of
+from .elements import Element, Parsed, parse_pages, plain, shape_classes
 
 # Elements that are no content blocks, and tags typical of lists.
-SKIPPED = ("script", "style", "noscript", "svg", "path", "meta", "link", "head", "br", "hr", "input", "button", "option")
+SKIPPED = frozenset("script style noscript svg path meta link head br hr input button option".split())
 LIST_TAGS = ("li", "tr", "article", "section", "item", "a", "h1", "h2", "h3", "h4")
 # Score weights and limits.
 FULL_COUNT = 40
@@ -16,105 +25,123 @@ LIST_BONUS, CLASS_BONUS, BARE_PENALTY = 8.0, 6.0, 12.0
 MIN_SCORE = 8.0
 SAMPLE_LENGTH = 80
 
-_UNSAFE = r"""[ .#:\[\],()>"'`]"""
-
-
-def _plain_classes(e: Column) -> Column:
-    return F.slice(F.array_distinct(F.filter(e["classes"], lambda c: ~c.rlike(_UNSAFE))), 1, 2)
-
-
-def _compound(tag: Column, classes: Column) -> Column:
-    return F.concat(tag, F.array_join(F.transform(classes, lambda c: F.concat(F.lit("."), c)), ""))
-
-
-def _parent(e: Column) -> Column:
-    return F.get(F.col("elements"), e["parent"])
-
-
-def _plain_id(e: Column) -> Column:
-    return F.when(~e["id"].rlike(_UNSAFE), e["id"])
-
-
-def _candidate(e: Column) -> Column:
-    parent = _parent(e)
-    own_id = _plain_id(parent)
-    parent_classes = _plain_classes(parent)
-    classes = _plain_classes(e)
-    parent_css = F.coalesce(F.concat(F.lit("#"), own_id), _compound(parent["tag"], parent_classes))
-    return F.struct(
-        F.concat(parent_css, F.lit(" > "), _compound(e["tag"], classes)).alias("selector"),
-        e["tag"].alias("tag"), classes.alias("classes"), e["twins"].alias("twins"),
-        own_id.alias("parent_id"), parent["tag"].alias("parent_tag"), parent_classes.alias("parent_classes"))
-
 
-def _has_all(held: Column, wanted: Column) -> Column:
-    return F.size(F.array_except(wanted, held)) == 0
-
-
-def _matched(c: Column) -> Column:
-    """All elements of the page that the candidate's selector selects, in document order."""
-    def test(e: Column) -> Column:
-        parent = _parent(e)
-        parent_fits = F.when(c["parent_id"].isNotNull(), parent["id"] == c["parent_id"]).otherwise(
-            (parent["tag"] == c["parent_tag"]) & _has_all(parent["classes"], c["parent_classes"]))
-        return (e["tag"] == c["tag"]) & (e["parent"] >= 0) & _has_all(e["classes"], c["classes"]) & parent_fits
-    return F.filter("elements", test)
-
-
-def _short(text: Column) -> Column:
-    flat = F.trim(F.regexp_replace(text, r"\s+", " "))
-    return F.when(F.length(flat) > SAMPLE_LENGTH, F.concat(F.substring(flat, 1, SAMPLE_LENGTH - 1), F.lit("…"))).otherwise(flat)
-
-
-def _scored(c: Column, samples: int) -> Column:
-    m = c["matched"]
-    n = F.size(m).cast("double")
-    with_text = F.size(F.filter(m, lambda e: e["last"] > e["first"]))
-    with_link = F.size(F.filter(m, lambda e: e["link"].isNotNull()))
-    score = (
+@dataclass
+class _Shape:
+    """Elements that no candidate can tell apart."""
+    classes: frozenset[str]
+    parent_id: str
+    parent_classes: frozenset[str]
+    count: int = 0
+    with_text: int = 0
+    with_link: int = 0
+    heads: list[int] = field(default_factory=list)
+
+
+def _short(text: str) -> str:
+    flat = re.sub(r"\s+", " ", text, flags=re.ASCII).strip(" ")
+    return flat[:SAMPLE_LENGTH - 1] + "…" if len(flat) > SAMPLE_LENGTH else flat
+
+
+def _compound(tag: str, classes: tuple[str, ...]) -> str:
+    return tag + "".join("." + c for c in classes)
+
+
+def candidates(page: Parsed, least: int, samples: int) -> list[dict]:
+    """Counts and samples of every candidate selector of a page whose matches are as many as its groups let expect."""
+    elements = page.elements
+    shapes: dict[tuple, _Shape] = {}
+    groups: Counter = Counter()
+    own = [tuple(shape_classes(e.classes)) for e in elements]
+    for i, e in enumerate(elements):
+        if e.parent < 0:
+            continue
+        parent = elements[e.parent]
+        groups[e.parent, e.tag, own[i]] += 1
+        key = (e.tag, parent.tag, frozenset(e.classes), parent.attrs.get("id", ""), frozenset(parent.classes))
+        shape = shapes.get(key)
+        if shape is None:
+            shape = shapes[key] = _Shape(*key[2:])
+        shape.count += 1
+        shape.with_text += e.last > e.first
+        shape.with_link += e.link is not None
+        if len(shape.heads) < samples:
+            shape.heads.append(i)
+    # Of sibling groups with one selector the largest sets the limit.
+    wanted: dict[tuple, int] = {}
+    for (at, tag, classes), n in groups.items():
+        parent = elements[at]
+        if n >= least and tag not in SKIPPED and parent.tag not in SKIPPED and parent.tag not in ("html", "body"):
+            own_id = parent.attrs.get("id", "")
+            above = ("#" + own_id, None, ()) if plain(own_id) else (None, parent.tag, own[at])
+            key = (tag, classes, above)
+            wanted[key] = max(wanted.get(key, 0), n)
+    # Shapes by the tags and by one class of the child, or its parent's id, so that a candidate looks at few of them.
+    by_class: dict[tuple, list[_Shape]] = {}
+    for (tag, above, classes, own_id, _), shape in shapes.items():
+        for name in (None, *classes):
+            by_class.setdefault((tag, above, name), []).append(shape)
+            by_class.setdefault((tag, "#" + own_id, name), []).append(shape)
+    out = []
+    for (tag, classes, (own_id, above, above_classes)), largest in wanted.items():
+        near = by_class.get((tag, own_id or above, classes[0] if classes else None), [])
+        matched = [s for s in near if s.classes.issuperset(classes) and s.parent_classes.issuperset(above_classes)]
+        count = sum(s.count for s in matched)
+        if not least <= count <= max(largest * 3, largest + 10):
+            continue
+        heads = [elements[i] for i in sorted(i for s in matched for i in s.heads)[:samples]]
+        out.append({
+            "selector": f"{own_id or _compound(above, above_classes)} > {_compound(tag, classes)}", "tag": tag,
+            "classes": len(classes), "count": count, "with_text": sum(s.with_text for s in matched),
+            "with_link": sum(s.with_link for s in matched), "samples": _samples(page, heads)})
+    return out
+
+
+def _samples(page: Parsed, heads: list[Element]) -> list[str]:
+    texts = [t for e in heads if (t := _short(page.text(e)))]
+    return texts or [e.link for e in heads if e.link is not None]
+
+
+_FOUND = ("array<struct<selector: string, tag: string, classes: int, count: int, with_text: int, with_link: int, "
+          "samples: array<string>>>")
+
+
+def _score(c: Column) -> Column:
+    n = c["count"].cast("double")
+    return F.round(
         F.least(n, F.lit(float(FULL_COUNT))) / FULL_COUNT * COUNT_POINTS
-        + with_text / n * TEXT_POINTS + with_link / n * LINK_POINTS
+        + c["with_text"] / n * TEXT_POINTS + c["with_link"] / n * LINK_POINTS
         + F.when(c["tag"].isin(*LIST_TAGS), LIST_BONUS).otherwise(0.0)
-        + F.when(F.size(c["classes"]) > 0, CLASS_BONUS).when(c["tag"].isin("div", "span"), -BARE_PENALTY).otherwise(0.0)
-    )
-    head = F.slice(m, 1, samples)
-    texts = F.filter(F.transform(head, lambda e: _short(text_of(e))), lambda t: t != "")
-    links = F.array_compact(F.transform(head, lambda e: e["link"]))
-    return F.struct(
-        (-F.round(score, 2)).alias("minus_score"), (-F.size(m)).alias("minus_count"), c["selector"].alias("selector"),
-        F.when(with_link / n >= 0.5, "href").otherwise("text").alias("suggested_attr"),
-        F.when(F.size(texts) > 0, texts).otherwise(links).alias("samples"))
+        + F.when(c["classes"] > 0, CLASS_BONUS).when(c["tag"].isin("div", "span"), -BARE_PENALTY).otherwise(0.0), 2)
+
+
+def _scored(pages: DataFrame, min_items: int, samples: int, html: str) -> DataFrame:
+    """The pages with ``__good``: all their candidates with a score that is high enough, best first."""
+    found = parse_pages(pages, html, [("__found", _FOUND)], lambda page: (candidates(page, min_items, samples),))
+    scored = F.transform("__found", lambda c: F.struct(
+        (-_score(c)).alias("minus_score"), (-c["count"]).alias("minus_count"), c["selector"].alias("selector"),
+        F.when(c["with_link"] / c["count"] >= 0.5, "href").otherwise("text").alias("suggested_attr"), c["samples"].alias("samples")))
+    good = F.filter(scored, lambda s: s["minus_score"] <= -MIN_SCORE)
+    return found.withColumn("__good", F.array_sort(good)).drop("__found")
 
 
 def scan_structure(
-    pages: DataFrame, *, min_items: int = 3, most: int = 12, samples: int = 3, html: str = "html"
+    pages: DataFrame, *, min_items: int = 3, most: int | None = 12, samples: int = 3, html: str = "html"
 ) -> DataFrame:
-    """Candidates per page, best first: rank, selector, count, score, suggested attribute, sample texts."""
-    keep = [c for c in pages.columns if c != html]
+    """Candidates per page, best first: rank, selector, count, score, suggested attribute, sample texts.
 
-    def eligible(e: Column) -> Column:
-        parent = _parent(e)["tag"]
-        return ((e["twins"] >= min_items) & (e["parent"] >= 0) & ~e["tag"].isin(*SKIPPED)
-                & ~parent.isin("html", "body", *SKIPPED))
-
-    found = F.transform(F.filter("elements", eligible), _candidate)
-    # Sibling groups with one selector select the same elements; the largest group sets the size limit.
-    parsed = parse_pages(pages, html, parts=SCANNING).withColumn("found", F.array_distinct(found))
-    matched = parsed.withColumn("found", F.transform("found", lambda c: c.withField("matched", _matched(c))))
-    size = lambda c: F.size(c["matched"])
-    fits = F.filter("found", lambda c: (size(c) >= min_items) & (
-        size(c) <= F.greatest(c["twins"] * 3, c["twins"] + 10)))
-    scored = F.array_distinct(F.transform(fits, lambda c: _scored(c, samples)))
-    good = F.filter(scored, lambda s: s["minus_score"] <= -MIN_SCORE)
-    best = F.slice(F.array_sort(good), 1, most)
-    return matched.select(*[col(c) for c in keep], F.posexplode(best).alias("pos", "c")).select(
+    ``most`` of each page are listed, all of them for None.
+    """
+    keep = [c for c in pages.columns if c != html]
+    best = F.col("__good") if most is None else F.slice("__good", 1, most)
+    return _scored(pages, min_items, samples, html).select(*[col(c) for c in keep], F.posexplode(best).alias("pos", "c")).select(
         *[col(c) for c in keep], (F.col("pos") + 1).alias("rank"), F.col("c.selector").alias("selector"),
         (-F.col("c.minus_count")).alias("count"), (-F.col("c.minus_score")).alias("score"),
         F.col("c.suggested_attr").alias("suggested_attr"), F.col("c.samples").alias("samples"))
 
 
-def corpus_structure(pages: DataFrame, **options) -> DataFrame:
-    """Candidates over all pages: (selector, pages, items, score) from the per-page ones."""
-    per_page = scan_structure(pages, **options)
-    return per_page.groupBy("selector").agg(
-        F.count(F.lit(1)).alias("pages"), F.sum("count").alias("items"), F.avg("score").alias("score"))
+def corpus_structure(pages: DataFrame, *, min_items: int = 3, html: str = "html") -> DataFrame:
+    """All candidates of all pages by their selector: (selector, pages, items, score), the score averaged over pages."""
+    each = _scored(pages, min_items, 0, html).select(F.explode("__good").alias("c"))
+    return each.groupBy(F.col("c.selector").alias("selector")).agg(
+        F.count(F.lit(1)).alias("pages"), F.sum(-F.col("c.minus_count")).alias("items"), F.avg(-F.col("c.minus_score")).alias("score"))
