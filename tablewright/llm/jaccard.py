@@ -12,8 +12,9 @@ A document is the set of its distinct five-word shingles; two documents link whe
    element. By the pigeonhole principle a probe meets every partner. Units are chosen by cost, the number of sets that
    hold the rarest shingle of the segment, so empty and frequent segments are left out.
 4. Sets that meet are compared exactly: each with the one it meets most often, then sets of different components with
-   some at random, at last all pairs of different components that a third set does not rule out, so that a group of
-   near copies is not expanded into all its pairs.
+   some at random. What is left in different components and still meets is compared block by block, as products of
+   matrices of sets and shingles, and only links that connect components come back, so that no group of near copies is
+   expanded into pairs.
 
 Shingles and sets are told apart by 64 bits of hash.
 """
@@ -394,18 +395,19 @@ def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _compared(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """(a, b) with the exact Jaccard distance of their sets and whether they link."""
+    """(a, b) and whether their sets link."""
     for end in ("a", "b"):
         pairs = pairs.join(sets.select(F.col("node").alias(end), F.col("n").alias(f"n_{end}"),
                                        F.col("shared").alias(f"shared_{end}")), end)
     both = F.size(F.array_intersect("shared_a", "shared_b")).cast("long")
     counted = pairs.select("a", "b", both.alias("both"), (F.col("n_a") + F.col("n_b")).alias("total"))
-    return counted.select("a", "b", (1 - F.col("both") / (F.col("total") - F.col("both"))).alias("distance"),
-                          (7 * F.col("both") >= 3 * F.col("total")).alias("linked"))
+    return counted.select("a", "b", (7 * F.col("both") >= 3 * F.col("total")).alias("linked"))
 
 
 # Rounds of random comparisons before all that is left is compared, and comparisons of a set in each round.
 _ROUNDS, _TRIES = 3, 8
+# Sets of a crowd that is compared as one; sets and shingles of a block; shingles looked at together.
+_CROWD_SETS, _BLOCK_SETS, _BLOCK_SHINGLES, _COLUMNS = 1 << 16, 1024, 1 << 21, 4096
 
 
 def _live(sets: DataFrame) -> DataFrame:
@@ -459,8 +461,7 @@ def _links(sets: DataFrame) -> DataFrame:
     """Links between sets that connect all sets that are connected."""
     live = _live(sets)
     pairs = _centres(live).select(F.col("node").alias("a"), F.col("pivot").alias("b"))
-    star = shared.stored(_compared(pairs, sets), "star")
-    links = star.where("linked").select("a", "b")
+    links = shared.stored(_compared(pairs, sets).where("linked").select("a", "b"), "star")
     for round_ in range(_ROUNDS):
         open_ = _placed(live, links)
         if open_.isEmpty():
@@ -470,21 +471,77 @@ def _links(sets: DataFrame) -> DataFrame:
         if more.isEmpty():
             break
         links = links.union(more)
-    # What is left is compared pair by pair, but for pairs that their distances to a common third set rule out: the
-    # distance is a metric, so sets whose distances differ by more than 0.25 are further apart than linked sets.
-    known = star.select(F.col("a").alias("node"), F.col("b").alias("pivot"), "distance")
-    self_ = star.select(F.col("b").alias("node"), F.col("b").alias("pivot"), F.lit(0.0).alias("distance")).distinct()
-    known = shared.stored(known.union(self_).groupBy("node").agg(F.min_by(F.struct("pivot", "distance"), "distance").alias("near")), "near")
-    open_ = _placed(live, links).join(known, "node", "left")
-    a, b = (open_.where(role).select("sig", *[F.col(c).alias(f"{c}_{end}") for c in ("node", "n", "held", "root", "near")])
-            for role, end in (("probe", "a"), ("found", "b")))
-    apart = (F.col("near_a.pivot") == F.col("near_b.pivot")) & (
-        F.abs(F.col("near_a.distance") - F.col("near_b.distance")) > 0.25 + 1e-9)
-    rest = a.join(b, "sig").where(
-        (F.col("root_a") != F.col("root_b")) & _can_link("n_a", "held_a", "n_b", "held_b")
-        & ~F.coalesce(apart, F.lit(False)))
-    rest = rest.select(F.greatest("node_a", "node_b").alias("a"), F.least("node_a", "node_b").alias("b")).distinct()
-    return links.union(shared.stored(_compared(rest, sets).where("linked").select("a", "b"), "rest-links"))
+    rest = _compared_in_blocks(_crowds(_placed(live, links)), sets)
+    return links.union(shared.stored(rest, "rest-links"))
+
+
+def _crowds(open_: DataFrame) -> DataFrame:
+    """(crowd, by_sig, node, root): every two sets of different components that meet are together in some crowd.
+
+    A crowd is all sets that are connected by meeting. Where that is too many, each signature is one of its own.
+    """
+    open_ = open_.select("sig", "node", "root")
+    centre = open_.groupBy("sig").agg(F.min("node").alias("b"))
+    together = components(open_.select("sig", F.col("node").alias("a")).join(shared.stored(centre, "centres"), "sig").select("a", "b"))
+    named = shared.stored(open_.join(together.withColumnRenamed("root", "crowd"), "node", "left").withColumn(
+        "crowd", F.coalesce("crowd", "node")), "met")
+    sizes = named.groupBy("crowd", "node").agg(F.lit(1)).groupBy("crowd").agg((F.count("*") > _CROWD_SETS).alias("by_sig"))
+    sized = named.join(shared.stored(sizes, "crowd-sizes"), "crowd")
+    return sized.select(F.when(F.col("by_sig"), F.col("sig")).otherwise(F.col("crowd")).alias("crowd"), "by_sig", "node", "root").distinct()
+
+
+def _compared_in_blocks(crowds: DataFrame, sets: DataFrame) -> DataFrame:
+    """(a, b): links that connect all sets of the crowds that are connected.
+
+    A crowd is dealt to blocks of bounded size, and each two blocks, or one with itself, are compared by one task, which
+    gives back a forest of links and not the pairs.
+    """
+    held = shared.stored(crowds.join(sets.select("node", "n", "shared"), "node"), "crowds")
+    blocks = held.groupBy("crowd", "by_sig").agg(F.ceil(F.greatest(
+        F.count("*") / _BLOCK_SETS, F.sum(F.size("shared")) / _BLOCK_SHINGLES)).cast("int").alias("blocks"))
+    dealt = held.join(shared.stored(blocks, "blocks"), ["crowd", "by_sig"]).withColumn(
+        "block", F.pmod(F.xxhash64("node", F.lit("block")), "blocks").cast("int"))
+    each = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
+        "crowd", "by_sig", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "node", "n", "root", "shared")
+    return each.groupBy("crowd", "by_sig", "i", "j").applyInArrow(_block_links, "a bigint, b bigint")
+
+
+def _block_links(group: pa.Table) -> pa.Table:
+    group = group.combine_chunks()
+    node, n, root, block = (group.column(c).to_numpy() for c in ("node", "n", "root", "block"))
+    listed = group.column("shared").combine_chunks()
+    owner = np.repeat(np.arange(len(node)), np.diff(listed.offsets.to_numpy()))
+    _, shingle, count = np.unique(listed.flatten().to_numpy(), return_inverse=True, return_counts=True)
+    keep = count[shingle] > 1  # the others are in no intersection
+    owner, shingle = owner[keep], (np.cumsum(count > 1) - 1)[shingle[keep]]
+    order = np.argsort(shingle, kind="stable")
+    owner, shingle = owner[order], shingle[order]
+    first = block == group.column("i")[0].as_py()
+    second = block == group.column("j")[0].as_py()
+    both = np.zeros((int(first.sum()), int(second.sum())), np.float32)  # whole numbers below 2**24 are exact
+    for begin in range(0, int(shingle.max(initial=-1)) + 1, _COLUMNS):
+        i, j = np.searchsorted(shingle, [begin, begin + _COLUMNS])
+        has = np.zeros((len(node), min(_COLUMNS, int(shingle[-1]) + 1 - begin)), np.float32)
+        has[owner[i:j], shingle[i:j] - begin] = 1
+        both += has[first] @ has[second].T
+    linked = (7 * both.astype(np.int64) >= 3 * (n[first, None].astype(np.int64) + n[None, second])) & (
+        root[first, None] != root[None, second])
+    x, y = np.nonzero(linked)
+    ends = np.sort(np.stack([root[first][x], root[second][y]]), axis=0)
+    _, where = np.unique(ends, axis=1, return_index=True)
+    parent: dict[int, int] = {}
+    a, b = [], []
+    for k in where.tolist():  # a link between two components that no earlier ones connect
+        u, v = (int(e[k]) for e in ends)
+        while u in parent:
+            u = parent[u]
+        while v in parent:
+            v = parent[v]
+        if u != v:
+            parent[max(u, v)] = min(u, v)
+            a.append(int(node[first][x[k]]))
+            b.append(int(node[second][y[k]]))
+    return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
 
 def join(df: DataFrame, text: str = "text", id_column: str = "doc_id") -> DataFrame:
@@ -513,9 +570,11 @@ def join(df: DataFrame, text: str = "text", id_column: str = "doc_id") -> DataFr
 def keep_one(df: DataFrame, text: str = "text", id_column: str = "doc_id") -> DataFrame:
     """The rows of ``df`` without near copies: of each component the document of the smallest id, once.
 
-    Rows without an id are no copies of others and stay.
+    Rows of one id and unrelated texts are documents of their own. Rows without an id are no copies of others and stay.
     """
-    named = join(df.where(F.col(id_column).isNotNull()), text, id_column)
-    kept = shared.stored(named.where("doc_id = component_id").select(F.col("doc_id").alias("__kept")).distinct(), "kept")
-    first = df.join(kept, df[id_column] == kept["__kept"], "left_semi").dropDuplicates([id_column])
+    own = df.where(F.col(id_column).isNotNull()).withColumn("__key", F.xxhash64(id_column, text))
+    named = join(own.select("__key", text), text, "__key").select(F.col("doc_id").alias("__key"), "component_id").distinct()
+    placed = own.select("__key", F.col(id_column).alias("__id")).distinct().join(shared.stored(named, "named"), "__key")
+    kept = placed.groupBy("component_id").agg(F.min(F.struct("__id", "__key"))["__key"].alias("__key"))
+    first = own.join(shared.stored(kept.select("__key"), "kept"), "__key", "left_semi").dropDuplicates(["__key"]).select(*[f"`{c}`" for c in df.columns])
     return first.union(df.where(F.col(id_column).isNull()))

@@ -64,10 +64,40 @@ def test_signatures_meet_every_partner(seed):
         assert set(sa[pa]) & set(sb[fb]) or set(sb[pb]) & set(sa[fa]), (n, drop)
 
 
+def distant_texts() -> list:
+    """A large group of copies of one text that are mostly too far apart to link."""
+    rng = random.Random(12)
+    base = [f"b{i}" for i in range(150)]
+    rows = []
+    for i in range(160):
+        copy = list(base)
+        for _ in range(rng.choice([1, 2, 4, 6, 8, 9])):
+            copy[rng.randrange(150)] = f"x{rng.randrange(60)}"
+        rows.append(" ".join(copy))
+    return rows
+
+
+@pytest.mark.parametrize("by_sig", [False, True])
+def test_jaccard_in_a_distant_group(spark, monkeypatch, by_sig):
+    monkeypatch.setattr(jaccard, "_BLOCK_SETS", 13)
+    monkeypatch.setattr(jaccard, "_COLUMNS", 50)
+    monkeypatch.setattr(jaccard, "_ROUNDS", 0)
+    if by_sig:
+        monkeypatch.setattr(jaccard, "_CROWD_SETS", 2)
+    rows = list(enumerate(distant_texts()))
+    got = jaccard.join(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    want = brute.near_copies(rows)
+    assert len({c for *_, c in want}) > 10
+    assert sorted(tuple(r) for r in got) == sorted(want)
+
+
 def test_jaccard_keep_one_and_empty(spark):
-    rows = [(1, "a b c d e f"), (2, "A B C D E F"), (2, "A B C D E F"), (3, "other words are in this one"), (None, "a b c d e f")]
+    rows = [(1, "a b c d e f"), (2, "A B C D E F"), (2, "A B C D E F"), (3, "other words are in this one"), (None, "a b c d e f"),
+            (3, "one id with another text of its own"), (3, "other words are in this one")]
     df = spark.createDataFrame(rows, "doc_id long, text string")
-    assert sorted(str(r["doc_id"]) for r in jaccard.keep_one(df).collect()) == ["1", "3", "None"]
+    got = jaccard.keep_one(df)
+    assert got.columns == df.columns
+    assert sorted(map(repr, map(tuple, got.collect()))) == sorted(map(repr, [rows[0], rows[3], rows[4], rows[5]]))
     assert jaccard.join(df.limit(0)).count() == 0
 
 
