@@ -51,31 +51,66 @@ def _(spark, d):
     return load_table(spark, path)
 
 
-@query("load_sniffed", "SELECT n_nationkey, n_name FROM nation")
+@query("load_sniffed", "SELECT c_custkey, c_name FROM customer")
 def _(spark, d):
     path = scratch_path(spark, "semicolons")
-    table(spark, d, "nation").select("n_nationkey", "n_name").coalesce(1).write.option("header", True).option("sep", ";").csv(path)
+    table(spark, d, "customer").select("c_custkey", "c_name").write.option("header", True).option("sep", ";").csv(path)
     return load_table(spark, path)
 
 
-@query("load_xml", "SELECT n_name AS name, n_nationkey AS id FROM nation")
+@query("load_sniffed_lines", "SELECT c_custkey, c_name || chr(10) || c_mktsegment || ', x' AS note FROM customer")
+def _(spark, d):
+    """Quoted line ends and commas between semicolons."""
+    path = scratch_path(spark, "notes")
+    note = F.concat("c_name", F.lit("\n"), "c_mktsegment", F.lit(", x")).alias("note")
+    table(spark, d, "customer").select("c_custkey", note).write.option("header", True).option("sep", ";").csv(path)
+    return load_table(spark, path)
+
+
+@query("load_repeated_header", """
+    SELECT s_suppkey AS a, s_name AS "a.1", s_nationkey AS a_1, s_acctbal AS "Unnamed: 3" FROM supplier""")
+def _(spark, d):
+    path = scratch_path(spark, "header") + ".csv"
+    line = F.concat_ws(",", "s_suppkey", "s_name", "s_nationkey", "s_acctbal")
+    table(spark, d, "supplier").coalesce(1).select(F.explode(F.array(F.when(F.col("s_suppkey") == 0, "a,a,a_1,"), line)).alias("value")).where(
+        "value is not null").write.text(path)
+    return load_table(spark, path)
+
+
+def _documents(customers, body, path: str) -> None:
+    """One document for each sixteenth of the customers."""
+    part = F.pmod("c_custkey", F.lit(16)).alias("part")
+    customers.groupBy(part).agg(body.alias("value")).repartition(16, "part").write.partitionBy("part").text(path)
+
+
+@query("load_xml", "SELECT c_name AS name, c_custkey AS id FROM customer")
 def _(spark, d):
     path = scratch_path(spark, "xml") + ".xml"
-    n = table(spark, d, "nation").selectExpr("n_nationkey AS id", "n_name AS name")
-    n.write.option("rootTag", "rows").option("rowTag", "row").xml(path)
-    return load_table(spark, path).withColumn("id", F.col("id").cast("int"))
+    rows = table(spark, d, "customer").selectExpr("c_custkey AS id", "c_name AS name")
+    rows.write.option("rootTag", "rows").option("rowTag", "row").xml(path)
+    return load_table(spark, path).withColumn("id", F.col("id").cast("long"))
+
+
+@query("load_xml_namespace", "SELECT c_name AS name, c_custkey AS id FROM customer")
+def _(spark, d):
+    """Rows with a prefix, a document for each sixteenth of the customers."""
+    path = scratch_path(spark, "prefixed") + ".xml"
+    row = F.format_string("<c:row><c:id>%d</c:id><c:name>%s</c:name></c:row>", "c_custkey", "c_name")
+    body = F.concat(F.lit('<c:rows xmlns:c="urn:customers">'), F.array_join(F.collect_list(row), "\n"), F.lit("</c:rows>"))
+    _documents(table(spark, d, "customer"), body, path)
+    return load_table(spark, path).select("name", F.col("id").cast("long"))
 
 
 @query("save_by_name", """
-    SELECT name, r_regionkey, r_name FROM region, (VALUES ('a.csv'), ('b.jsonl'), ('c.tsv'), ('d.parquet'), ('e.txt')) v(name)""")
+    SELECT name, c_custkey, c_name FROM customer, (VALUES ('a.csv'), ('b.jsonl'), ('c.tsv'), ('d.parquet'), ('e.txt')) v(name)""")
 def _(spark, d):
     """Saved in the format that the name suggests, under the name that format asks for, and loaded by that name."""
     parts = []
     for name in ("a.csv", "b.jsonl", "c.tsv", "d.parquet", "e.txt"):
         kind = guess_save_format(name)
         path = with_extension(f"{scratch_path(spark, 'named')}/{name}", kind)
-        loaded = load_table(spark, save_table(table(spark, d, "region"), path, kind))
-        parts.append(loaded.select(F.lit(name).alias("name"), F.col("r_regionkey").cast("int"), "r_name"))
+        loaded = load_table(spark, save_table(table(spark, d, "customer"), path, kind))
+        parts.append(loaded.select(F.lit(name).alias("name"), F.col("c_custkey").cast("long"), "c_name"))
     return reduce(lambda a, b: a.unionByName(b), parts)
 
 
@@ -86,31 +121,42 @@ def _(spark, d):
     return load_table(spark, save_table(documents, scratch_path(spark, "documents") + ".csv", "csv_utf8"))
 
 
-@query("load_json_document", "SELECT r_regionkey, r_name FROM region")
+@query("load_json_document", "SELECT c_custkey, c_name FROM customer")
 def _(spark, d):
-    """One document over many lines in each file."""
+    """Documents over many lines, an array for each sixteenth of the customers."""
     path = scratch_path(spark, "document") + ".json"
-    rows = F.to_json(F.collect_list(F.struct("r_regionkey", "r_name")))
-    spread = F.replace(rows, F.lit("},"), F.lit("},\n  "))
-    table(spark, d, "region").groupBy().agg(spread.alias("value")).write.text(path)
-    return load_table(spark, path).select("r_regionkey", "r_name")
+    rows = F.to_json(F.collect_list(F.struct("c_custkey", "c_name")))
+    spread = F.replace(F.replace(rows, F.lit("},"), F.lit("},\n  ")), F.lit('":'), F.lit('":\n'))
+    _documents(table(spark, d, "customer"), spread, path)
+    return load_table(spark, path).select("c_custkey", "c_name")
 
 
-@query("load_cp949_late", "SELECT n_nationkey, n_name FROM nation UNION ALL SELECT 99, '서울'")
+@query("load_cp949_late", "SELECT c_custkey, c_name FROM customer UNION ALL SELECT 0, '서울'")
 def _(spark, d):
-    """A file that is plain ASCII up to its last row."""
+    """Files that are plain ASCII up to their last row."""
     path = scratch_path(spark, "late") + ".csv"
-    names = table(spark, d, "nation").select("n_nationkey", "n_name")
-    last = spark.range(1).select(F.lit(99).alias("n_nationkey"), F.lit("서울").alias("n_name"))
+    names = table(spark, d, "customer").select("c_custkey", "c_name")
+    last = spark.range(1).select(F.lit(0).cast("long").alias("c_custkey"), F.lit("서울").alias("c_name"))
     save_table(names.union(last), path, "csv_cp949")
-    return load_table(spark, path)
+    return load_table(spark, path).withColumn("c_custkey", F.col("c_custkey").cast("long"))
 
 
-@query("load_html", "SELECT CAST(n_nationkey AS VARCHAR) AS id, n_name AS name, CAST(n_regionkey AS VARCHAR) AS \"2\" FROM nation")
+@query("load_html", "SELECT CAST(c_custkey AS VARCHAR) AS id, c_name AS name, CAST(c_nationkey AS VARCHAR) AS \"2\" FROM customer")
 def _(spark, d):
-    """One page with a table whose header is narrower than its rows."""
+    """Pages with tables whose headers are narrower than their rows, a page for each sixteenth of the customers."""
     path = scratch_path(spark, "page") + ".html"
-    row = F.format_string("<tr><td>%d<td>%s<td>%d", "n_nationkey", "n_name", "n_regionkey")
+    row = F.format_string("<tr><td>%d<td>%s<td>%d", "c_custkey", "c_name", "c_nationkey")
     body = F.concat(F.lit("<table><tr><th>id<th>name"), F.array_join(F.collect_list(row), ""), F.lit("</table>"))
-    table(spark, d, "nation").groupBy().agg(body.alias("value")).write.text(path)
+    _documents(table(spark, d, "customer"), body, path)
+    return load_table(spark, path)
+
+
+@query("load_html_spans", """
+    SELECT CAST(c_custkey AS VARCHAR) AS id, CASE k WHEN 0 THEN c_name ELSE c_mktsegment END AS fact FROM customer, (VALUES (0), (1)) v(k)""")
+def _(spark, d):
+    """A customer's number stands beside two rows."""
+    path = scratch_path(spark, "spans") + ".html"
+    row = F.format_string("<tr><td rowspan=2>%d<td>%s<tr><td>%s", "c_custkey", "c_name", "c_mktsegment")
+    body = F.concat(F.lit("<table><tr><th>id<th>fact"), F.array_join(F.collect_list(row), ""), F.lit("</table>"))
+    _documents(table(spark, d, "customer"), body, path)
     return load_table(spark, path)
