@@ -5,8 +5,6 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.ml.functions import array_to_vector
-from pyspark.ml.regression import LinearRegression
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.missing import data_type, is_number, known
@@ -224,40 +222,116 @@ def _fill_points(points: DataFrame, dims: list[str], stats: list, k: int) -> Dat
 
 
 # ---------------------------------------------------------------- chained regressions
+#
+# A row's gaps are filled by linear functions of its other cells, so the cross products of all rows with the same gaps are
+# all that a regression needs, and filling a column maps them as it maps the rows. One scan gives the cross products of
+# every pattern of gaps; the rounds then run on these matrices, and each row is filled once, by the map of its pattern.
+
+MAX_PATTERNS = 4_096
+
 
-def _filled(names: Sequence[str], df: DataFrame, means: Sequence[float], models: list) -> Column:
-    """The columns of a row as an array: means in the gaps, then every fitted model applied in turn.
+def _coefficients(gram: np.ndarray, target: int, shrinkage: str) -> np.ndarray:
+    """Weights of (1, columns…) that predict a column, from cross products of the rows that have it; its own weight is 0.
 
-    Row-local and of constant plan size, so rounds need neither a stored copy nor a shuffle.
+    ``gram`` belongs to (1, columns…). Least squares, of least norm where columns repeat each other, or ridge regression
+    whose strength and noise have the greatest evidence.
     """
+    n, mean = gram[0, 0], gram[0, 1:] / gram[0, 0]
+    cov = gram[1:, 1:] / n - np.outer(mean, mean)
+    i = target - 1
+    others = np.array([j for j in range(len(mean)) if j != i])
+    size = np.sqrt(np.maximum(np.diag(cov)[others], 0.0))
+    usable = size > 1e-9 * np.maximum(np.abs(mean[others]), 1e-300)
+    others, size = others[usable], size[usable]
+    weights = np.zeros(len(gram))
+    if len(others):
+        xx, xy = cov[np.ix_(others, others)], cov[others, i]
+        if shrinkage == "evidence":
+            w = _evidence(xx * n, xy * n, cov[i, i] * n, n)
+        else:
+            w = np.linalg.lstsq(xx / np.outer(size, size), xy / size, rcond=1e-10)[0] / size
+        weights[others + 1] = w
+    weights[0] = mean[i] - weights[1:] @ mean
+    return weights
+
+
+def _evidence(xx: np.ndarray, xy: np.ndarray, yy: float, n: float) -> np.ndarray:
+    """Ridge weights where the precisions of noise and weights maximise the evidence, found in turns."""
+    values, vectors = np.linalg.eigh(xx)
+    values, along = np.maximum(values, 0.0), vectors.T @ xy
+    noise, prior, w = n / max(yy, 1e-300), 1.0, None
+    tiny = 1e-6  # of the flat prior of either precision
+    for _ in range(300):
+        before, w = w, vectors @ (along / (values + prior / noise))
+        left = max(yy - 2 * w @ xy + w @ xx @ w, 0.0)
+        used = float((noise * values / (prior + noise * values)).sum())
+        prior = (used + 2 * tiny) / (float(w @ w) + 2 * tiny)
+        noise = (n - used + 2 * tiny) / (left + 2 * tiny)
+        if before is not None and np.abs(before - w).sum() < 1e-3:
+            break
+    return vectors @ (along / (values + prior / noise))
+
+
+def _state(names: Sequence[str], df: DataFrame, means: Sequence[float]) -> tuple[list[Column], Column]:
+    """The columns of a row less their means, 0 in the gaps, and its pattern of gaps as text."""
     values = [known(df, c).cast("double") for c in names]
-    gaps = F.array(*[v.isNull() for v in values])
-    start = F.array(*[F.coalesce(v, F.lit(m)) for v, m in zip(values, means)])
-    if not models:
-        return start
-    steps = F.array(*[
-        F.struct(F.lit(i).alias("i"), F.lit(b).alias("b"), F.array(*[F.lit(x) for x in w]).alias("w"))
-        for i, b, w in models])
-
-    def predict(step: Column, state: Column) -> Column:
-        products = F.zip_with(step["w"], state, lambda w, x: w * x)
-        return step["b"] + F.aggregate(products, F.lit(0.0), lambda total, x: total + x)
+    pattern = F.concat(*[F.when(v.isNull(), "0").otherwise("1") for v in values])
+    return [F.coalesce(v - F.lit(m), F.lit(0.0)) for v, m in zip(values, means)], pattern
+
+
+def _gram_sums(z: Sequence[Column]) -> list[Column]:
+    ones = [F.lit(1.0), *z]
+    return [F.sum(ones[a] * ones[b]) for a in range(len(ones)) for b in range(a, len(ones))]
+
 
+def _gram(sums: Sequence[float], m: int) -> np.ndarray:
+    out = np.zeros((m + 1, m + 1))
+    out[np.triu_indices(m + 1)] = sums
+    return out + np.triu(out, 1).T
+
+
+def _filled(z: Column, steps: Column) -> Column:
+    """A row's state after steps (column, its weights on (1, columns…)) where the column is a gap of the row."""
     def apply(state: Column, step: Column) -> Column:
-        return F.transform(state, lambda x, j: F.when(
-            (j == step["i"]) & F.get(gaps, j), predict(step, state)).otherwise(x))
+        value = F.get(step["w"], F.lit(0)) + F.aggregate(
+            F.zip_with(F.slice(step["w"], 2, F.size(state)), state, lambda w, x: w * x), F.lit(0.0), lambda t, x: t + x)
+        return F.transform(state, lambda x, j: F.when(j == step["i"], value).otherwise(x))
+    return F.aggregate(steps, z, apply)
+
+
+def _steps(models: Sequence[tuple[int, np.ndarray]]) -> Column:
+    return F.array(*[F.struct(F.lit(i).alias("i"), F.array(*[F.lit(float(x)) for x in w]).alias("w")) for i, w in models])
+
 
-    return F.aggregate(steps, start, apply)
+class _Patterns:
+    """Cross products of the rows of each pattern, and the map from a row's first state to its present one."""
+
+    def __init__(self, patterns: Sequence[str], grams: Sequence[np.ndarray]):
+        self.gaps = np.array([[c == "0" for c in p] for p in patterns])
+        self.grams = np.array(grams)
+        self.maps = np.tile(np.eye(self.grams.shape[1]), (len(self.gaps), 1, 1))
+
+    def fill(self, column: int, shrinkage: str) -> None:
+        gaps = self.gaps[:, column]
+        if gaps.all() or not gaps.any():
+            return
+        step = np.eye(self.grams.shape[1])
+        step[column + 1] = _coefficients(self.grams[~gaps].sum(axis=0), column + 1, shrinkage)
+        self.grams[gaps] = step @ self.grams[gaps] @ step.T
+        self.maps[gaps] = step @ self.maps[gaps]
 
 
 def fill_mice(
-    df: DataFrame, columns: Sequence[str], *, max_iter: int = 10, tolerance: float = 1e-3
+    df: DataFrame, columns: Sequence[str], *, max_iter: int = 10, tolerance: float = 1e-3, shrinkage: str = "none"
 ) -> DataFrame:
     """Fill gaps by regressing each column on the others, round after round.
 
-    Starts from the column means, goes through the columns with fewest gaps first, and stops early when
-    no filled value moves by more than ``tolerance`` times the largest present value.
+    Starts from the column means, goes through the columns with fewest gaps first, and stops early when no filled value
+    moves by more than ``tolerance`` times the largest present value. ``shrinkage`` is "none" for least squares or
+    "evidence" for ridge regression of the strength that the data make most likely.
     """
+    if shrinkage not in ("none", "evidence"):
+        raise ValueError("shrinkage is 'none' or 'evidence'")
     asked = _numeric(df, columns)
     values = [known(df, c).cast("double") for c in asked]
     stats = df.agg(F.count(F.lit(1)).alias("n"), *[
@@ -272,33 +346,83 @@ def fill_mice(
     means = [float(stats[c]["mean"]) for c in names]
     m = len(names)
     todo = sorted((i for i in range(m) if stats[names[i]]["gaps"]), key=lambda i: stats[names[i]]["gaps"])
-    limit = tolerance * max((float(stats[c]["peak"]) for c in names), default=0.0)
-    slim = df.select(*[known(df, c).alias(c) for c in names])
-    models: list[tuple[int, float, list[float]]] = []
-    for _ in range(max(1, min(max_iter, 50)) if m > 1 else 0):
-        before = list(models)
-        for i in todo:
-            others = [j for j in range(m) if j != i]
-            train = _training(slim, names, means, models, i, others)
-            fit = LinearRegression(solver="normal").fit(train)
-            weights = dict(zip(others, map(float, fit.coefficients.toArray())))
-            models.append((i, float(fit.intercept), [weights.get(j, 0.0) for j in range(m)]))
-        old, new = _filled(names, slim, means, before), _filled(names, slim, means, models)
-        change = F.array_max(F.zip_with(old, new, lambda a, b: F.abs(a - b)))
-        if (slim.agg(F.max(change)).first()[0] or 0.0) <= limit:
-            break
-    state = temp_name(df, "state")
-    done = df.withColumn(state, _filled(names, df, means, models))
+    if not todo:
+        return df
+    limit = tolerance * max(float(stats[c]["peak"]) for c in names)
+    rounds = max(1, min(max_iter, 50)) if m > 1 else 0
+    z, pattern = _state(names, df, means)
+    by_pattern = df.groupBy(pattern.alias("pattern")).agg(*[s.alias(f"g{i}") for i, s in enumerate(_gram_sums(z))])
+    found = by_pattern.limit(MAX_PATTERNS + 1).collect()
+    if len(found) <= MAX_PATTERNS:
+        maps = _rounds(df, z, pattern, [(r["pattern"], _gram(r[1:], m)) for r in found], todo, rounds, limit, shrinkage)
+        steps = df.sparkSession.createDataFrame(maps, "pattern string, steps array<struct<i: int, w: array<double>>>")
+        pattern_, state = temp_name(df, "pattern"), temp_name(df, "state")
+        # One row a pattern, so its size has a bound; rows without gaps need none.
+        joined = df.withColumn(pattern_, pattern).withColumn(state, F.array(*z)).join(
+            F.broadcast(steps.withColumnRenamed("pattern", pattern_)), pattern_, "left")
+        done = joined.withColumn(state, _linear(F.col(f"`{state}`"), F.col("steps")))
+    else:
+        steps, state = _scanned_rounds(df, names, z, todo, rounds, limit, shrinkage), temp_name(df, "state")
+        own = _own_steps(steps, names, df)
+        done = df.withColumn(state, _filled(F.array(*z), own) if steps else F.array(*z))
     gapped = {names[i]: i for i in todo}
     return done.select(*[
-        F.get(col(state), F.lit(gapped[c])).alias(c) if c in gapped else col(c) for c in df.columns])
+        F.coalesce(known(df, c).cast("double"), F.get(col(state), F.lit(gapped[c])) + F.lit(means[gapped[c]])).alias(c)
+        if c in gapped else col(c) for c in df.columns])
 
 
-def _training(
-    slim: DataFrame, names: list[str], means: list[float], models: list, target: int, others: list[int]
-) -> DataFrame:
-    """(features, label) of the rows that have the target, gaps in the features filled so far."""
-    present = slim.where(col(names[target]).isNotNull())
-    state = present.select(_filled(names, present, means, models).alias("x"))
-    pick = lambda j: F.get(F.col("x"), F.lit(j))
-    return state.select(array_to_vector(F.array(*[pick(j) for j in others])).alias("features"), pick(target).alias("label"))
+def _linear(state: Column, rows: Column) -> Column:
+    """A row's state with the places in ``rows`` (i, weights on (1, first state…)) computed, all from the first state."""
+    def value(r: Column) -> Column:
+        products = F.zip_with(F.slice(r["w"], 2, F.size(state)), state, lambda w, x: w * x)
+        return F.get(r["w"], F.lit(0)) + F.aggregate(products, F.lit(0.0), lambda t, x: t + x)
+    made = F.coalesce(F.map_from_entries(F.transform(rows, lambda r: F.struct(r["i"], value(r)))), F.create_map().cast("map<int,double>"))
+    return F.transform(state, lambda x, j: F.coalesce(F.element_at(made, j), x))
+
+
+def _map_rows(patterns: Sequence[str], maps: np.ndarray) -> list[tuple]:
+    return [(p, [(i, list(map(float, maps[k][i + 1]))) for i, c in enumerate(p) if c == "0"])
+            for k, p in enumerate(patterns) if "0" in p]
+
+
+def _rounds(df: DataFrame, z, pattern, grams, todo, rounds: int, limit: float, shrinkage: str) -> list[tuple]:
+    """The maps of all patterns after the rounds; a scan for each round tells how far the values moved."""
+    patterns = [p for p, _ in grams]
+    held = _Patterns(patterns, [g for _, g in grams])
+    for r in range(rounds):
+        before = held.maps.copy()
+        for i in todo:
+            held.fill(i, shrinkage)
+        if r == rounds - 1 or not np.isfinite(held.maps).all():
+            break
+        moved = df.sparkSession.createDataFrame(_map_rows(patterns, held.maps - before), "__p string, steps array<struct<i: int, w: array<double>>>")
+        zero = df.select(pattern.alias("__p"), F.array(*z).alias("__z")).join(F.broadcast(moved), "__p")
+        change = F.array_max(F.transform("steps", lambda s: F.abs(F.get(s["w"], F.lit(0)) + F.aggregate(
+            F.zip_with(F.slice(s["w"], 2, F.size("__z")), F.col("__z"), lambda w, x: w * x), F.lit(0.0), lambda t, x: t + x))))
+        if (zero.agg(F.max(change)).first()[0] or 0.0) <= limit:
+            break
+    return _map_rows(patterns, held.maps)
+
+
+def _own_steps(models, names: Sequence[str], df: DataFrame) -> Column:
+    """The steps of the columns that are gaps of the row."""
+    gaps = F.array(*[known(df, c).isNull() for c in names])
+    return F.filter(_steps(models), lambda s: F.get(gaps, s["i"]))
+
+
+def _scanned_rounds(df: DataFrame, names, z, todo, rounds: int, limit: float, shrinkage: str) -> list[tuple[int, np.ndarray]]:
+    """The same rounds where the patterns are too many to hold: a scan of the rows for every column."""
+    models: list[tuple[int, np.ndarray]] = []
+    state = lambda steps: _filled(F.array(*z), _own_steps(steps, names, df)) if steps else F.array(*z)
+    m = len(names)
+    for _ in range(rounds):
+        before = list(models)
+        for i in todo:
+            rows = df.where(known(df, names[i]).isNotNull()).select(state(models).alias("x"))
+            sums = rows.agg(*_gram_sums([F.get("x", F.lit(j)) for j in range(m)])).first()
+            if sums[0]:
+                models.append((i, _coefficients(_gram(sums, m), i + 1, shrinkage)))
+        change = F.array_max(F.zip_with(state(before), state(models), lambda a, b: F.abs(a - b)))
+        if (df.agg(F.max(change)).first()[0] or 0.0) <= limit:
+            break
+    return models

@@ -121,6 +121,30 @@ def _(spark, d):
     return rounded(impute.fill_mice(g, ["l_quantity", "l_extendedprice", "l_tax"]), 6, "l_tax")
 
 
+def _fit(y: str, x: str, source: str) -> str:
+    return f"SELECT regr_slope({y}, {x}) AS w, regr_intercept({y}, {x}) AS b FROM {source}"
+
+
+# Two columns, two rounds: each is regressed on the other, the one with fewer gaps first, from the means on.
+@query("impute_mice_two_columns", f"""
+    WITH g AS (SELECT l_orderkey, l_partkey, l_suppkey, l_linenumber, l_quantity + 0.0 AS q,
+                      CASE WHEN l_linenumber = 3 THEN NULL ELSE l_extendedprice END AS a, CASE WHEN l_linenumber <= 2 THEN NULL ELSE l_tax END AS b FROM lineitem),
+    s AS (SELECT avg(a) AS ma, avg(b) AS mb FROM g),
+    r0 AS (SELECT g.*, coalesce(a, ma) AS x, coalesce(b, mb) AS y FROM g, s),
+    f1 AS ({_fit("a", "y", "r0 WHERE a IS NOT NULL")}), r1 AS (SELECT r0.* REPLACE (coalesce(a, b1.b + b1.w * y) AS x) FROM r0, f1 b1),
+    f2 AS ({_fit("b", "x", "r1 WHERE b IS NOT NULL")}), r2 AS (SELECT r1.* REPLACE (coalesce(r1.b, b1.b + b1.w * x) AS y) FROM r1, f2 b1),
+    f3 AS ({_fit("a", "y", "r2 WHERE a IS NOT NULL")}), r3 AS (SELECT r2.* REPLACE (coalesce(a, b1.b + b1.w * y) AS x) FROM r2, f3 b1),
+    f4 AS ({_fit("b", "x", "r3 WHERE b IS NOT NULL")}), r4 AS (SELECT r3.* REPLACE (coalesce(r3.b, b1.b + b1.w * x) AS y) FROM r3, f4 b1)
+    SELECT l_orderkey, l_partkey, l_suppkey, l_linenumber, round(x, 4) AS l_extendedprice, round(y, 8) AS l_tax FROM r4""")
+def _(spark, d):
+    lines = table(spark, d, "lineitem").select(
+        "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber",
+        F.when(F.col("l_linenumber") != 3, F.col("l_extendedprice")).alias("l_extendedprice"),
+        F.when(F.col("l_linenumber") > 2, F.col("l_tax")).alias("l_tax"))
+    filled = impute.fill_mice(lines, ["l_extendedprice", "l_tax"], max_iter=2, tolerance=0.0)
+    return rounded(rounded(filled, 4, "l_extendedprice"), 8, "l_tax")
+
+
 @query("impute_mice")
 def _(spark, d):
     g = gappy_lines(spark, d)
