@@ -21,10 +21,12 @@ import struct
 from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import cache
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F, types as T
 
 from . import shared
@@ -42,8 +44,8 @@ _UNIT = re.compile(f"{MARK}+[^{MARK}]*|[^{MARK}]+")
 _START = re.compile(f"[^{MARK}]{MARK}")
 CHUNK_CHARS = 1 << 14
 _BLOCK_CHUNKS = 256
-_CACHED_WORDS = 200_000
-_BATCH_BYTES = 1 << 22
+_CACHED_WORDS = 120_000
+_BATCH_BYTES = 1 << 20
 
 
 @dataclass
@@ -276,7 +278,7 @@ def _encode(model: bytes, column: str, schema: pa.Schema):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         p = _pieces(model)
         for whole in batches:
-            for batch in _sliced(whole, column):
+            for batch in _sliced(whole):
                 texts = [MARK + symbols(t) if t else "" for t in batch.column("__text").to_pylist()]
                 ids = p.marked_all(texts)
                 yield pa.RecordBatch.from_arrays(
@@ -284,16 +286,15 @@ def _encode(model: bytes, column: str, schema: pa.Schema):
     return run
 
 
-def _sliced(batch: pa.RecordBatch, _column: str) -> Iterator[pa.RecordBatch]:
+def _sliced(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
     """Pieces of a batch whose texts have a bounded length, but for single rows."""
-    sizes = np.array([len(t) if t else 0 for t in batch.column("__text").to_pylist()])
-    begin, held = 0, 0
-    for i, n in enumerate(sizes):
-        if held and held + n > _BATCH_BYTES:
-            yield batch.slice(begin, i - begin)
-            begin, held = i, 0
-        held += n
-    yield batch.slice(begin)
+    sizes = np.cumsum(pc.fill_null(pc.binary_length(batch.column("__text")), 0).to_numpy())
+    begin = 0
+    while begin < batch.num_rows:
+        before = int(sizes[begin - 1]) if begin else 0
+        end = max(begin + 1, int(np.searchsorted(sizes, before + _BATCH_BYTES, side="right")))
+        yield batch.slice(begin, end - begin)
+        begin = end
 
 
 _CHUNKS_SQL = "key string, no int, n int, text string"
@@ -405,15 +406,38 @@ def encode(df: DataFrame, model: bytes, text: str = "text", output: str = "piece
     return small.union(whole)
 
 
+@cache
+def _piece_texts(model: bytes) -> pa.Array:
+    """The bytes of every id: all that decoding needs of a model."""
+    import sentencepiece
+
+    p = sentencepiece.SentencePieceProcessor(model_proto=model)
+    return pa.array([bytes([int(t[3:5], 16)]) if p.is_byte(i) else t.replace(MARK, " ").encode()
+                     for i in range(p.get_piece_size()) for t in [p.id_to_piece(i)]], pa.binary())
+
+
+def decoded(ids: pa.ListArray, texts: pa.Array) -> pa.Array:
+    """The texts of lists of ids, less the blank in front of the first word; NULL stays NULL."""
+    parts = texts.take(ids.flatten())
+    stop = np.concatenate([[0], np.cumsum(pc.binary_length(parts).to_numpy())])
+    lists = np.concatenate([[0], np.cumsum(pc.fill_null(pc.list_value_length(ids), 0).to_numpy())])
+    bounds = stop[lists]
+    data = np.frombuffer(parts.buffers()[2], np.uint8)[:bounds[-1]] if bounds[-1] else np.empty(0, np.uint8)
+    filled = np.diff(bounds) > 0
+    bounds, data = bounds - np.concatenate([[0], np.cumsum(filled)]), np.delete(data, bounds[:-1][filled])
+    whole = pa.BinaryArray.from_buffers(pa.binary(), len(ids), [None, pa.py_buffer(bounds.astype(np.int32)), pa.py_buffer(data)])
+    return pc.if_else(ids.is_valid(), whole.cast(pa.string()), None)
+
+
 def _decode(model: bytes, ids: str, output: str, schema: pa.Schema):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        p = _pieces(model)
+        texts = _piece_texts(model)
         for batch in batches:
             for i in range(0, batch.num_rows, 500):
                 some = batch.slice(i, 500)
-                texts = [None if x is None else p.decode(x) for x in some.column(ids).to_pylist()]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(texts, f.type) if f.name == output else some.column(f.name) for f in schema], schema=schema)
+                    [decoded(some.column(ids), texts).cast(f.type) if f.name == output else some.column(f.name) for f in schema],
+                    schema=schema)
     return run
 
 
