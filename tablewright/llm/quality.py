@@ -135,5 +135,7 @@ def keep_good(df: DataFrame, text: str = "text", rules=RULES) -> DataFrame:
     """The rows that pass, with the columns they came with."""
     columns = df.columns
     safe = df.select(F.struct("*").alias("__row"), F.col(text).alias("__text"))
-    judged = assess(safe, "__text", rules).where("kept")
+    # A filter would be pushed below the counts and compute each of them again.
+    once = F.when(F.col("kept"), F.array(F.lit(1))).otherwise(F.array().cast("array<int>"))
+    judged = assess(safe, "__text", rules).select("__row", F.explode(once))
     return judged.select(*[F.col("__row").getField(c).alias(c) for c in columns])
