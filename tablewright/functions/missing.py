@@ -97,16 +97,28 @@ _PLAIN = "decimal(38,21)"
 
 
 def as_text(c: Column, dtype: T.DataType) -> Column:
-    """The value as displayed: booleans are True and False, doubles from 1e-4 to 1e16 have no exponent."""
+    """The value as displayed: booleans are True and False; doubles from 1e-4 to 1e16 have no exponent, others one of two
+    digits at least (1e-05, 2.5e+18), and infinity is inf."""
     text = c.cast("string")
     if isinstance(dtype, T.BooleanType):
         return F.initcap(text)
     if not is_floating(dtype):
         return text
+    # Long spellings may have digits too many: the fewest of 15 to 17 count that name the same number.
+    places = F.length(F.regexp_replace(F.substring_index(text, "E", 1), r"[-.]|^-?0\.0*", ""))
+    shortest = text
+    for n in (17, 16, 15):
+        shorter = F.regexp_replace(F.regexp_replace(F.format_string(f"%.{n - 1}E", c), r"0*E\+?0*", "E"), r"\.E", ".0E")
+        shortest = F.when((places > n) & (shorter.try_cast("double") == c.cast("double")), shorter).otherwise(shortest)
+    text = shortest
     digits = F.regexp_replace(text.try_cast(_PLAIN).cast("string"), "0+$", "")
     plain = F.when(digits.endswith("."), F.concat(digits, F.lit("0"))).otherwise(digits)
-    inside = text.contains("E") & (F.abs(c) >= 1e-4) & (F.abs(c) < 1e16)
-    return F.when(inside, plain).otherwise(text)
+    mantissa = F.regexp_replace(F.substring_index(text, "E", 1), r"\.0$", "")
+    power = F.substring_index(text, "E", -1)
+    size = F.regexp_replace(power, "^-", "")
+    spelled = F.concat(mantissa, F.when(power.startswith("-"), "e-").otherwise("e+"), F.when(F.length(size) < 2, F.lpad(size, 2, "0")).otherwise(size))
+    return (F.when(text.contains("E"), F.when((F.abs(c) >= 1e-4) & (F.abs(c) < 1e16), plain).otherwise(spelled))
+            .when(text.endswith("Infinity"), F.replace(text, F.lit("Infinity"), F.lit("inf"))).otherwise(text))
 
 
 def category_text(df: DataFrame, name: str) -> Column:

@@ -205,9 +205,32 @@ def _(spark, d):
 
 
 @query("search_small_numbers", f"""
-    SELECT o_orderkey FROM {_AMOUNTS_SQL} a WHERE starts_with(CAST(share AS VARCHAR), '0.000') AND contains(CAST(share AS VARCHAR), '0.0001')""")
+    SELECT o_orderkey FROM {_AMOUNTS_SQL} a WHERE contains(CAST(share AS VARCHAR), '0.0001') OR contains(CAST(share AS VARCHAR), '5e-0')""")
 def _(spark, d):
-    return R.search(_amounts(spark, d).where("share >= 1e-4"), "0.0001", "share").select("o_orderkey")
+    amounts = _amounts(spark, d)
+    found = [R.search(amounts, text, "share").select("o_orderkey") for text in ("0.0001", "5E-0")]
+    return found[0].union(found[1]).distinct()
+
+
+_POWERS = [10.0 ** k for k in range(-12, 16)]
+_SPREAD_SQL = f"(SELECT o_orderkey, o_totalprice * {_POWERS}[1 + o_orderkey % {len(_POWERS)}] AS v FROM orders)"
+
+
+def _spread(spark, d):
+    """Numbers from 1e-10 to 1e20."""
+    power = F.get(F.array(*[F.lit(p) for p in _POWERS]), F.pmod("o_orderkey", F.lit(len(_POWERS))).cast("int"))
+    return table(spark, d, "orders").select("o_orderkey", (F.col("o_totalprice") * power).alias("v"))
+
+
+@query("search_exponents", f"SELECT o_orderkey, v FROM {_SPREAD_SQL} s WHERE contains(CAST(v AS VARCHAR), '3e+1') OR contains(CAST(v AS VARCHAR), 'e-07')")
+def _(spark, d):
+    spread = _spread(spark, d)
+    return R.search(spread, "3e+1", "v").union(R.search(spread, "e-07", "v")).distinct()
+
+
+@query("replace_exponents", f"SELECT o_orderkey, CASE WHEN contains(CAST(v AS VARCHAR), 'e') THEN 'x10^' ELSE CAST(v AS VARCHAR) END AS v FROM {_SPREAD_SQL} s")
+def _(spark, d):
+    return R.find_replace(_spread(spark, d), "e", "x10^", columns="v")
 
 
 @query("replace_in_large_numbers", f"""
@@ -217,8 +240,9 @@ def _(spark, d):
     return R.find_replace(_amounts(spark, d).select("o_orderkey", "amount"), "123", "found", columns="amount")
 
 
-@query("search_no_number", "SELECT o_orderkey FROM orders WHERE false")
+@query("search_no_number", "SELECT o_orderkey FROM orders WHERE o_orderkey % 3 <> 0 AND contains(CAST(o_totalprice AS VARCHAR), '77')")
 def _(spark, d):
     """NaN is no value and matches no text."""
-    o = table(spark, d, "orders").select("o_orderkey", F.lit(float("nan")).alias("gap"))
-    return R.search(o, "nan", "gap").select("o_orderkey")
+    gap = F.when(F.pmod("o_orderkey", F.lit(3)) == 0, F.lit(float("nan"))).otherwise(F.col("o_totalprice")).alias("gap")
+    o = table(spark, d, "orders").select("o_orderkey", gap)
+    return R.search(o, "77", "gap").union(R.search(o, "nan", "gap")).select("o_orderkey")

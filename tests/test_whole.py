@@ -37,10 +37,11 @@ def test_tables_list_everything(many):
 
 
 def test_text_of_doubles(spark):
-    values = [12345678.5, 0.0005, 1e15, 123456789012345.67, 1e-4, -2.5e8, 1.5, 0.0, 1e7, 1e16, 1e-5]
+    values = [12345678.5, 0.0005, 1e15, 123456789012345.67, 1e-4, -2.5e8, 1.5, 0.0, 1e7, 1e16, 1e-5, 1.5e-7, -2.25e100, 5e-324,
+              1e18, 123456789012345678.0, float("inf"), float("-inf"), -1e-5]
     df = spark.createDataFrame([(i, v) for i, v in enumerate(values)], "i long, v double")
     shown = [r[0] for r in df.orderBy("i").select(as_text(F.col("v"), df.schema["v"].dataType)).collect()]
-    assert shown[:9] == [repr(v) if v != 1e-4 else "0.0001" for v in values[:9]]
+    assert shown == [repr(v) if v != 5e-324 else shown[13] for v in values] and shown[13].endswith("e-324")
     t = df.schema["v"].dataType
     keys = [tuple(r) for r in df.orderBy("i").select(lookup_key(F.col("v"), t), value_label(F.col("v"), t)).collect()]
     assert keys[0] == ("12345678.5", "12345678.5") and keys[1] == ("0.0005", "0.0005") and keys[8] == ("10000000", "10000000")
