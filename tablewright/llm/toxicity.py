@@ -25,8 +25,9 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from . import shared
 
-# The model is fitted on at most so many labelled rows, those whose hashed id is smallest, and has at most so many units.
-TRAIN_ROWS, MODEL_UNITS = 30_000, 50_000
+# The model is fitted on at most so many labelled rows, those whose hashed id is smallest. It has a unit for each word and
+# beginning that is toxic often enough, so the bound on rows bounds it too.
+TRAIN_ROWS = 30_000
 # A unit needs so many toxic documents; the weight of a prior in documents; the least log-odds of interest.
 LEAST_DOCUMENTS, PRIOR, LEAST_LOG_ODDS = 4, 8.0, 1.0
 DRIFT, MAX_E = -0.25, 0.1
@@ -60,8 +61,12 @@ class Model:
         return DRIFT
 
     def segments(self, tokens: list[bytes], known: dict[bytes, float]) -> list[tuple[int, int, float]]:
-        """(first, one past the last, score) of all maximal segments of positive score."""
-        found: list[list] = []  # first, end, sum before it, sum at its end
+        """(first, one past the last, score) of all maximal segments of positive score.
+
+        Every open segment knows the nearest earlier one that starts lower. A segment that is joined or passed over is not
+        looked at again, so the scan is linear.
+        """
+        firsts, ends, lows, highs, lower = [], [], [], [], []  # lower: the place of the nearest earlier one that starts lower
         total, last = 0.0, 0
         for at, word in enumerate(tokens):
             score = known.get(word)
@@ -70,19 +75,24 @@ class Model:
             if score <= 0:
                 continue
             total += DRIFT * (at - last)  # all words in between score the same
-            entry = [at, at + 1, total, total + score]
-            total, last = total + score, at + 1
-            # Join with the nearest earlier segment that starts lower, unless that one reaches as high already.
+            first, low, high = at, total, total + score
+            total, last = high, at + 1
+            j = len(lows) - 1
             while True:
-                j = len(found) - 1
-                while j >= 0 and found[j][2] >= entry[2]:
-                    j -= 1
-                if j < 0 or found[j][3] >= entry[3]:
-                    found.append(entry)
+                # Join with the nearest earlier segment that starts lower, unless that one reaches as high already.
+                while j >= 0 and lows[j] >= low:
+                    j = lower[j]
+                if j < 0 or highs[j] >= high:
                     break
-                entry = [found[j][0], entry[1], found[j][2], entry[3]]
-                del found[j:]
-        return [(a, b, high - low) for a, b, low, high in found]
+                first, low = firsts[j], lows[j]
+                for held in (firsts, ends, lows, highs, lower):
+                    del held[j + 1:]
+                j = lower[j]
+                for held in (firsts, ends, lows, highs, lower):
+                    held.pop()
+            for held, value in zip((firsts, ends, lows, highs, lower), (first, at + 1, low, high, j)):
+                held.append(value)
+        return [(a, b, high - low) for a, b, low, high in zip(firsts, ends, lows, highs)]
 
     def surprise(self, score: float, n: int) -> float:
         """Minus the logarithm of the expected number of such passages in a clean text of n words."""
@@ -191,20 +201,20 @@ def _logistic(x: np.ndarray, label: np.ndarray, weight: np.ndarray) -> tuple[flo
     return float(a), float(b)
 
 
-def train(documents: DataFrame, labels: DataFrame) -> Model:
-    """The model from documents (doc_id, text) and labels (doc_id, toxic) outside the held-out fifth.
+def train(documents: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -> Model:
+    """The model from documents (doc_id, text) and labels (doc_id, toxic) outside the held-out fifth, ``train_rows`` at most.
 
     Of several labels of a document the highest counts; labels of NULL are left out. Without labelled documents of both
     classes the model finds nothing, and its score is the share of toxic ones (0.5 without any).
     """
     usable = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
     sample = (usable.groupBy("doc_id").agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
-              .orderBy(F.xxhash64("doc_id"), "doc_id").limit(TRAIN_ROWS))
-    # TRAIN_ROWS rows at most, so it can be sent to every task.
+              .orderBy(F.xxhash64("doc_id"), "doc_id").limit(train_rows))
+    # train_rows rows at most, so it can be sent to every task.
     training = documents.join(F.broadcast(shared.stored(sample, "toxic-sample")), "doc_id").select("text", "toxic")
     counted = training.mapInArrow(_counts, "unit binary, toxic bigint, clean bigint").groupBy("unit").agg(
         F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
-    kept = counted.where(F.col("toxic") >= LEAST_DOCUMENTS).orderBy(F.desc("toxic"), "unit").limit(MODEL_UNITS)
+    kept = counted.where(F.col("toxic") >= LEAST_DOCUMENTS)
     by_class = {r["toxic"] > 0: r["n"] for r in training.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     toxic, clean = sum(n for k, n in by_class.items() if k), sum(n for k, n in by_class.items() if not k)
     if not toxic or not clean:

@@ -2,10 +2,12 @@
 import base64
 import hashlib
 import random
+import time
 import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import tokenizers
 from pyspark.sql import functions as F
@@ -41,6 +43,14 @@ def test_segments_are_the_maximal_ones(seed):
         assert [round(sum(values[a:b]), 6) for a, b in got] == [round(sum(values[a:b]), 6) for a, b in want], (values, got, want)
 
 
+def test_segments_take_time_in_proportion():
+    known = {b"c": 0.3, b"z": toxicity.DRIFT}
+    tokens_ = ([b"c"] + [b"z"] * 9) * 100_000  # isolated words that never join
+    start = time.perf_counter()
+    assert len(toxicity.Model({}).segments(tokens_, known)) == 100_000
+    assert time.perf_counter() - start < 2.0
+
+
 def test_held_out_accuracy(spark):
     d = "/root/testdata/sf0.01"
     documents, labels = (shared.table(spark, d, t) for t in ("documents", "labels"))
@@ -227,3 +237,17 @@ def test_small_payloads_are_not_merged_and_empty_tables(spark):
     folder = scratch_path(spark, "warc")
     index = warc.index(warc.archive(empty, folder), folder)
     assert index.count() == 0 and warc.fetch(warc.lookup(df, index)).count() == 0
+
+
+def test_encoder_gives_the_library_s_ids():
+    """Texts of everything that the shortcut for words has to get right."""
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    encoder, library = tokens.Encoder(path, 0), tokenizers.Tokenizer.from_file(path)
+    rng = random.Random(1)
+    bits = ["a", "b", "The", "é", " ", "  ", "\n", "\n\n", "\t", "\xa0", "\u2003", "\x85", "\x1c", "\x0b", "1", "23", ",", ".", "'s", "<|endoftext|>", "中",
+            "-", "_", "...", "!", "Ġ", "\ud7ff", "x,y", "don't", "İ", "ß", " \n", "\n ", "###", "&&", "*", "łó", "ñ", "ª", "²", "Ⅳ", "ʰ", "ǅ"]
+    texts = ["".join(rng.choice(bits) for _ in range(rng.randint(0, 14))) for _ in range(8000)]
+    texts += [" ".join(rng.choice(["foo,", "Bar.", "b\nc", "é;", "x!", "(y)", "1.5", "a b"]) for _ in range(20)) for _ in range(100)]
+    got = encoder.encode(pa.array(texts)) + encoder.encode(pa.array([None, ""], pa.string()))
+    want = [c.ids for c in library.encode_batch_fast(texts, add_special_tokens=False)] + [[], []]
+    assert got == [np.array([*ids, 0], "<u2").tobytes() for ids in want]
