@@ -1,7 +1,8 @@
 """Binary files in the shared folder, written and read inside tasks.
 
 Spark has no writer of plain binary files, so tasks use Arrow's file systems on the folder's URI. A file appears under
-its name only when it is complete, and a task that runs again writes the same file again.
+its name only when it is complete. A task that runs again writes the same file again or, where the order of its rows may
+differ, one of another name; only files that a committed row names are read.
 """
 from __future__ import annotations
 

@@ -99,8 +99,10 @@ _CAPTURES_SQL = "key string, page_id bigint, digest string, archive string, offs
 
 def _archived(folder: str, level: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        # A task that runs again has the same number and writes the same archive.
-        path = f"{folder}/archive-{TaskContext.get().partitionId():06d}.warc.gz"
+        # Rows may arrive in another order when a task runs again, so every attempt has an archive of its own; the captures
+        # of the attempt that counts name it.
+        task = TaskContext.get()
+        path = f"{folder}/archive-{task.partitionId():06d}-{task.taskAttemptId()}.warc.gz"
         rows: list[tuple] = []
 
         def write(stream) -> None:
@@ -143,8 +145,9 @@ _PARTS_SQL = "part int, path string, first string, last string, lines bigint"
 
 def _indexed(folder: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part = TaskContext.get().partitionId()
-        path, lines, directory, state = f"{folder}/index-{part:06d}.cdx", [], [], {"first": None, "last": None, "n": 0}
+        task = TaskContext.get()
+        part = task.partitionId()
+        path, lines, directory, state = f"{folder}/index-{part:06d}-{task.taskAttemptId()}.cdx", [], [], {"first": None, "last": None, "n": 0}
 
         def write(stream) -> None:
             place = 0
