@@ -76,10 +76,13 @@ def with_outlier_flag(
     contamination: float = 0.05,
     order_by: str | Sequence[str] | None = None,
     name: str = "is_outlier",
+    trees: int = TREES,
+    tree_rows: int = TREE_ROWS,
 ) -> DataFrame:
     """Flag rows that are outliers in at least one numeric column, or for the forest as a whole."""
     if method == "isolation_forest":
-        return forest_flag(df, columns, contamination=contamination, order_by=order_by, name=name)
+        return forest_flag(df, columns, contamination=contamination, order_by=order_by, name=name,
+                           trees=trees, tree_rows=tree_rows)
     tests = list(outlier_tests(df, columns, method, iqr_k=iqr_k, z_threshold=z_threshold).values())
     return df.withColumn(name, reduce(lambda a, b: a | b, tests, F.lit(False)))
 
@@ -102,10 +105,12 @@ def split_outliers(
 def outlier_summary(
     df: DataFrame, columns: Sequence[str], method: str = "iqr", *, contamination: float = 0.05,
     order_by: str | Sequence[str] | None = None, iqr_k: float = 1.5, z_threshold: float = 3.0,
+    trees: int = TREES, tree_rows: int = TREE_ROWS,
 ) -> DataFrame:
     """(column, count, pct) per numeric column from one scan; the forest gives one row for all."""
     if method == "isolation_forest":
-        flagged = forest_flag(df, columns, contamination=contamination, order_by=order_by, name="__flag")
+        flagged = forest_flag(df, columns, contamination=contamination, order_by=order_by, name="__flag",
+                              trees=trees, tree_rows=tree_rows)
         tests = {FOREST_LABEL: F.col("__flag")}
     else:
         flagged = df
@@ -168,49 +173,59 @@ def _grow(rows: np.ndarray, rng: np.random.Generator) -> list[tuple[int, float,
     return nodes
 
 
-def _depth(nodes: np.ndarray, rows: np.ndarray) -> np.ndarray:
-    at = np.zeros(len(rows), dtype=int)
-    lines = np.arange(len(rows))
-    while True:
-        feature = nodes[at, 0].astype(int)
-        inner = feature >= 0
-        if not inner.any():
-            return nodes[at, 3]
-        value = rows[lines[inner], feature[inner]]
-        step = (value > nodes[at[inner], 1]).astype(int)
-        at[inner] = nodes[at[inner], 2].astype(int) + step
-
-
 def fit_forest(
     df: DataFrame, columns: Sequence[str], order_by: str | Sequence[str], *, trees: int = TREES, tree_rows: int = TREE_ROWS
-) -> tuple[list, int]:
-    """Trees grown as Spark tasks, each on its own subsample of at most ``tree_rows`` rows.
+) -> tuple[list[np.ndarray], int]:
+    """Trees grown as Spark tasks, each on the ``tree_rows`` rows of the whole table that its own hash of the row key puts first.
 
-    The shared pool has at most ``trees`` x ``tree_rows`` rows, chosen from the whole table by a hash of the row key.
+    Rows that some tree can want are told by their hashes alone, about twice ``trees`` x ``tree_rows`` of them; each goes to
+    the trees that drew it, and only nodes come to the driver.
     """
     keys = [order_by] if isinstance(order_by, str) else list(order_by)
-    values = [known(df, c).cast("double").alias(f"x{i}") for i, c in enumerate(columns)]
     names = [f"x{i}" for i in range(len(columns))]
-    ticket = F.xxhash64(F.lit(SEED), *[col(k) for k in keys])
-    complete = df.select(ticket.alias("ticket"), *values).na.drop(subset=names)
-    pool = complete.orderBy("ticket", *names).limit(trees * tree_rows).select(*names).toPandas().to_numpy()
-    size = min(tree_rows, len(pool))
-    spark = df.sparkSession
-    shared = spark.sparkContext.broadcast(pool)  # bounded by the pool size
-
-    def grow(batches):
-        for batch in batches:
-            for tree in batch["id"]:
-                rng = np.random.default_rng([SEED, int(tree)])
-                picked = shared.value[rng.choice(len(shared.value), size, replace=False)]
-                nodes = _grow(picked, rng)
-                yield pd.DataFrame(nodes, columns=["feature", "cut", "child", "credit"]).assign(
-                    tree=tree, node=range(len(nodes)))
-
-    grown = spark.range(trees).mapInPandas(
-        grow, "feature int, cut double, child int, credit double, tree long, node int").toPandas()
+    complete = df.select(*[known(df, c).cast("double").alias(x) for c, x in zip(columns, names)],
+                         F.xxhash64(F.lit(SEED), *[col(k) for k in keys]).alias("key")).na.drop(subset=names)
+    total = complete.count()
+    share = min(1.0, 2.0 * max(tree_rows, 64) / max(total, 1))
+    ticket = lambda t: F.xxhash64("key", t)
+    drawn = F.filter(F.sequence(F.lit(0), F.lit(trees - 1)), lambda t: ticket(t) <= F.lit(int((share - 0.5) * 2.0 ** 64)) if share < 1.0 else F.lit(True))
+    rows = complete.select(*names, "key", F.explode(drawn).alias("tree")).withColumn("ticket", ticket(F.col("tree")))
+
+    def grow(part: pd.DataFrame) -> pd.DataFrame:
+        tree = int(part["tree"].iloc[0])
+        picked = part.sort_values(["ticket", *names]).head(tree_rows)[names].to_numpy()
+        nodes = _grow(picked, np.random.default_rng([SEED, tree]))
+        return pd.DataFrame(nodes, columns=["feature", "cut", "child", "credit"]).assign(tree=tree, node=range(len(nodes)))
+
+    grown = rows.groupBy("tree").applyInPandas(grow, "feature int, cut double, child int, credit double, tree long, node int").toPandas()
     made = [t.sort_values("node")[["feature", "cut", "child", "credit"]].to_numpy() for _, t in grown.groupby("tree")]
-    return made, size
+    return made, min(tree_rows, total)
+
+
+class _Walk:
+    """All trees in one table of nodes, walked down together; a leaf leads to itself."""
+
+    def __init__(self, forest: Sequence[np.ndarray], tree_rows: int):
+        self.roots = np.cumsum([0, *map(len, forest)])[:-1]
+        nodes = np.concatenate([*forest, np.empty((0, 4))])
+        place = np.repeat(self.roots, [len(t) for t in forest])
+        leaf = nodes[:, 0] < 0
+        self.feature = np.where(leaf, 0, nodes[:, 0]).astype(np.int64)
+        self.cut = np.where(leaf, np.inf, nodes[:, 1])
+        self.child = np.where(leaf, np.arange(len(nodes)), nodes[:, 2] + place).astype(np.int64)
+        self.credit = nodes[:, 3]
+        self.levels = int(np.ceil(np.log2(max(tree_rows, 2))))
+
+    def mean_depth(self, rows: np.ndarray) -> np.ndarray:
+        out = np.empty(len(rows))
+        for i in range(0, len(rows), 1024):
+            part = rows[i:i + 1024]
+            at = np.repeat(self.roots[:, None], len(part), axis=1)
+            lines = np.arange(len(part))[None, :]
+            for _ in range(self.levels):
+                at = self.child[at] + (part[lines, self.feature[at]] > self.cut[at])
+            out[i:i + 1024] = self.credit[at].mean(axis=0)
+        return out
 
 
 def forest_scores(
@@ -220,7 +235,9 @@ def forest_scores(
     """Anomaly score in (0, 1], higher is more isolated; NULL for rows that lack a value."""
     names = _numeric(df, columns)
     forest, size = fit_forest(df, names, order_by, trees=trees, tree_rows=tree_rows)
-    shared = df.sparkSession.sparkContext.broadcast(forest)  # trees x 2 * tree_rows nodes at most
+    if not forest:
+        return df.withColumn(name, F.lit(None).cast("double"))
+    shared = df.sparkSession.sparkContext.broadcast(_Walk(forest, tree_rows))  # trees x 2 * tree_rows nodes at most
     scale = float(_path_credit(size)) or 1.0
 
     @F.pandas_udf("double")
@@ -229,8 +246,7 @@ def forest_scores(
         whole = ~np.isnan(x).any(axis=1)
         out = np.full(len(x), np.nan)
         if whole.any():
-            depth = np.mean([_depth(t, x[whole]) for t in shared.value], axis=0)
-            out[whole] = np.power(2.0, -depth / scale)
+            out[whole] = np.power(2.0, -shared.value.mean_depth(x[whole]) / scale)
         return pd.Series(out)
 
     packed = F.struct(*[known(df, c).cast("double").alias(f"x{i}") for i, c in enumerate(names)])
@@ -245,6 +261,8 @@ def forest_flag(
     contamination: float = 0.05,
     order_by: str | Sequence[str] | None = None,
     name: str = "is_outlier",
+    trees: int = TREES,
+    tree_rows: int = TREE_ROWS,
 ) -> DataFrame:
     """Flag the ``contamination`` share of complete rows that an isolation forest isolates first."""
     names = _numeric(df, columns)
@@ -252,7 +270,8 @@ def forest_flag(
     if not names or df.select(*[known(df, c).alias(c) for c in names]).na.drop().limit(10).count() < 10:
         return df.withColumn(name, F.lit(False))
     score = temp_name(df, "score")
-    scored = forest_scores(df, names, order_by if order_by is not None else df.columns, score)
+    scored = forest_scores(df, names, order_by if order_by is not None else df.columns, score,
+                           trees=trees, tree_rows=tree_rows)
     # Rows are scored once and stored: the search for the cut reads the scores several times, the result once more.
     ensure_checkpoint_dir(df.sparkSession)
     scored = scored.checkpoint()

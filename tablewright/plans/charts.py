@@ -189,6 +189,21 @@ def _(spark, d):
     return O.with_outlier_flag(l, ["l_quantity", "l_extendedprice", "l_discount"], "isolation_forest", order_by=LINE_KEY)
 
 
+@query("isolation_forest_planted", """
+    SELECT count(*) AS n, CAST(count_if(o_orderkey % 199 = 0) AS BIGINT) AS planted,
+           CAST(count_if(o_orderkey % 199 = 0) AS BIGINT) AS planted_found, true AS share_holds FROM orders""")
+def _(spark, d):
+    """Every 199th order is moved far away: all of them are flagged, and the stated share of all rows is."""
+    o = table(spark, d, "orders").select(
+        "o_orderkey", (F.col("o_orderkey") % 199 == 0).alias("planted"), "o_totalprice", (F.col("o_custkey") % 1000).alias("c"))
+    moved = o.withColumn("o_totalprice", F.when(F.col("planted"), F.col("o_totalprice") * 10 + 5e6).otherwise(F.col("o_totalprice"))).withColumn(
+        "c", F.when(F.col("planted"), F.col("c") - 20_000).otherwise(F.col("c")))
+    flagged = O.with_outlier_flag(moved, ["o_totalprice", "c"], "isolation_forest", contamination=0.05, order_by="o_orderkey")
+    share = F.count_if("is_outlier") / F.count(F.lit(1))
+    return flagged.agg(F.count(F.lit(1)).alias("n"), F.count_if("planted").alias("planted"),
+                       F.count_if(F.col("planted") & F.col("is_outlier")).alias("planted_found"), share.between(0.045, 0.0501).alias("share_holds"))
+
+
 @query("isolation_forest_summary")
 def _(spark, d):
     return O.outlier_summary(table(spark, d, "events"), ["value", "user_id"], "isolation_forest", order_by="event_id")
