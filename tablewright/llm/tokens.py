@@ -12,15 +12,18 @@ ids come before each. Ids are narrow unsigned integers: two bytes for vocabulari
 """
 from __future__ import annotations
 
+import gc
 import hashlib
 import os
 import re
 import struct
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
@@ -31,10 +34,35 @@ _HEAD, _TAIL = "<8s32sB", "<QQ8s"
 _HEAD_BYTES, _TAIL_BYTES = struct.calcsize(_HEAD), struct.calcsize(_TAIL)
 # The dictionary is fitted on so many documents, with the first ids of each, whatever the size of the table.
 SAMPLE_DOCUMENTS, SAMPLE_IDS, DICTIONARY_BYTES = 512, 4096, 64 << 10
-_CACHED_WORDS, _BATCH_CHARS, _PART_BYTES = 300_000, 1 << 21, 12 << 20
+_BATCH_BYTES, _PART_BYTES = 1 << 20, 12 << 20
+# A generation of looked-up words: so many words or bytes of them; the one before it is kept as well.
+_CACHED_WORDS, _CACHED_BYTES = 220_000, 24 << 20
 
 
-_MARKS = ".,!?;:"
+_MARKS = ".,!?;:#$%&*"
+# Letters of scripts before this one are told from other characters by Python as by the splitter.
+_BEYOND_LATIN = "\u0250"
+# Byte-level vocabularies spell bytes that do not print as characters from 256 on.
+_PRINTED = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+_UNPRINTED = {b: 256 + i for i, b in enumerate(b for b in range(256) if b not in _PRINTED)}
+# Whether a vocabulary's merges take plain letters as they are shows on these.
+_PROBES = ("the", "quick", "BROWN", "xqzzv", "Foxjumpsoverthelazydog", "Übergröße", "àèìòùçñ", "łódź")
+
+
+def _spelled(word: str) -> str:
+    """A word's bytes as byte-level vocabularies spell them."""
+    return word.encode().decode("latin-1").translate(_UNPRINTED)
+# Neighbouring white space as Python knows it.
+_SPACES = r"[\s\v\x1c-\x1f\x{85}\p{Z}]{2}"
+# Whether a vocabulary's merges take plain letters as they are shows on these.
+_PROBES = ("the", "quick", "BROWN", "xqzzv", "Foxjumpsoverthelazydog", "Übergröße", "àèìòùçñ", "łódź")
+
+
+def _spelled(word: str) -> str:
+    """A word's bytes as byte-level vocabularies spell them."""
+    return word.encode().decode("latin-1").translate(_UNPRINTED)
+# White space of ASCII beside the blank and the line end.
+_ODD_SPACES = "\t\x0b\x0c\r\x1c\x1d\x1e\x1f"
 
 
 class Encoder:
@@ -52,11 +80,15 @@ class Encoder:
         self.dtype = id_type(self.tokenizer.get_vocab_size())
         self.end = b"" if end_id is None else np.array([end_id], self.dtype).tobytes()
         special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.whole = re.compile("|".join([r"\s\s", *map(re.escape, special)]))
+        self.whole = "|".join([_SPACES, *map(re.escape, special)])
         self.words: dict[str, bytes] = {}
+        self.before: dict[str, bytes] = {}
+        self.bytes = 0
         self.ends: dict[str, bytes] = {}  # punctuation behind words
         # Tokens that begin with a blank, and the line end, are the first ones of a word.
-        blank = self.tokenizer.encode(" a", add_special_tokens=False).tokens[0][0]
+        self.blank = blank = self.tokenizer.encode(" a", add_special_tokens=False).tokens[0][0]
+        self.letters_apart = all([t.id for t in self.tokenizer.model.tokenize(blank + _spelled(w))]
+                                 == self.tokenizer.encode(" " + w, add_special_tokens=False).ids for w in _PROBES)
         line_end = self.tokenizer.encode("\n", add_special_tokens=False).ids
         self.blanks, self.line_ends = (np.zeros(self.tokenizer.get_vocab_size(), bool) for _ in range(2))
         for token, i in self.tokenizer.get_vocab().items():
@@ -67,13 +99,17 @@ class Encoder:
         coded = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
         return [np.array(c.ids, self.dtype) for c in coded]
 
-    def _encode_words(self, words: list[str]) -> dict[str, bytes]:
+    def _encode_words(self, words: set[str]) -> dict[str, bytes]:
         """Ids of words as they stand in a text; many are encoded as one text and told apart by their first tokens.
 
-        A word is spelled with the blank before it; one that begins with a line end or two tabs has none.
+        A word is spelled with the blank before it; one that begins with a line end or two tabs has none. A blank and
+        plain letters are one piece to the splitter, so these go to the library's merges at once.
         """
-        out, plain, lines, odd = {}, [], [], []
-        for w in words:
+        tokenize, blank, code = self.tokenizer.model.tokenize, self.blank, self.dtype.char
+        letters = {w for w in words if w.isalpha() and (w.isascii() or max(w) < _BEYOND_LATIN)} if self.letters_apart else set()
+        out = {w: array(code, [t.id for t in tokenize(blank + (w if w.isascii() else _spelled(w)))]).tobytes() for w in letters}
+        plain, lines, odd = [], [], []
+        for w in words.difference(letters):
             if w and not w[0].isspace() and not w[-1].isspace():
                 plain.append(w)
             elif w[:1] == "\n" and len(w) > 1 and not w[-1].isspace():
@@ -100,31 +136,55 @@ class Encoder:
                 else:  # a word with white space of its own
                     yield from zip(group, [x.tobytes() for x in self._encode([before + w for w in group])])
 
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """Ids of each text with the end id behind them."""
-        split, odd = {}, []
-        for i, text in enumerate(texts):
-            if self.whole.search(text):
-                odd.append(i)
-            else:
-                first, *rest = text.replace("\n", " \n").split(" ")
-                split[i] = ["\t\t" + first, *rest]  # no word of these texts begins with two tabs
-        if len(self.words) > _CACHED_WORDS:
-            self.words.clear()
-            self.ends.clear()
-        get, words = self.words.get, self.words
-        fresh = {w for parts in split.values() for w in parts if w not in words}
+    def _turn(self) -> None:
+        """Start a generation of words; the last one is kept, so that words in use stay."""
+        if len(self.words) > _CACHED_WORDS or self.bytes > _CACHED_BYTES:
+            self.before, self.words, self.bytes = self.words, {}, 0
+        if len(self.ends) > _CACHED_WORDS:
+            self.ends = {}
+
+    def _looked_up(self, words: list[str]) -> list[bytes]:
+        """Ids of distinct words; those not seen lately are encoded."""
+        self._turn()
+        known, ends = self.words, self.ends
+        fresh = set(words).difference(known)
+        again = [w for w in fresh if w in self.before]
+        known.update(zip(again, map(self.before.__getitem__, again)))
+        fresh.difference_update(again)
         # Between a letter or digit and the punctuation behind it a new piece starts, so both are looked up apart.
-        cut = {w: base for w in fresh if (base := w.rstrip(_MARKS)) and len(base) < len(w) and base[-1].isalnum()}
-        needed = (fresh - cut.keys()) | {x for x in cut.values() if x not in words}
-        ends = {w[len(base):] for w, base in cut.items()} - self.ends.keys()
-        self.ends.update(zip(ends, [x.tobytes() for x in self._encode(list(ends))]))
-        words.update(self._encode_words(list(needed)))
-        words.update({w: words[base] + self.ends[w[len(base):]] for w, base in cut.items()})
-        out = dict(zip(odd, (x.tobytes() for x in self._encode([texts[i] for i in odd]))))
-        for i, parts in split.items():
-            out[i] = b"".join(map(get, parts))
-        return [out[i] + self.end for i in range(len(texts))]
+        cut = {w: base for w in fresh if w[-1:] in _MARKS and (base := w.rstrip(_MARKS)) and base[-1].isalnum()}
+        marks = {w[len(base):] for w, base in cut.items()}.difference(ends)
+        ends.update(zip(marks, [x.tobytes() for x in self._encode(list(marks))]))
+        made = self._encode_words(fresh.difference(cut) | set(cut.values()).difference(known))
+        known.update(made)
+        known.update({w: known[base] + ends[w[len(base):]] for w, base in cut.items()})
+        self.bytes += sum(map(len, made)) + sum(map(len, made.values())) + sum(map(len, cut))
+        return list(map(known.__getitem__, words))
+
+    def encode(self, texts: pa.Array) -> list[bytes]:
+        """Ids of each text with the end id behind them; NULL counts as empty."""
+        texts = pc.fill_null(texts, "")
+        whole = pc.match_substring_regex(texts, self.whole)
+        parted = pc.invert(whole)
+        out = np.empty(len(texts), object)
+        odd = np.flatnonzero(whole.to_numpy(zero_copy_only=False))
+        for i, ids in zip(odd.tolist(), self._encode(texts.take(pa.array(odd)).to_pylist())):
+            out[i] = ids.tobytes() + self.end
+        # No word of the other texts begins with two tabs.
+        body = pc.binary_join_element_wise("\t\t", pc.replace_substring(texts.filter(parted), "\n", " \n"), "")
+        split = pc.split_pattern(body, " ")
+        coded = split.flatten().dictionary_encode()
+        ids = self._looked_up(coded.dictionary.to_numpy(zero_copy_only=False).tolist())
+        at = coded.indices.to_numpy()
+        data = np.frombuffer(b"".join(ids), self.dtype)
+        size = np.fromiter(map(len, ids), np.int64, len(ids)) // self.dtype.itemsize
+        begin, length = np.cumsum(size) - size, size[at]
+        stop = np.concatenate([[0], np.cumsum(length)])
+        flat = data[np.repeat(begin[at] - stop[:-1], length) + np.arange(stop[-1])]
+        bounds = stop[split.offsets.to_numpy()].tolist()
+        for i, a, b in zip(np.flatnonzero(parted.to_numpy(zero_copy_only=False)).tolist(), bounds, bounds[1:]):
+            out[i] = flat[a:b].tobytes() + self.end
+        return out.tolist()
 
 
 def id_type(vocabulary: int) -> np.dtype:
@@ -143,16 +203,19 @@ def _encoder(path: str, end_id: int | None) -> Encoder:
 
 def _encoded(batches: Iterator[pa.RecordBatch], encoder: Encoder) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
     """Slices of the batches with the ids of their column ``text``."""
-    for whole in batches:
-        for at in range(0, whole.num_rows, 500):
-            batch = whole.slice(at, 500)
-            texts = [t or "" for t in batch.column("text").to_pylist()]
-            begin, held = 0, 0
-            for i, text in enumerate([*texts, None]):
-                if i > begin and (text is None or held + len(text) > _BATCH_CHARS):
-                    yield batch.slice(begin, i - begin), encoder.encode(texts[begin:i])
-                    begin, held = i, 0
-                held += len(text or "")
+    gc.disable()  # nothing here makes cycles, and the collector would walk the looked-up words again and again
+    try:
+        for batch in batches:
+            sizes = np.cumsum(pc.fill_null(pc.binary_length(batch.column("text")), 0).to_numpy())
+            begin = 0
+            while begin < batch.num_rows:  # rows up to a number of bytes, one at least
+                before = int(sizes[begin - 1]) if begin else 0
+                end = max(begin + 1, int(np.searchsorted(sizes, before + _BATCH_BYTES, side="right")))
+                some = batch.slice(begin, end - begin)
+                yield some, encoder.encode(some.column("text"))
+                begin = end
+    finally:
+        gc.enable()
 
 
 def _sampled(path: str, end_id: int | None):
