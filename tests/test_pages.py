@@ -1,3 +1,5 @@
+import tracemalloc
+
 import pytest
 
 from tablewright.pages import elements as E, extract as X, structure as S
@@ -99,3 +101,36 @@ def test_tables(spark):
     got = E.page_tables(spark.createDataFrame([(1, html)], "page_id long, html string")).orderBy("row_no", "col_no").collect()
     assert [(r["row_no"], r["col_no"], r["is_header"], r["text"]) for r in got] == [
         (0, 0, True, "id"), (0, 1, True, "name"), (1, 0, False, "1"), (1, 1, False, "x"), (2, 0, False, "2"), (2, 1, False, "y z")]
+
+
+def test_long_tables_are_not_held(spark):
+    """A page's cells are given out while it is read, whatever its length; also in several batches."""
+    n = 60_000
+    html = "<table><tr><th>id<th>name" + "".join(f"<tr><td rowspan=2>{i}<td>name {i}<tr><td>other {i}" for i in range(n)) + "</table>"
+    tracemalloc.start()
+    try:
+        cells = sum(1 for _ in E.table_grid(html))
+        assert cells == 2 + 4 * n and tracemalloc.get_traced_memory()[1] < 6 * len(html)
+    finally:
+        tracemalloc.stop()
+    pages = spark.createDataFrame([(1, html), (2, None), (3, "<p>none"), (4, "<table><td>x"), (5, html)], "page_id long, html string")
+    got = E.page_tables(pages)
+    assert got.groupBy("page_id").count().orderBy("page_id").collect() == [(1, cells), (4, 1), (5, cells)]
+    assert [tuple(r) for r in got.where(f"page_id = 5 and row_no > {2 * n - 2}").orderBy("row_no", "col_no").collect()] == [
+        (5, 2 * n - 1, 0, False, f"{n - 1}"), (5, 2 * n - 1, 1, False, f"name {n - 1}"),
+        (5, 2 * n, 0, False, f"{n - 1}"), (5, 2 * n, 1, False, f"other {n - 1}")]
+
+
+def test_rows_that_stay_open(monkeypatch):
+    """What is let go on the way changes nothing: cells left open, tables in cells, text beside the table."""
+    html = ("x<table><tr><td>a<div><tr><td>b</div>c<!-- <td> --><td rowspan=3>d<table><tr><td>e</table>f"
+            "<tr><th colspan=2>g &amp; h<td title =\"i > j<k>\">l<script>m<td></script><tr><td>n</table>o<table><td>p")
+    whole = [list(E.table_grid(html, number)) for number in range(4)]
+    assert whole == [
+        [(0, 0, False, "a"), (1, 0, False, "b c"), (1, 1, False, "d e f"), (2, 0, True, "g & h"), (2, 1, False, "d e f"), (2, 2, True, "g & h"), (2, 3, False, "l"), (3, 0, False, "n"), (3, 1, False, "d e f")],
+        [(0, 0, False, "e")],
+        [(0, 0, False, "p")],
+        []]
+    for held in range(12):
+        monkeypatch.setattr(E, "_HELD", held)
+        assert [list(E.table_grid(html, number)) for number in range(4)] == whole
