@@ -20,6 +20,7 @@ import struct
 import zlib
 from array import array
 from collections.abc import Iterator
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -45,13 +46,6 @@ _BEYOND_LATIN = "\u0250"
 # Byte-level vocabularies spell bytes that do not print as characters from 256 on.
 _PRINTED = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
 _UNPRINTED = {b: 256 + i for i, b in enumerate(b for b in range(256) if b not in _PRINTED)}
-# Whether a vocabulary's merges take plain letters as they are shows on these.
-_PROBES = ("the", "quick", "BROWN", "xqzzv", "Foxjumpsoverthelazydog", "Übergröße", "àèìòùçñ", "łódź")
-
-
-def _spelled(word: str) -> str:
-    """A word's bytes as byte-level vocabularies spell them."""
-    return word.encode().decode("latin-1").translate(_UNPRINTED)
 # Neighbouring white space as Python knows it.
 _SPACES = r"[\s\v\x1c-\x1f\x{85}\p{Z}]{2}"
 # Whether a vocabulary's merges take plain letters as they are shows on these.
@@ -61,6 +55,14 @@ _PROBES = ("the", "quick", "BROWN", "xqzzv", "Foxjumpsoverthelazydog", "Übergr
 def _spelled(word: str) -> str:
     """A word's bytes as byte-level vocabularies spell them."""
     return word.encode().decode("latin-1").translate(_UNPRINTED)
+
+
+# Letters below _BEYOND_LATIN, a word of nothing else, and their spelling, character by character.
+_LETTERS = [chr(c) for c in range(ord(_BEYOND_LATIN)) if chr(c).isalpha()]
+_LETTERS_ONLY = f"^[{''.join(_LETTERS)}]+$"
+_SPELLED = {ord(c): _spelled(c) for c in _LETTERS}
+# A word that the punctuation behind it is cut from ends so; and what stands before that punctuation.
+_CUT_END, _BEFORE_MARKS = r"[\pL\pN]$", f"(?s)^.*[^{_MARKS}]"
 # White space of ASCII beside the blank and the line end.
 _ODD_SPACES = "\t\x0b\x0c\r\x1c\x1d\x1e\x1f"
 
@@ -81,10 +83,11 @@ class Encoder:
         self.end = b"" if end_id is None else np.array([end_id], self.dtype).tobytes()
         special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.whole = "|".join([_SPACES, *map(re.escape, special)])
-        self.words: dict[str, bytes] = {}
-        self.before: dict[str, bytes] = {}
+        # Numbers of looked-up words in the two generations; the ids of number n end at ends[n + 1].
+        self.words: dict[str, int] = {}
+        self.before: dict[str, int] = {}
         self.bytes = 0
-        self.ends: dict[str, bytes] = {}  # punctuation behind words
+        self.ids, self.ends = array(self.dtype.char), array("q", [0])
         # Tokens that begin with a blank, and the line end, are the first ones of a word.
         self.blank = blank = self.tokenizer.encode(" a", add_special_tokens=False).tokens[0][0]
         self.letters_apart = all([t.id for t in self.tokenizer.model.tokenize(blank + _spelled(w))]
@@ -99,17 +102,26 @@ class Encoder:
         coded = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
         return [np.array(c.ids, self.dtype) for c in coded]
 
-    def _encode_words(self, words: set[str]) -> dict[str, bytes]:
+    def _add_letters(self, words: list[str]) -> None:
+        """Ids of words of plain letters. A blank and such a word are one piece to the splitter, so the library merges it at once."""
+        tokenize, blank = self.tokenizer.model.tokenize, self.blank
+        for i in range(0, len(words), 4096):
+            pieces = [tokenize(blank + (w if w.isascii() else w.translate(_SPELLED))) for w in words[i:i + 4096]]
+            self._add(array(self.dtype.char, [t.id for piece in pieces for t in piece]), list(map(len, pieces)))
+
+    def _add(self, ids: array, sizes: list[int]) -> None:
+        ends = np.cumsum(sizes, dtype=np.int64) + len(self.ids)
+        self.ids.extend(ids)
+        self.ends.frombytes(ends.tobytes())
+
+    def _encode_words(self, words: list[str]) -> list[bytes]:
         """Ids of words as they stand in a text; many are encoded as one text and told apart by their first tokens.
 
-        A word is spelled with the blank before it; one that begins with a line end or two tabs has none. A blank and
-        plain letters are one piece to the splitter, so these go to the library's merges at once.
+        A word is spelled with the blank before it; one that begins with a line end or two tabs has none.
         """
-        tokenize, blank, code = self.tokenizer.model.tokenize, self.blank, self.dtype.char
-        letters = {w for w in words if w.isalpha() and (w.isascii() or max(w) < _BEYOND_LATIN)} if self.letters_apart else set()
-        out = {w: array(code, [t.id for t in tokenize(blank + (w if w.isascii() else _spelled(w)))]).tobytes() for w in letters}
+        out: dict[str, bytes] = {}
         plain, lines, odd = [], [], []
-        for w in words.difference(letters):
+        for w in words:
             if w and not w[0].isspace() and not w[-1].isspace():
                 plain.append(w)
             elif w[:1] == "\n" and len(w) > 1 and not w[-1].isspace():
@@ -120,7 +132,7 @@ class Encoder:
             out[w] = ids.tobytes()
         out.update(self._encode_joined(plain, " ", self.blanks))
         out.update(self._encode_joined(lines, "", self.line_ends))
-        return out
+        return [out[w] for w in words]
 
     def _encode_joined(self, words: list[str], before: str, begins: np.ndarray) -> Iterator[tuple[str, bytes]]:
         """Words with ``before`` in front of them, in texts of a thousand; ``begins`` marks the tokens they start with."""
@@ -139,27 +151,54 @@ class Encoder:
     def _turn(self) -> None:
         """Start a generation of words; the last one is kept, so that words in use stay."""
         if len(self.words) > _CACHED_WORDS or self.bytes > _CACHED_BYTES:
-            self.before, self.words, self.bytes = self.words, {}, 0
-        if len(self.ends) > _CACHED_WORDS:
-            self.ends = {}
-
-    def _looked_up(self, words: list[str]) -> list[bytes]:
-        """Ids of distinct words; those not seen lately are encoded."""
+            kept = np.fromiter(self.words.values(), np.int64, len(self.words))
+            ids, sizes = self._gathered(kept)
+            self.before, self.words, self.bytes = dict(zip(self.words, range(len(kept)))), {}, 0
+            self.ids, self.ends = array(self.dtype.char), array("q", [0])
+            self.ids.frombytes(ids.tobytes())
+            self.ends.frombytes(np.cumsum(sizes, dtype=np.int64).tobytes())
+
+    def _gathered(self, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of looked-up words one after the other, and the number of each word's."""
+        ends = np.frombuffer(self.ends, np.int64)
+        starts, sizes = ends[numbers], ends[numbers + 1] - ends[numbers]
+        return _runs(np.frombuffer(self.ids, self.dtype), starts, sizes), sizes
+
+    def _numbers(self, names: pa.Array) -> np.ndarray:
+        """Numbers of distinct words; those not seen lately are encoded."""
         self._turn()
-        known, ends = self.words, self.ends
-        fresh = set(words).difference(known)
-        again = [w for w in fresh if w in self.before]
-        known.update(zip(again, map(self.before.__getitem__, again)))
-        fresh.difference_update(again)
+        words = names.to_numpy(zero_copy_only=False).tolist()
+        at = np.fromiter(map(self.words.get, words, repeat(-1)), np.int64, len(words))
+        lost = np.flatnonzero(at < 0)
+        at[lost] = np.fromiter(map(self.before.get, map(words.__getitem__, lost.tolist()), repeat(-1)), np.int64, len(lost))
+        fresh = np.flatnonzero(at < 0)
+        letters = pc.match_substring_regex(names.take(pa.array(fresh)), _LETTERS_ONLY).to_numpy(zero_copy_only=False) & self.letters_apart
+        made = [[words[i] for i in some.tolist()] for some in (fresh[letters], fresh[~letters])]
+        before = len(self.ids)
+        at[np.concatenate([fresh[letters], fresh[~letters]])] = np.arange(len(fresh)) + len(self.ends) - 1
+        self._add_letters(made[0])
+        others = self._encode_words(made[1])
+        self._add(array(self.dtype.char, b"".join(others)), [len(x) // self.dtype.itemsize for x in others])
+        self.words.update(zip(map(words.__getitem__, lost.tolist()), at[lost].tolist()))
+        self.bytes += sum(map(len, made[0])) + sum(map(len, made[1])) + (len(self.ids) - before) * self.dtype.itemsize
+        return at
+
+    def _looked_up(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of distinct words one after the other, and the number of each word's."""
         # Between a letter or digit and the punctuation behind it a new piece starts, so both are looked up apart.
-        cut = {w: base for w in fresh if w[-1:] in _MARKS and (base := w.rstrip(_MARKS)) and base[-1].isalnum()}
-        marks = {w[len(base):] for w, base in cut.items()}.difference(ends)
-        ends.update(zip(marks, [x.tobytes() for x in self._encode(list(marks))]))
-        made = self._encode_words(fresh.difference(cut) | set(cut.values()).difference(known))
-        known.update(made)
-        known.update({w: known[base] + ends[w[len(base):]] for w, base in cut.items()})
-        self.bytes += sum(map(len, made)) + sum(map(len, made.values())) + sum(map(len, cut))
-        return list(map(known.__getitem__, words))
+        bases = pc.utf8_rtrim(words, characters=_MARKS)
+        cut = pc.and_(pc.less(pc.binary_length(bases), pc.binary_length(words)), pc.match_substring_regex(bases, _CUT_END))
+        marks = pc.binary_join_element_wise("\t\t", pc.replace_substring_regex(words.filter(cut), _BEFORE_MARKS, ""), "")
+        parts = pa.concat_arrays([pc.if_else(cut, bases, words), marks]).dictionary_encode()
+        numbers = self._numbers(parts.dictionary)[parts.indices.to_numpy()]
+        behind = np.flatnonzero(cut.to_numpy(zero_copy_only=False))
+        order = np.argsort(np.concatenate([np.arange(len(words)), behind]), kind="stable")  # each word, then its punctuation
+        ids, sizes = self._gathered(numbers[order])
+        both = np.zeros(len(numbers), np.int64)
+        both[order] = sizes
+        size = both[:len(words)]
+        size[behind] += both[len(words):]
+        return ids, size
 
     def encode(self, texts: pa.Array) -> list[bytes]:
         """Ids of each text with the end id behind them; NULL counts as empty."""
@@ -174,19 +213,23 @@ class Encoder:
         body = pc.binary_join_element_wise("\t\t", pc.replace_substring(texts.filter(parted), "\n", " \n"), "")
         split = pc.split_pattern(body, " ")
         coded = split.flatten().dictionary_encode()
-        ids = self._looked_up(coded.dictionary.to_numpy(zero_copy_only=False).tolist())
+        data, size = self._looked_up(coded.dictionary)
         at = coded.indices.to_numpy()
-        data = np.frombuffer(b"".join(ids), self.dtype)
-        size = np.fromiter(map(len, ids), np.int64, len(ids)) // self.dtype.itemsize
-        begin, length = np.cumsum(size) - size, size[at]
+        length = size[at]
         stop = np.concatenate([[0], np.cumsum(length)])
-        flat = data[np.repeat(begin[at] - stop[:-1], length) + np.arange(stop[-1])]
+        flat = _runs(data, (np.cumsum(size) - size)[at], length)
         bounds = stop[split.offsets.to_numpy()].tolist()
         for i, a, b in zip(np.flatnonzero(parted.to_numpy(zero_copy_only=False)).tolist(), bounds, bounds[1:]):
             out[i] = flat[a:b].tobytes() + self.end
         return out.tolist()
 
 
+def _runs(data: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The runs of ``data`` that begin at ``starts``, one after the other."""
+    stops = np.cumsum(sizes)
+    return data[np.repeat(starts - stops + sizes, sizes) + np.arange(stops[-1] if len(stops) else 0)]
+
+
 def id_type(vocabulary: int) -> np.dtype:
     return np.dtype("<u2" if vocabulary <= 1 << 16 else "<u4")
 

@@ -251,3 +251,22 @@ def test_encoder_gives_the_library_s_ids():
     got = encoder.encode(pa.array(texts)) + encoder.encode(pa.array([None, ""], pa.string()))
     want = [c.ids for c in library.encode_batch_fast(texts, add_special_tokens=False)] + [[], []]
     assert got == [np.array([*ids, 0], "<u2").tobytes() for ids in want]
+
+
+def test_words_are_held_once_and_for_two_generations(monkeypatch):
+    """Punctuation behind words makes no words of their own, and ids stay right when words are let go and come again."""
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    encoder, library = tokens.Encoder(path, None), tokenizers.Tokenizer.from_file(path)
+    encoder.encode(pa.array(["word word. word, word!! été été; 12 12."]))
+    assert {w for w in encoder.words if w[0].isalnum()} == {"word", "été", "12"}
+    for texts in ([""], ["a  b"], [None], []):  # nothing to look up, in a new encoder
+        ids = [library.encode(t or "", add_special_tokens=False).ids for t in texts]
+        assert tokens.Encoder(path, None).encode(pa.array(texts, pa.string())) == [np.array(i, "<u2").tobytes() for i in ids]
+    monkeypatch.setattr(tokens, "_CACHED_WORDS", 40)
+    rng = random.Random(2)
+    vocabulary = [f"{a}{b}{c}" for a in ("foo", "Bär", "łó", "中", "x1", "\n") for b in ("", "ing", "²", "ß") for c in ("", ".", ",!", "-", "'s")]
+    for _ in range(60):
+        texts = [" ".join(rng.choice(vocabulary) for _ in range(rng.randint(0, 12))) for _ in range(8)]
+        want = [np.array(c.ids, "<u2").tobytes() for c in library.encode_batch_fast(texts, add_special_tokens=False)]
+        assert encoder.encode(pa.array(texts)) == want
+    assert encoder.before and len(encoder.ends) == 1 + len(encoder.words.keys() | encoder.before.keys())
