@@ -23,11 +23,16 @@ def let(value: Column, body) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """The table written to the shared folder and read back: lineage ends here and a lost executor costs nothing."""
+def stored_path(df: DataFrame, name: str, by: str | None = None) -> str:
+    """Where in the shared folder the table has been written, in a folder for each value of the column ``by``."""
     path = scratch_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    df.write.parquet(path, partitionBy=by)
+    return path
+
+
+def stored(df: DataFrame, name: str, by: str | None = None) -> DataFrame:
+    """The table written to the shared folder and read back: lineage ends here and a lost executor costs nothing."""
+    return df.sparkSession.read.schema(df.schema).parquet(stored_path(df, name, by))
 
 
 def arrow_schema(schema: T.StructType) -> pa.Schema:

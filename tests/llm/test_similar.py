@@ -1,5 +1,7 @@
 """N-gram Jaccard join, embedding near-duplicates and components against plain versions."""
 import random
+import time
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -7,6 +9,7 @@ import pytest
 import brute
 from tablewright.llm import jaccard, neardup
 from tablewright.llm.components import components
+from tablewright.session import scratch_path
 
 
 def test_components(spark):
@@ -125,3 +128,35 @@ def test_near_duplicates(spark, monkeypatch):
     assert sum(got[i][1] != root[i] for i in range(len(rows) - 1)) <= 2
     assert all(got[i] == (0, i, True) for i in range(len(rows) - 7, len(rows) - 1))
     assert neardup.near_duplicates(df.limit(0)).count() == 0
+
+
+def test_near_duplicates_in_rounds(spark, monkeypatch):
+    """Many small units, rounds, packs and blocks find what one of each finds; lengths and precisions keep apart."""
+    rows = vectors() + [[float(x) for x in v[:9]] for v in vectors()[:200]] + vectors()[:40]
+    of = "vec_id long, embedding array<%s>"
+    small, double = (spark.createDataFrame(list(enumerate(rows)), of % t) for t in ("float", "double"))
+    whole = sorted(tuple(r) for r in neardup.near_duplicates(small).collect())
+    assert sum(r[1] for r in whole) > 2 * len(rows) and sorted(tuple(r) for r in neardup.near_duplicates(double).collect()) == whole
+    for name, value in (("_BLOCK", 20), ("_PACK", 50), ("_STEP", 100), ("_UNIT_BYTES", 2000), ("_ROUND_BYTES", 1)):
+        monkeypatch.setattr(neardup, name, value)
+    paths, real = [], neardup.shared.stored_path
+    monkeypatch.setattr(neardup.shared, "stored_path", lambda df, name, *by: paths.append(name) or real(df, name, *by))
+    assert sorted(tuple(r) for r in neardup.near_duplicates(small).collect()) == whole
+    assert paths.count("vector-links") > 2
+
+
+def test_near_duplicates_disk(spark):
+    """What is written stays a small multiple of the vectors, and no shuffle files are left."""
+    def used(folders):
+        return sum(p.stat().st_size for f in folders for p in Path(f).rglob("*") if p.is_file())
+
+    x = np.random.default_rng(4).standard_normal((4000, 64))
+    df = spark.createDataFrame([(i, [float(c) for c in v]) for i, v in enumerate(x)], "vec_id long, embedding array<float>")
+    kept = [scratch_path(spark, "x").removeprefix("file:").rpartition("/")[0]]
+    local = list(spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirsString())
+    before, shuffled = used(kept), used(local)
+    found = neardup.near_duplicates(df)
+    time.sleep(2)
+    assert used(kept) - before < 4 * 256 * len(x)
+    assert used(local) - shuffled < 256 * len(x)
+    assert found.count() == len(x)
